@@ -169,7 +169,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, *, id: str = "doc_id", r
         sequence += n
     tables = {length: tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) for length, rows in places.items()}
 
-    buckets = max(1, sum(counts.values()) // rows_per_bucket)
+    buckets = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(counts.values()) // rows_per_bucket)
     salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64(id, "piece", "ids_crc32"), F.lit(buckets)))
     sizes = salted.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

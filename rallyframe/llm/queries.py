@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, rans, token_counts
+from . import chat_format, decontamination, line_dedup, near_duplicates, packing, quality, rans, token_counts, vector_search, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(F.col("_id").alias("doc_id"), "log_weight", "key")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_prefixes(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), budgets=(512,))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), F.col("fit_512").alias("chars_within_limit"))
@@ -24,16 +28,50 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), packing.CAPACITY)
 
 
+def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_warc(spark, warc.write_warc(table(spark, sf_dir, "pages")))
+    number = lambda c: F.when(F.col(c) != "", F.col(c).cast("long"))
+    return records.select(number("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), number("refers").alias("refers_to"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), counts=("n_lines", "n_dropped")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = "values (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') t(conv_id, turn, role, text)"
+    back = chat_format.read_chats(chat_format.format_chats(turns.unionByName(spark.sql(f"select * from {more}"))))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op9_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_archive(rans.write_archive(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=(85, 100))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_token_counts": op2_token_counts,
-        "op3_best_fit_packing": op3_best_fit_packing,
-        "op9_token_archive": op9_token_archive,
-    }
+    own = (op1_quality_resampling, op2_token_counts, op3_best_fit_packing, op4_vector_search, op5_warc_archive, op6_decontamination, op7_line_dedup, op8_chat_format, op9_token_archive, op10_near_duplicates)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -139,13 +139,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, width: int = 16, dept
                 n -= run
     for length in range(capacity, 0, -1):  # best fit on counts
         for room in range(length, capacity):
+            fits = room // length  # a sequence takes pieces of one length until no more fits
             while left[length] and rooms.get(room):
                 own, n = rooms[room].popitem()
-                run = min(n, int(left[length]))
+                run = min(n, int(left[length]) // fits)
+                if run:
+                    rooms[room - fits * length][(*own, *(length,) * fits)] += run
+                    left[length] -= fits * run
+                if run < n and 0 < (rest := int(left[length])) < fits:
+                    rooms[room - rest * length][(*own, *(length,) * rest)] += 1
+                    left[length], run = 0, run + 1
                 if run < n:
                     rooms[room][own] += n - run
-                rooms[room - length][(*own, length)] += run
-                left[length] -= run
         if n := int(left[length]):
             fits = capacity // length  # several of one length in new sequences
             if n // fits:

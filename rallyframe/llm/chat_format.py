@@ -6,7 +6,7 @@ and the blocks are concatenated:
     <|turn|>role\\n text (<|part|> text)* <|end|>\\n
 
 Inside roles and texts & becomes &amp;, < becomes &lt; and [ becomes &#91;, so no control string of this or of another
-template (such as </s> or [INST]) is left, and reading back is exact. `loss` holds (start, length) in characters of each
+template (such as </s> or [INST]) is left, and reading back is exact; line feeds inside roles become &#10;. `loss` holds (start, length) in characters of each
 assistant text in the formatted string.
 
 Null texts and roles count as empty; turns of equal number are in order of role and text, repeated rows stay, a null
@@ -25,6 +25,11 @@ def escaped(x: Column) -> Column:
     return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("["), F.lit("&#91;"))
 
 
+def escaped_role(x: Column) -> Column:
+    """A role ends with its line, so its own line feeds are escaped too."""
+    return F.replace(escaped(x), F.lit("\n"), F.lit("&#10;"))
+
+
 def unescaped(x: Column) -> Column:
     return F.replace(F.replace(F.replace(x, F.lit("&#91;"), F.lit("[")), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
@@ -35,9 +40,9 @@ def format_chats(turns: DataFrame, *, id: str = "conv_id", turn: str = "turn", r
     order = Window.partitionBy("_id").orderBy("turn", "role", "text")
     former = F.lag("role").over(order)
     head = (  # what stands before a turn's text
-        F.when(former.isNull(), F.concat(F.lit(TURN), escaped(F.col("role")), F.lit("\n")))
+        F.when(former.isNull(), F.concat(F.lit(TURN), escaped_role(F.col("role")), F.lit("\n")))
         .when(former == F.col("role"), F.lit(PART))
-        .otherwise(F.concat(F.lit(END + TURN), escaped(F.col("role")), F.lit("\n")))
+        .otherwise(F.concat(F.lit(END + TURN), escaped_role(F.col("role")), F.lit("\n")))
     )
     marked = rows.withColumns({"head": head, "body": escaped(F.col("text"))})
     length = F.char_length("head") + F.char_length("body")
@@ -52,7 +57,7 @@ def read_chats(chats: DataFrame, *, id: str = "conv_id") -> DataFrame:
     """id, turns: array of (role, text), learned: the text under the loss mask; all from formatted and loss alone."""
     blocks = F.slice(F.split("formatted", r"<\|turn\|>"), 2, F.size(F.split("formatted", r"<\|turn\|>")))
     parts = lambda b: F.struct(
-        unescaped(F.substring_index(b, "\n", 1)).alias("role"),
+        unescaped(F.replace(F.substring_index(b, "\n", 1), F.lit("&#10;"), F.lit("\n"))).alias("role"),
         F.split(F.substring(b, F.char_length(F.substring_index(b, "\n", 1)) + 2, F.char_length(b) - F.char_length(F.substring_index(b, "\n", 1)) - 1 - len(END)), r"<\|part\|>").alias("texts"),
     )
     turns = F.flatten(F.transform(F.transform(blocks, parts), lambda b: F.transform(b["texts"], lambda x: F.struct(b["role"].alias("role"), unescaped(x).alias("text")))))

@@ -38,11 +38,11 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingle hashes (as signed 64-bit integers)."""
     codes, starts, words = split_words(pc.ascii_lower(texts))
     word = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))[codes]
-    n = len(word)
+    n = max(0, len(word) - width + 1)
     with np.errstate(over="ignore"):
-        hashed = np.full(max(0, n - width + 1), width, np.uint64)
+        hashed = np.full(n, width, np.uint64)
         for j in range(width):
-            hashed = mixed(hashed * np.uint64(0x9E3779B97F4A7C15) + word[j : n - width + 1 + j])
+            hashed = mixed(hashed * np.uint64(0x9E3779B97F4A7C15) + word[j : n + j])
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             if b - a >= width:
                 yield np.unique(hashed[a : b - width + 1].view(np.int64))

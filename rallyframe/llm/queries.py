@@ -74,5 +74,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_LINES = """with p as (select doc_id, source, text, string_split(text, chr(10)) as l from documents),
+ e as (select doc_id, source, unnest(l) as line, unnest(range(1, len(l) + 1)) as i from p),
+ c as (select source, line, count(distinct doc_id) as n from e group by all),
+ h as (select source, count(*) as pages from documents group by all),
+ bad as (select c.source, c.line from c join h using (source) where c.n >= 10 and c.n * 1.0 / h.pages > 0.02),
+ k as (select e.*, b.line is not null as gone from e left join bad b on e.source = b.source and e.line = b.line),
+ g as (select doc_id, coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '') as text, count(*) as n_lines, count(*) filter (where gone) as n_dropped from k group by doc_id)
+ select p.doc_id, g.text, coalesce(g.n_lines, 0) as n_lines, coalesce(g.n_dropped, 0) as n_dropped from p left join g using (doc_id)"""
+
+_ESCAPED = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
+_CHATS = f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+ union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ o as (select *, lag(role) over (partition by conv_id order by turn, role, text) as former, row_number() over (partition by conv_id order by turn, role, text) as i from t),
+ m as (select *, length({_ESCAPED.format(x="text")}) + case when former is null then 9 + length(replace({_ESCAPED.format(x="role")}, chr(10), '&#10;')) when former = role then 8 else 17 + length(replace({_ESCAPED.format(x="role")}, chr(10), '&#10;')) end as n from o)
+ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+ cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), '')) as loss_sha256,
+ cast(sum(n) + 8 as bigint) as formatted_chars from m group by conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express the query; tests/llm holds the others against brute force."""
+    return {"op7_line_dedup": _LINES, "op8_chat_format": _CHATS}

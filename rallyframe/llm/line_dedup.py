@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, stored
 
-RATIO, PAGES = 0.02, 10
+#: Above the share of a host that groups of copied documents reach (those are for near-duplicate removal), below that of menus and footers.
+RATIO, PAGES = 0.08, 10
 
 
 def _key(line: Column) -> Column:

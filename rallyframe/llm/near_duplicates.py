@@ -155,7 +155,7 @@ def links(docs: DataFrame, members: DataFrame, width: int, k: int, threshold: tu
     placed = members.join(tiles, "pivot").withColumn("_tile", F.pmod(F.xxhash64("class"), F.col("_tiles")).cast("int"))
     targets = placed.groupBy("class", "rep").agg(F.collect_list(F.struct("pivot", "_tiles", "_tile")).alias("_in"))  # at most k groups
     targets = stored(targets.withColumnRenamed("rep", "_rep"), "targets")
-    if targets.count() <= BROADCAST_ROWS:
+    if members.count() <= BROADCAST_ROWS:  # they are what the targets' arrays hold
         targets = F.broadcast(targets)
     wanted = docs.select(id, text).join(targets, F.col(id).eqNullSafe(F.col("_rep"))).select(text, "class", "_in")
 

@@ -133,19 +133,19 @@ def decode_segment(data: bytes) -> np.ndarray:
 
 
 def write_archive(docs: DataFrame, path: str, *, end: int = 0, id: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
-    """Encodes whole texts, the end id after each, and returns the written archive: part, seq, ids, lengths, data.
+    """Encodes whole texts, the end id after each, and returns the written archive: part, seq, before (the part's tokens before this segment), ids, lengths, data.
 
     Segments are in order by (part, seq). Only the texts are shuffled, once, by ranges of ids.
     """
-    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id].dataType)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
+    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("before", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id].dataType)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
     kind = pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[docs.schema[id].dataType.simpleString()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq = encoder(path), TaskContext.get().partitionId(), 0
-        ids, lengths, parts, held = [], [], [], 0
+        ids, lengths, parts, held, before = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([ids], kind), pa.array([lengths], pa.list_(pa.int64())), pa.array([encode_segment(np.concatenate(parts))], pa.binary())], ["part", "seq", "ids", "lengths", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([ids], kind), pa.array([lengths], pa.list_(pa.int64())), pa.array([encode_segment(np.concatenate(parts))], pa.binary())], ["part", "seq", "before", "ids", "lengths", "data"])
 
         for batch in batches:
             for piece in slices(batch, text):
@@ -163,7 +163,7 @@ def write_archive(docs: DataFrame, path: str, *, end: int = 0, id: str = "doc_id
                         first, last = i + 1, to
                         if held >= SEGMENT:
                             yield flush()
-                            ids, lengths, parts, held, seq = [], [], [], 0, seq + 1
+                            ids, lengths, parts, held, before, seq = [], [], [], 0, before + held, seq + 1
         if ids:
             yield flush()
 
@@ -174,15 +174,11 @@ def write_archive(docs: DataFrame, path: str, *, end: int = 0, id: str = "doc_id
 
 def read_archive(archive: DataFrame, *, id: str = "doc_id") -> DataFrame:
     """One row per document from the archive's bytes: id, start (ids of all documents before it), n_tokens, ids_crc32, checked on the way."""
-    sizes = archive.groupBy("part", "seq").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    parts = {r["part"]: r["n"] for r in sizes.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row for each writing task
+    size = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    parts = {r["part"]: r["n"] for r in archive.groupBy("part").agg(F.sum(size).alias("n")).collect()}  # a row for each writing task
     total, base = 0, {}
     for part in sorted(parts):
         base[part], total = total, total + parts[part]
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("before", before).select("part", "seq", "before")
     kind = archive.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,4 +193,4 @@ def read_archive(archive: DataFrame, *, id: str = "doc_id") -> DataFrame:
                 sums = [zlib.crc32(memoryview(tokens[e - n : e]).cast("B")) for e, n in zip(ends, length, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("ids")[row].values, pa.array(first + ends - length), pa.array(length), pa.array(sums, pa.int64())], [id, "start", "n_tokens", "ids_crc32"])
 
-    return archive.join(F.broadcast(starts), ["part", "seq"]).select("part", "before", "ids", "lengths", "data").mapInArrow(run, f"{id} {kind}, start long, n_tokens long, ids_crc32 long")
+    return archive.select("part", "before", "ids", "lengths", "data").mapInArrow(run, f"{id} {kind}, start long, n_tokens long, ids_crc32 long")

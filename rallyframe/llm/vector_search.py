@@ -33,19 +33,20 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id: str, embedding: str) -> DataFrame:
-    """_id, _v (array<double>) of the vectors that take part."""
+    """_id, _v (array<double>) of vectors of any dimension with finite components, not all zero."""
     x = F.col("_v")
     good = F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf"))) & F.exists(x, lambda y: y != 0)
-    rows = vectors.select(F.col(id).alias("_id"), F.col(embedding).cast("array<double>").alias("_v")).filter(x.isNotNull() & F.col("_id").isNotNull()).filter(good)
-    most = rows.groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.filter(F.size("_v") == (most["d"] if most else 0))
+    rows = vectors.select(F.col(id).alias("_id"), F.col(embedding).cast("array<double>").alias("_v"))
+    return rows.filter(x.isNotNull() & F.col("_id").isNotNull()).filter(good)
 
 
 def index(vectors: DataFrame, k: int, *, id: str = "vec_id", embedding: str = "embedding", seed: int = 11) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Entries (_ids, _v, code, norm, along), the centre and the rotation."""
     rows = usable(vectors, id, embedding)
-    sums = rows.select(F.posexplode("_v")).groupBy("pos").agg(F.avg("col").alias("m")).orderBy("pos").collect()  # a row for each dimension
-    center = np.array([r["m"] for r in sums])
+    most = rows.groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    dim = most["d"] if most else 0
+    rows = rows.filter(F.size("_v") == dim)
+    center = np.array(rows.agg(*(F.avg(F.get("_v", F.lit(i))).alias(f"m{i}") for i in range(dim))).first()) if dim else np.zeros(0)
     turn = rotation(len(center), seed)
     nth = F.row_number().over(Window.partitionBy("_v").orderBy("_id"))
     distinct = rows.withColumn("_n", nth).filter(F.col("_n") <= k + 1).groupBy("_v").agg(F.sort_array(F.collect_list("_id")).alias("_ids"))
@@ -70,7 +71,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, *, id: str = "vec_
     """query_id, rank, vec_id, score: each chosen row's k nearest other rows by Euclidean distance."""
     entries, center, turn = index(vectors, k, id=id, embedding=embedding, seed=seed)
     dim, kind = len(center), vectors.schema[id].dataType.simpleString()
-    asked = stored(usable(vectors.filter(queries), id, embedding).distinct(), "asked")
+    asked = stored(usable(vectors.filter(queries), id, embedding).filter(F.size("_v") == dim).distinct(), "asked")
     across, down = 1 + entries.count() // ENTRIES, 1 + asked.count() // QUERIES
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("q", F.pmod(F.xxhash64("_id"), F.lit(down)).cast("int")).withColumn("e", every(across))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -409,8 +410,6 @@ def drop_list_corr(spark, sf):
 def vif_two(spark, sf):
     df = table(spark, sf, "lineitem")
     found = reduce.aggregated(df, {"aa": F.sum(F.col("l_discount") ** 2), "bb": F.sum(F.col("l_tax") ** 2), "ab": F.sum(F.col("l_discount") * F.col("l_tax"))})
-    import numpy as np
-
     factors = reduce.inflation(np.array([[found["aa"], found["ab"]], [found["ab"], found["bb"]]]))
     return _values(spark, [(float(factors[0]),)], "vif double").select(*r6("vif"))
 

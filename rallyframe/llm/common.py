@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A text column is handled in slices of about so many bytes, which bounds a task's memory.
 SLICE_BYTES = 8 << 20
+BATCH_ROWS = 2000
 #: Rows of two or three numbers that may be broadcast after counting them.
 BROADCAST_ROWS = 1_000_000
 
@@ -45,6 +48,22 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         end = max(start + 1, int(np.searchsorted(size, before + limit, "right")))
         yield batch.slice(start, end - start)
         start = end
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: an executor keeps its worker processes for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df itself; from now on its session's Arrow batches have at most BATCH_ROWS rows, as texts may be long."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -19,33 +19,41 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import SLICE_BYTES, bounded_batches, slices, texts_of
 from .pieces import PieceEncoder
 
 
 class PrefixCounter(PieceEncoder):
-    """Adds to each known piece its token counts at every prefix, from 1 character to all."""
+    """Knows of each piece its token counts at every prefix, from 1 character to all; pieces share the prefixes they begin with."""
 
     def clear(self) -> None:
         super().clear()
-        self.inner, self.inner_start, self.inner_used = np.zeros(1 << 15, np.uint16), np.zeros(1 << 12, np.int32), 0
+        self.prefixes: dict[str, int] = {}
+        self.inner, self.inner_start, self.size, self.inner_used = np.zeros(1 << 15, np.uint16), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), 0
 
     def add(self, keys: list[str]) -> None:
-        n = len(self.known)
-        super().add(keys)
+        n, known = len(self.known), self.prefixes
         pieces = [self.piece(k) for k in keys]
-        prefixes = list({x[:i] for x in pieces for i in range(1, len(x) + 1)})
-        _, _, counts = self.many(prefixes)
-        of = dict(zip(prefixes, counts.tolist(), strict=True))
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.fromiter((of[x[:i]] for x in pieces for i in range(1, len(x) + 1)), np.uint16, int(size.sum()))
-        while n + len(keys) > len(self.inner_start):
-            self.inner_start = np.resize(self.inner_start, 2 * len(self.inner_start))
+        new: dict[str, None] = {}
+        for x in pieces:  # from the longest prefix down to one that is known, with which all before it are
+            for i in range(len(x), 0, -1):
+                if (y := x[:i]) in known or y in new:
+                    break
+                new[y] = None
+        found = list(new)
+        known.update(zip(found, self.many(found)[2].tolist(), strict=True))
+        size = np.fromiter(map(len, pieces), np.int32, len(pieces))
+        flat = np.fromiter((known[x[:i]] for x in pieces for i in range(1, len(x) + 1)), np.uint16, int(size.sum()))
+        while n + len(keys) > len(self.length):
+            self.length, self.inner_start, self.size = (np.resize(x, 2 * len(x)) for x in (self.length, self.inner_start, self.size))
         while self.inner_used + len(flat) > len(self.inner):
             self.inner = np.resize(self.inner, 2 * len(self.inner))
+        self.length[n : n + len(keys)] = np.fromiter((known[x] if x else 0 for x in pieces), np.int32, len(pieces))
+        self.size[n : n + len(keys)] = size
         self.inner_start[n : n + len(keys)] = self.inner_used + np.cumsum(size) - size
         self.inner[self.inner_used : self.inner_used + len(flat)] = flat
         self.inner_used += len(flat)
+        self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
 
     def profile_whole(self, text: str) -> np.ndarray:
         """The profile of a text with strings of special tokens: each ends a stretch that is encoded by itself."""
@@ -65,20 +73,24 @@ class PrefixCounter(PieceEncoder):
             at = found
         return np.concatenate(out)
 
-    def profiles(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """Each text's counts at 0, 1, ... and all its characters."""
+    def profiles(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The counts at 0, 1, ..., all characters of each text, one text after the other, and where each begins (and the end)."""
         codes, starts, keys, whole = self.keyed(texts)
         at = self.index(keys)[codes]
-        size = np.fromiter((len(self.piece(k)) for k in keys), np.int64, len(keys))[codes]
-        for i in range(len(texts)):
-            if whole[i]:
-                yield self.profile_whole(texts[i].as_py())
-                continue
-            own = slice(starts[i], starts[i + 1])
-            tokens, n = self.length[at[own]].astype(np.int64), size[own]
-            ends = np.cumsum(n)
-            place = np.arange(ends[-1] if len(n) else 0) + np.repeat(self.inner_start[at[own]] - (ends - n), n)
-            yield np.concatenate([[0], self.inner[place] + np.repeat(np.cumsum(tokens) - tokens, n)])
+        tokens, size = self.length[at], self.size[at]
+        piece_ends, token_ends = np.cumsum(size, dtype=np.int64), np.cumsum(tokens, dtype=np.int64)
+        first = np.concatenate([[0], token_ends])[starts[:-1]]  # tokens before each text
+        base = token_ends - tokens - np.repeat(first, np.diff(starts))
+        place = np.arange(piece_ends[-1] if len(size) else 0, dtype=np.int32)
+        place += np.repeat((self.inner_start[at] - (piece_ends - size)).astype(np.int32), size)
+        counts = self.inner[place] + np.repeat(base.astype(np.int32), size)
+        bounds = np.concatenate([[0], piece_ends])[starts]
+        counts = np.insert(counts, bounds[:-1], 0)  # the empty prefix of each text
+        bounds = bounds + np.arange(len(bounds))
+        if whole.any():
+            parts = [self.profile_whole(texts[i].as_py()).astype(np.int32) if whole[i] else counts[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+            counts, bounds = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return counts, bounds
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -94,23 +106,21 @@ def count_prefixes(docs: DataFrame, path: str, *, id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _COUNTERS.get(path) or _COUNTERS.setdefault(path, PrefixCounter(path, 400_000))
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE_BYTES // 2):
                 texts = texts_of(part, text)
-                tokens, kept, fit = [], [], [[] for _ in budgets]
-                for x in counter.profiles(texts):
-                    tokens.append(int(x[-1]))
-                    for b, to in zip(budgets, fit, strict=True):
-                        to.append(len(x) - 1 if x[-1] <= b and x.max() <= b else int(np.flatnonzero(x <= b)[-1]))
-                    if profile:
-                        kept.append(x.astype(np.int32))
-                columns = [part.column(id), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(tokens, pa.int64()), *(pa.array(x, pa.int64()) for x in fit)]
-                names = [id, "n_bytes", "n_tokens", *(f"fit_{b}" for b in budgets)]
+                counts, bounds = counter.profiles(texts)
+                columns = [part.column(id), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(counts[bounds[1:] - 1], pa.int64())]
+                names = [id, "n_bytes", "n_tokens"]
+                for b in budgets:
+                    within = np.where(counts <= b, np.arange(len(counts)), -1)
+                    columns.append(pa.array(np.maximum.reduceat(within, bounds[:-1]) - bounds[:-1], pa.int64()))
+                    names.append(f"fit_{b}")
                 if profile:
-                    columns.append(pa.array(kept, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(counts, pa.int32())))
                     names.append("profile")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(id, text).mapInArrow(run, schema)
+    return bounded_batches(docs).select(id, text).mapInArrow(run, schema)
 
 
 def tokens_at(profile: Column, characters: Column | int) -> Column:

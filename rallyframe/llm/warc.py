@@ -95,16 +95,16 @@ def payload_of(kind: str, block: bytes, told: str) -> int:
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, value: what stands between magics, in order within each split."""
+    """file (a hash of its path), block, value: what stands between magics, in order within each split."""
     read = spark.read.option("lineSep", MAGIC.decode()).text(path)
-    return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    return read.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
 
 def _places() -> callable:
     """A function that tells where in its split each next chunk begins."""
     at: dict = {}
 
-    def place(file: str, block: int, size: int) -> int:
+    def place(file: int, block: int, size: int) -> int:
         if at.get("of") != (file, block):
             at.update(of=(file, block), next=0)
         here = at["next"]
@@ -120,7 +120,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = _places()
         names = ["file", "block", "at", "size", "step", "whole", "type", "id", "refers", "bytes", "digest"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
         for batch in batches:
             rows = []
             for file, block, value in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "value")), strict=True):
@@ -133,7 +133,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                 rows.append((file, block, at, len(value), *tail))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 11, kinds, strict=True)], names)
 
-    found = stored(_chunks(spark, path).mapInArrow(run, "file string, block long, at long, size long, step long, whole boolean, type string, id string, refers string, bytes long, digest string"), "candidates")
+    found = stored(_chunks(spark, path).mapInArrow(run, "file long, block long, at long, size long, step long, whole boolean, type string, id string, refers string, bytes long, digest string"), "candidates")
     return found.join(split_bases(found), ["file", "block"]).withColumn("p", F.col("base") + F.col("at")).filter("p > 0").withColumn("next", F.col("p") + F.col("step") + len(MAGIC)).drop("at", "base")
 
 
@@ -155,7 +155,7 @@ def reachable(found: DataFrame) -> DataFrame:
             out[int(p[i])] = out.get(int(succ[i]), int(succ[i]))
         return pa.table({"file": table.column("file"), "block": table.column("block"), "p": table.column("p"), "exit": pa.array([out[int(x)] for x in p], pa.int64())})
 
-    jump = stored(found.select("file", "block", "p", "next").groupBy("file", "block").applyInArrow(exits, "file string, block long, p long, exit long"), "exits")
+    jump = stored(found.select("file", "block", "p", "next").groupBy("file", "block").applyInArrow(exits, "file long, block long, p long, exit long"), "exits")
     entries = stored(jump.filter(F.col("p") == len(MAGIC)).select("file", "p"), "entries")
     known = entries.count()
     while True:  # each turn doubles the splits that a jump passes
@@ -198,7 +198,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             at = [place(f, b, len(v)) for f, b, v in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "value")), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], ["file", "block", "value", "at"])
 
-    placed = _chunks(spark, path).mapInArrow(run, "file string, block long, value binary, at long")
+    placed = _chunks(spark, path).mapInArrow(run, "file long, block long, value binary, at long")
     bases = stored(split_bases(placed.select("file", "block", F.octet_length("value").alias("size"))), "bases")
     placed = placed.join(torn.select("file").distinct(), "file", "left_semi").join(bases, ["file", "block"]).withColumn("p", F.col("base") + F.col("at"))
     parts = placed.join(torn, ["file"]).filter("p >= start and p < end")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, coded_lists, mixed, slices, stored, texts_of
+from .common import BROADCAST_ROWS, bounded_batches, coded_lists, mixed, slices, stored, texts_of
 
 #: Fixed masks: six words each, of seven to ten positions.
 MASKS = ("1110111", "11011011", "110010111", "1010110011")
@@ -121,7 +121,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", t
                     own = pa.array([b.items[x[1]] for x in found], {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]])
                     yield pa.RecordBatch.from_arrays([ids, own, *(pa.array([x[k] for x in found], pa.int64()) for k in (2, 3, 4))], [id, item, "first_word", "n_words", "n_equal"])
 
-        part = docs.select(id, text).mapInArrow(run, f"{id} {kinds[0]}, {item} {kinds[1]}, first_word long, n_words long, n_equal long")
+        part = bounded_batches(docs).select(id, text).mapInArrow(run, f"{id} {kinds[0]}, {item} {kinds[1]}, first_word long, n_words long, n_equal long")
         out = part if out is None else out.union(part)
     return out
 

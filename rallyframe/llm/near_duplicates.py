@@ -26,9 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, mixed, slices, split_words, stored, texts_of
+from .common import BROADCAST_ROWS, bounded_batches, mixed, release, slices, split_words, stored, texts_of
 
 K = 32
+#: Standard errors below the threshold at which an estimate rules a pair out.
+ERRORS = 8.0
 #: Shingles of a tile: what one task holds of a group is at most two tiles, or two documents.
 TILE = 1_500_000
 _MOST = np.iinfo(np.int64).max
@@ -72,7 +74,7 @@ def sketched(docs: DataFrame, width: int, k: int, id: str, text: str) -> DataFra
                     sketches.append(own[:k])
                 yield pa.RecordBatch.from_arrays([part.column(id), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], [id, "n_shingles", "class", "sketch"])
 
-    return docs.select(id, text).mapInArrow(run, f"{id} {docs.schema[id].dataType.simpleString()}, n_shingles long, class long, sketch array<long>")
+    return bounded_batches(docs).select(id, text).mapInArrow(run, f"{id} {docs.schema[id].dataType.simpleString()}, n_shingles long, class long, sketch array<long>")
 
 
 def groups(classes: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def connected(sets: list[np.ndarray], sketches: list[np.ndarray], tile: np.ndarr
         rank = np.cumsum(np.concatenate([np.ones((len(j), 1), bool), ~again], axis=1) & (both < _MOST), axis=1)
         of = np.minimum(k, rank[:, -1])  # the union's bottom-k, of which so many are in both
         estimate = (again & (rank[:, 1:] <= of[:, None])).sum(axis=1) / of
-        j = j[estimate >= t - 4.75 * np.sqrt(t * (1 - t) / of)]
+        j = j[estimate >= t - ERRORS * np.sqrt(t * (1 - t) / of)]
         if not len(j):
             continue
         if exact is not None:
@@ -178,6 +180,7 @@ def links(docs: DataFrame, members: DataFrame, width: int, k: int, threshold: tu
         tile = (table.column("tile").to_numpy() != table.column("a")[0].as_py()).astype(int)
         root = connected(sets, sketches, tile, threshold, k)
         far = np.flatnonzero(root != np.arange(len(root)))
+        release()
         return pa.table({"x": pa.array(names[root[far]], pa.int64()), "y": pa.array(names[far], pa.int64())})
 
     schema = "pivot long, a int, b int, tile int, class long, sketch array<long>, set binary"

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts_of
+from .common import bounded_batches, slices, stored, texts_of
 from .pieces import encoder
 
 CAPACITY = 2048
@@ -54,7 +54,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, *, end: int
                 sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(id).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(sums, pa.int64())], [id, "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(id, text).mapInArrow(run, f"{id} {docs.schema[id].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return bounded_batches(docs).select(id, text).mapInArrow(run, f"{id} {docs.schema[id].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, texts_of
+from .common import bounded_batches, slices, stored, texts_of
 from .pieces import encoder
 
 MAGIC = b"RTA1"
@@ -168,7 +168,7 @@ def write_archive(docs: DataFrame, path: str, *, end: int = 0, id: str = "doc_id
             yield flush()
 
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(id, text).repartitionByRange(n, F.col(id).asc_nulls_first()).sortWithinPartitions(F.col(id).asc_nulls_first(), text)
+    ordered = bounded_batches(docs).select(id, text).repartitionByRange(n, F.col(id).asc_nulls_first()).sortWithinPartitions(F.col(id).asc_nulls_first(), text)
     return stored(ordered.mapInArrow(run, schema), "archive")
 
 

@@ -20,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that too large a share of their source's documents have go; documents stay."""
-    return line_dedup.drop_boilerplate(docs)
+    """Lines that too large a share of their source's distinct documents have go; documents stay."""
+    return line_dedup.drop_boilerplate(docs, copies_once=True)
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

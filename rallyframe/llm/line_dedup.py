@@ -3,7 +3,8 @@
 For each host, the pages that contain a line, divided by the host's pages, is the line's ratio; lines above `ratio` that
 at least `pages` pages have are dropped from all pages of the host, and the other lines keep their order. DataFrame
 expressions only. A line counts once for a page; each row is a page, repeated rows too. Lines are keyed by 128 bits of
-hash.
+hash. copies_once=True takes the rows of a host that have the same text as one page, in a line's pages and in the
+host's, so that lines of a page that is copied often stay; null texts are one page then.
 
 Null texts stay null, pages of a null host form one host, a page that loses all its lines keeps an empty text, and an
 empty table stays empty. Other columns pass unchanged, whatever their names.
@@ -24,18 +25,21 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
 
 
-def line_ratios(docs: DataFrame, *, host: str = "source", text: str = "text", pages: int = PAGES) -> DataFrame:
+def line_ratios(docs: DataFrame, *, host: str = "source", text: str = "text", pages: int = PAGES, copies_once: bool = False) -> DataFrame:
     """host, line (its key), n_pages, ratio of lines that at least `pages` pages of a host have."""
-    lines = docs.filter(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(F.split(text, "\n"), _key))).alias("line"))
+    own = docs.select(F.col(host).alias("host"), _key(F.col(text)).alias("page"), F.array_distinct(F.transform(F.split(text, "\n"), _key)).alias("lines"))
+    if copies_once:  # by keys, so that no text is shuffled
+        own = own.distinct()
+    lines = own.filter(F.col("lines").isNotNull()).select("host", F.explode("lines").alias("line"))
     often = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages")).filter(F.col("n_pages") >= pages)
-    totals = docs.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("_pages"))
+    totals = own.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("_pages"))
     return often.join(totals, F.col("host").eqNullSafe(F.col("_host"))).select("host", "line", "n_pages", (F.col("n_pages") / F.col("_pages")).alias("ratio"))
 
 
-def drop_boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES, counts: tuple[str, str] | None = None) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES, copies_once: bool = False, counts: tuple[str, str] | None = None) -> DataFrame:
     """The pages without their hosts' boilerplate lines. counts: names for columns of the lines there were and the lines dropped."""
     # A host has at most (lines of a page) / ratio such lines, so one row holds them.
-    found = line_ratios(docs, host=host, text=text, pages=pages).filter(F.col("ratio") > ratio)
+    found = line_ratios(docs, host=host, text=text, pages=pages, copies_once=copies_once).filter(F.col("ratio") > ratio)
     bad = stored(found.groupBy("host").agg(F.collect_list("line").alias("_bad")).select(F.col("host").alias("_of"), "_bad"), "boilerplate")
     if (bad.agg(F.sum(F.size("_bad"))).first()[0] or 0) <= BROADCAST_ROWS:
         bad = F.broadcast(bad)

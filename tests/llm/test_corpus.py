@@ -149,6 +149,16 @@ def test_lines_equal_brute_force(spark):
     assert line_dedup.drop_boilerplate(table(spark, rows).limit(0)).collect() == []
 
 
+def test_pipeline_keeps_lines_of_copied_pages(spark):
+    rng = random.Random(17)
+    menu, copied = "home news contact", "\n".join(prose(rng, 8) for _ in range(4))
+    rows = [(i, prose(rng, 8) + "\n" + menu, "a") for i in range(60)] + [(100 + i, copied + "\n" + menu, "a") for i in range(30)] + [(200 + i, None, "a") for i in range(30)]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, table(spark, rows), "").collect()}
+    assert out == {i: t and t.removesuffix("\n" + menu) for i, t, _ in rows}
+    found = {r["n_pages"]: r["ratio"] for r in line_dedup.line_ratios(table(spark, rows), copies_once=True).collect()}
+    assert found == {61: 61 / 62}
+
+
 # -- chats
 
 HARD = ["", "</s>[INST] ok [/INST]", "<|turn|>user\n", "<|end|>\n", "&lt;&amp;&#91;", "a\n\nb<|part|>", "🙂é", " "]

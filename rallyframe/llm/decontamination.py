@@ -3,7 +3,9 @@
 A seed hashes the words under a fixed mask's ones and ignores the words under its zeros, so a substituted word spoils
 only the seeds that look at it. Documents' seeds meet the benchmark's; around each hit the passage is laid over the
 document, and it counts if some window of `window` words (or the whole of a shorter item) agrees in `agree` of its
-positions. Words are runs of letters and digits, case folded.
+positions. Words are runs of letters and digits, case folded. Items (or windows) under SHORT words are sought by runs of
+words so short that every accepted pattern of substitutions leaves one whole; the masks leave none out from SHORT words
+on at the default window and agreement. Items of one to four words must be there verbatim at 0.8.
 
 The benchmark is the stated query set: it is taken in blocks of items of a bounded number of words, each sent to the
 tasks once, and every document is held against every block. Null and empty texts hold nothing; equal items and equal
@@ -27,6 +29,9 @@ from .common import BROADCAST_ROWS, bounded_batches, coded_lists, mixed, slices,
 MASKS = ("1110111", "11011011", "110010111", "1010110011")
 BLOCK_WORDS = 1_000_000
 WINDOW, AGREE = 13, 0.8
+#: Below so many words the masks don't meet every accepted pattern.
+SHORT = 12
+CHUNK_HITS = 1 << 20
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,18 +56,34 @@ def seeds(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mixed(out)
 
 
+def needed(words: int, agree: float) -> int:
+    """The positions of so many that must agree."""
+    return int(np.ceil(agree * words - 1e-9))
+
+
+def whole_run(words: int, agree: float) -> int:
+    """The longest run that agrees wherever the accepted substitutions fall."""
+    same = max(1, needed(words, agree))
+    return -(-same // (words - same + 1))
+
+
 class Benchmark:
     """A block of items: all words, and the seeds with their places."""
 
-    def __init__(self, items: list, texts: list[str | None]):
-        self.items = items
+    def __init__(self, items: list, texts: list[str | None], window: int = WINDOW, agree: float = AGREE):
+        self.items, self.window, self.agree = items, window, agree
         self.words, self.starts = word_hashes(pa.array([x or "" for x in texts], pa.string()))
+        self.size = np.diff(self.starts)
+        over = np.minimum(self.size, window)
+        run = np.array([0, *(whole_run(w, agree) for w in range(1, SHORT))])[np.where(over < SHORT, over, 0)]  # 0: by masks
+        self.least = np.array([needed(w, agree) for w in range(SHORT)])
+        self.masks = [(mask, salt, 0) for salt, mask in enumerate(MASKS)] + [("1" * r, len(MASKS) + r, r) for r in np.unique(run[run > 0]).tolist()]
         found, places = [], []
-        for salt, mask in enumerate(MASKS):
+        for mask, salt, r in self.masks:
             own = seeds(self.words, mask, salt)
             place = np.arange(len(own))
             item = np.searchsorted(self.starts, place, "right") - 1
-            inside = place + len(mask) <= self.starts[item + 1]
+            inside = (place + len(mask) <= self.starts[item + 1]) & (run[item] == r)
             found.append(own[inside])
             places.append(place[inside])
         seed, place = np.concatenate(found), np.concatenate(places)
@@ -72,33 +93,58 @@ class Benchmark:
         self.sieve = np.zeros(1 << self.bits, bool)  # most of the documents' seeds stop here
         self.sieve[(self.seed >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
-    def matches(self, words: np.ndarray, starts: np.ndarray, window: int, agree: float) -> list[tuple[int, int, int, int, int]]:
+    def laid_whole(self, hits: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of hits of short items, those where the whole item agrees: text, item, words that agree, first word; the best place of each pair."""
+        text, item, shift = hits
+        first, size = self.starts[item] + shift, self.size[item]
+        inside = (first >= starts[text]) & (first + size <= starts[text + 1])
+        text, item, first, size = text[inside], item[inside], first[inside], size[inside]
+        equal = np.zeros(len(text), np.int64)
+        for k in range(int(size.max(initial=0))):
+            on = np.flatnonzero(size > k)
+            equal[on] += words[first[on] + k] == self.words[self.starts[item[on]] + k]
+        rows = np.stack([text, item, equal, first - starts[text]])[:, equal >= self.least[size]]
+        return best_rows(rows)
+
+    def matches(self, words: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word in the text, words laid over, words that agree), the best place of each pair."""
-        pairs = []
-        for salt, mask in enumerate(MASKS):
+        whole, parts = [np.zeros((4, 0), np.int64)], [np.zeros((3, 0), np.int64)]
+        for mask, salt, _ in self.masks:
             own = seeds(words, mask, salt)
             at = np.flatnonzero(self.sieve[(own >> np.uint64(64 - self.bits)).astype(np.int64)])
             low, high = np.searchsorted(self.seed, own[at], "left"), np.searchsorted(self.seed, own[at], "right")
-            n = high - low
-            place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            pairs.append(np.stack([np.repeat(at, n), self.place[place]], axis=1))
-        hits = np.concatenate(pairs)
-        if not len(hits):
-            return []
-        text = np.searchsorted(starts, hits[:, 0], "right") - 1
-        item = np.searchsorted(self.starts, hits[:, 1], "right") - 1
-        shift = hits[:, 0] - hits[:, 1]  # text word less benchmark word of the same diagonal
+            at, low, n = at[high > low], low[high > low], (high - low)[high > low]
+            ends = np.cumsum(n)
+            cuts = np.unique(np.searchsorted(ends, np.arange(CHUNK_HITS, (ends[-1] if len(n) else 0) + CHUNK_HITS, CHUNK_HITS), "right"))
+            for own_at, own_low, m in zip(np.split(at, cuts), np.split(low, cuts), np.split(n, cuts), strict=True):
+                here = np.repeat(own_at, m)
+                place = self.place[np.repeat(own_low - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+                text, item = np.searchsorted(starts, here, "right") - 1, np.searchsorted(self.starts, place, "right") - 1
+                hits = np.stack([text, item, here - place])  # text word less benchmark word of the same diagonal
+                short = self.size[item] < min(SHORT, self.window + 1)
+                whole.append(self.laid_whole(hits[:, short], words, starts))
+                parts.append(hits[:, ~short])
+        text, item, equal, first = best_rows(np.concatenate(whole, axis=1))
+        out = list(zip(text.tolist(), item.tolist(), first.tolist(), self.size[item].tolist(), equal.tolist(), strict=True))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for t, i, d in np.unique(np.stack([text, item, shift], axis=1), axis=0).tolist():
+        for t, i, d in np.unique(np.concatenate(parts, axis=1), axis=1).T.tolist():
             a, b = max(self.starts[i], starts[t] - d), min(self.starts[i + 1], starts[t + 1] - d)
             same = words[a + d : b + d] == self.words[a:b]
-            w = min(window, int(self.starts[i + 1] - self.starts[i]))
+            w = min(self.window, int(self.size[i]))
             if len(same) < w:
                 continue
             runs = np.concatenate([[0], np.cumsum(same)])
-            if (runs[w:] - runs[:-w]).max() >= np.ceil(agree * w - 1e-9):
+            if (runs[w:] - runs[:-w]).max() >= needed(w, self.agree):
                 best[t, i] = max(best.get((t, i), (0, 0, 0)), (int(same.sum()), int(a + d - starts[t]), len(same)))
-        return [(t, i, first, over, equal) for (t, i), (equal, first, over) in best.items()]
+        return out + [(t, i, first, over, equal) for (t, i), (equal, first, over) in best.items()]
+
+
+def best_rows(rows: np.ndarray) -> np.ndarray:
+    """The last of each pair of the first two rows' values, in order of the other rows."""
+    rows = rows[:, np.lexsort(rows[::-1])]
+    last = np.ones(rows.shape[1], bool)
+    last[:-1] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+    return rows[:, last]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, agree: float = AGREE) -> DataFrame:
@@ -110,13 +156,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", t
     out = None
     for block in range(blocks):
         rows = benchmark.filter(F.pmod(F.xxhash64(item, item_text), F.lit(blocks)) == block).select(item, item_text).collect()
-        held = spark.sparkContext.broadcast(Benchmark([r[0] for r in rows], [r[1] for r in rows]))
+        held = spark.sparkContext.broadcast(Benchmark([r[0] for r in rows], [r[1] for r in rows], window, agree))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             b = held.value
             for batch in batches:
                 for part in slices(batch, text):
-                    found = b.matches(*word_hashes(texts_of(part, text)), window, agree)
+                    found = b.matches(*word_hashes(texts_of(part, text)))
                     ids = part.column(id).take(pa.array([x[0] for x in found], pa.int64()))
                     own = pa.array([b.items[x[1]] for x in found], {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]])
                     yield pa.RecordBatch.from_arrays([ids, own, *(pa.array([x[k] for x in found], pa.int64()) for k in (2, 3, 4))], [id, item, "first_word", "n_words", "n_equal"])

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 
@@ -118,6 +119,28 @@ def test_passages_are_found_despite_substitutions(spark):
     assert decontamination.contaminated(table(spark, rows).limit(0), bench).collect() == []
 
 
+def test_every_accepted_pattern_of_substitutions_is_found():
+    for n in range(1, 16):
+        words = [f"w{k}" for k in range(n)]
+        bench = decontamination.Benchmark([0], [" ".join(words)])
+        over = min(n, decontamination.WINDOW)
+        for k in range(4):
+            gone = list(itertools.combinations(range(over), k))
+            texts = ["x y " + " ".join("X" if i in g else w for i, w in enumerate(words)) + " z" for g in gone] + ["", "x " + " ".join(words[:-1])]
+            found = sorted(bench.matches(*decontamination.word_hashes(pa.array(texts, pa.string()))))
+            accepted = over - k >= decontamination.AGREE * over
+            whole = [(t, 0, 2, n, n - k) for t in range(len(gone))] if accepted else []
+            assert [x for x in found if x[0] < len(gone) and (accepted or n == over)] == whole, (n, k)
+
+
+def test_short_items_are_found_in_tables(spark):
+    rng = random.Random(8)
+    items = [(0, "ka lo mi ne pu"), (1, "日本語"), (2, "ka lo"), (3, "ka lo mi ne pu ra so")]
+    docs = [(0, prose(rng, 30) + " ka lo X ne pu " + prose(rng, 5), "s"), (1, "東京。日本語!", "s"), (2, "ka LO", "s"), (3, "ka X mi ne pu ra so", "s"), (4, "ka x lo mi", "s")]
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(0, 0), (0, 2), (1, 1), (2, 2), (3, 3), (3, 0)}
+
+
 def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     rng = random.Random(6)
     items = [(i, prose(rng, 20)) for i in range(8)]

@@ -5,6 +5,10 @@ count(the started piece up to i). The counts of started pieces come from a table
 distinct piece, and the counts at cuts accumulate. The profile answers how many tokens a truncated text has and how
 much of a text fits a budget, without encoding again.
 
+Pieces over LONG characters stay out of the table. Byte-level merges give them by a recurrence over the tokenizer's own
+split: a prefix's last token is the one that merges leave apart from the last token of what stands before it. Other
+tokenizers count every prefix of such a piece by itself, which takes time with the square of its length.
+
 Null texts count as empty; empty texts have the profile [0]; rows with equal or null ids are kept as they are; an empty
 table gives an empty result; other columns pass only if named in `keep`.
 """
@@ -23,6 +27,11 @@ from .common import SLICE_BYTES, bounded_batches, slices, texts_of
 from .pieces import PieceEncoder
 
 
+#: Characters of the longest piece whose prefixes are kept.
+LONG = 256
+KNOWN_PAIRS = 1_000_000
+
+
 class PrefixCounter(PieceEncoder):
     """Knows of each piece its token counts at every prefix, from 1 character to all; pieces share the prefixes they begin with."""
 
@@ -55,6 +64,66 @@ class PrefixCounter(PieceEncoder):
         self.inner_used += len(flat)
         self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
 
+    def merges_of(self) -> None:
+        """Readies the recurrence: the tokens' bytes and all their ends."""
+        self.token_of = self._quick._mergeable_ranks
+        self.bytes_of = {t: b for b, t in self.token_of.items()}
+        self.ends = {b[i:] for b in self.token_of for i in range(len(b))}
+        self.apart: dict[tuple[int, int], bool] = {}
+
+    def merged_counts(self, part: str) -> np.ndarray:
+        """The counts at 1, ..., all characters of what the split leaves together."""
+        if len(part) <= 3:  # contractions: what begins them is split otherwise
+            return np.array([len(self.ids(part[:i])) for i in range(1, len(part) + 1)], np.int32)
+        data = part.encode()
+        last, count = [0] * (len(data) + 1), np.zeros(len(data) + 1, np.int32)
+        for j in range(1, len(data) + 1):
+            n = 1
+            while n < j and data[j - n - 1 : j] in self.ends:
+                n += 1
+            for i in range(j - n, j):
+                token = self.token_of.get(data[i:j])
+                if token is None:
+                    continue
+                pair = (last[i], token)
+                if i and pair not in self.apart:
+                    if len(self.apart) >= KNOWN_PAIRS:
+                        self.apart.clear()
+                    self.apart[pair] = self._quick._encode_single_piece(self.bytes_of[pair[0]] + data[i:j]) == [*pair]
+                if not i or self.apart[pair]:
+                    last[j], count[j] = token, count[i] + 1
+                    break
+        starts = np.frombuffer(data, np.uint8) & 0xC0 != 0x80
+        return count[np.append(np.flatnonzero(starts)[1:], len(data))]
+
+    def piece_counts(self, piece: str) -> np.ndarray:
+        """The counts at 1, ..., all characters of a piece that no table holds."""
+        if len(piece) <= LONG or self._quick is None or self.library.normalizer is not None:
+            return np.array([len(self.ids(piece[:i])) for i in range(1, len(piece) + 1)], np.int32)
+        if not hasattr(self, "ends"):
+            self.merges_of()
+        spans = [own for _, own in self.library.pre_tokenizer.pre_tokenize_str(piece)]
+        out, base = [], 0
+        for k, (a, b) in enumerate(spans):
+            got = self.merged_counts(piece[a:b])
+            if a and piece[a - 1].isspace() and piece[a].isspace():  # up to here, this blank and those before it are one
+                got[0] = self.merged_counts(piece[spans[k - 1][0] : a + 1])[-1] - (base - before)
+            out.append(base + got)
+            before, base = base, int(out[-1][-1]) if b - a > 1 or k + 1 == len(spans) else base + len(self.ids(piece[a:b]))
+        return np.concatenate(out)
+
+    def profile_long(self, text: str) -> np.ndarray:
+        """The profile of a text with long pieces, without strings of special tokens."""
+        keys = self.cut(text)
+        short = list(dict.fromkeys(k for k in keys if len(k) <= LONG))
+        at = dict(zip(short, self.index(short).tolist(), strict=True))
+        out, base = [np.zeros(1, np.int32)], 0
+        for k in keys:
+            own = self.inner[self.inner_start[at[k]] :][: self.size[at[k]]].astype(np.int32) if k in at else self.piece_counts(self.piece(k))
+            out.append(base + own)
+            base += int(own[-1]) if len(own) else 0
+        return np.concatenate(out)
+
     def profile_whole(self, text: str) -> np.ndarray:
         """The profile of a text with strings of special tokens: each ends a stretch that is encoded by itself."""
         out, base, last, at = [np.zeros(1, np.int64)], 0, "", 0
@@ -62,7 +131,7 @@ class PrefixCounter(PieceEncoder):
             found = min((m for x in self.special if (m := text.find(x, at)) >= 0), default=len(text))
             pieces = self.stretches(text[at:found])
             for last in pieces:
-                got = np.array([len(self.ids(last[:i])) for i in range(1, len(last) + 1)], np.int64)
+                got = self.piece_counts(last)
                 out.append(base + got)
                 before, base = base, base + (int(got[-1]) if len(got) else 0)
             if found < len(text):
@@ -76,6 +145,13 @@ class PrefixCounter(PieceEncoder):
     def profiles(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The counts at 0, 1, ..., all characters of each text, one text after the other, and where each begins (and the end)."""
         codes, starts, keys, whole = self.keyed(texts)
+        long = np.fromiter((len(k) > LONG for k in keys), bool, len(keys))
+        if long.any():
+            far = np.zeros(len(texts), bool)
+            far[np.searchsorted(starts, np.flatnonzero(long[codes]), "right") - 1] = True
+            counts, bounds = self.profiles(pc.if_else(pa.array(far), "", texts))
+            parts = [self.profile_long(texts[i].as_py()) if far[i] else counts[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+            return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
         at = self.index(keys)[codes]
         tokens, size = self.length[at], self.size[at]
         piece_ends, token_ends = np.cumsum(size, dtype=np.int64), np.cumsum(tokens, dtype=np.int64)

@@ -58,6 +58,22 @@ def test_profiles_are_exact_at_every_prefix(spark, docs):
         assert r["at2"] == wanted[min(2, len(t))]
 
 
+def test_long_unbroken_texts_are_exact():
+    rng = random.Random(4)
+    library, counter = Tokenizer.from_file(BYTES), token_counts.PrefixCounter(BYTES)
+    signs = ["QmFzZTY0", "abcdefgh", "the", "日本語", "中", "ไทย", "'ll", "'r", "é", "7", "<div>", "==", "\t", "\t\t", "🙂"]
+    own = ["".join(rng.choice(signs) for _ in range(200)), "a" * 400, "中文" * 150, " " * 300 + "x", "ab\t  \n" * 80 + "foo  bar", "short " + "語" * 300 + " words <b> " + "x" * 300]
+    own += [own[0] + "<|endoftext|>" + own[1], "z"]
+    counts, bounds = counter.profiles(pa.array(own))
+    for t, a, b in zip(own, bounds, bounds[1:]):
+        assert counts[a:b].tolist() == [len(library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)], repr(t[:20])
+    text = "".join(rng.choice(["漢", "字", "日", "本", "語", "の", "文"]) for _ in range(1_000_000))
+    counts, bounds = counter.profiles(pa.array([text]))
+    assert len(counts) == 1_000_001
+    for i in (1, 999, 70_000, 1_000_000):
+        assert counts[i] == len(library.encode(text[:i], add_special_tokens=False).ids)
+
+
 def test_counts_of_an_empty_table(spark, docs):
     assert token_counts.count_prefixes(docs.limit(0), BYTES).collect() == []
 

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A text column is handled in slices of about so many bytes, which bounds a task's memory.
 SLICE_BYTES = 8 << 20
@@ -21,13 +23,14 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    if where := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
+    context = spark.sparkContext
+    if where := context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir():
         return where.rstrip("/")
-    if not (where := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rallyframe-"))
-        where = spark.sparkContext.getCheckpointDir()
-    return where.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="rallyframe-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +40,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def without(docs: DataFrame, id: str, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose id is not in gone (one column), all columns as they are, whatever their names."""
+    name = f"gone_{uuid.uuid4().hex}"
+    gone = stored(gone.toDF(name).distinct(), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col(id).eqNullSafe(F.col(name)), "left_anti")
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about `limit` bytes; one longer text makes a run of its own."""
     if not batch.num_rows:

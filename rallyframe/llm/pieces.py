@@ -5,12 +5,16 @@ Both tokenizers split a text before they merge, so a text can be cut where no sp
 * byte-level BPE: before a space or line feed that stands between two characters which are not white space;
 * word-end BPE, which drops white space: at every space and line feed.
 
-The pieces between such cuts repeat, so a task keeps the ids of those it has met (a bounded table that is emptied when
-full) and asks the tokenizer only for new ones. Texts that hold a special token's string go to the tokenizer whole.
+A byte-level piece of one Latin word and marks after it goes to the same merges by a plain delimiter where the split
+would cut it, which spares the library its search for that place.
+
+The pieces between such cuts repeat, so a task keeps the ids of those it has met (a table of bounded pieces and
+characters that is emptied when full) and asks the tokenizer only for new ones. Texts that hold a special token's string go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -18,37 +22,36 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import tiktoken
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from .common import coded_lists
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
 
 _BLANK = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-# Fixed value: how the byte-level tokenizer splits a text.
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters whose classes have never changed between versions of Unicode: ASCII and Latin.
-_SETTLED = r"!-~\x{c0}-\x{24f}"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Letters whose class has never changed between versions of Unicode, and ASCII marks.
+_LATIN = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
+_MARKS = r"!-/:-@\[-`{-~"
 #: Marks a text's first piece, before which no space stands.
 _FIRST = "\x02"
-_JOIN = 4096
+_JOIN = 512
+#: The byte-level split never joins an ASCII letter and a digit, so long pieces are encoded in parts of about FAR characters.
+_TURN = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+FAR = 1 << 16
+#: Characters of all pieces kept.
+HELD = 32 << 20
 
 
-def byte_merges(library: Tokenizer) -> tiktoken.Encoding | None:
-    """The tokenizer's own merges in the faster form that takes a rank for each token, if its ids are in order of its merges."""
-    model = json.loads(library.to_str())["model"]
-    vocab, merged = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-    made = [vocab["".join(m)] for m in merged]
-    if any(a >= b for a, b in zip(made, made[1:], strict=False)):
-        return None
+def byte_letters(library: Tokenizer) -> tuple[list[str], Tokenizer]:
+    """The letter that stands for each byte in a byte-level tokenizer's names, and its merges over such letters, split at line feeds alone."""
+    whole = json.loads(library.to_str())
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that stand for themselves
-    letter = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    ranks = {bytes(letter[c] for c in name): at for name, at in vocab.items() if all(c in letter for c in name)}
-    tokens = set(made)
-    ranks = {name: at for name, at in ranks.items() if len(name) == 1 or at in tokens}
-    return tiktoken.Encoding("from-file", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}) if all(bytes([b]) in ranks for b in range(256)) else None
+    hidden = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    merges = Tokenizer.from_str(json.dumps(whole | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}))
+    merges.pre_tokenizer = CharDelimiterSplit("\n")
+    return [hidden.get(b, chr(b)) for b in range(256)], merges
 
 
 class PieceEncoder:
@@ -69,17 +72,32 @@ class PieceEncoder:
             self._starts_piece[at] = name[0] in "ĠĊ"
         self._zero = self.library.encode("0", add_special_tokens=False).ids
         self._simple = f"^[^{_BLANK}0]+$" if self.words else f"^[ \\n][^{_BLANK}]+$"
-        self._quick = None if self.words else byte_merges(self.library)
+        if not self.words:
+            self.letters, self.merges = byte_letters(self.library)
+            self._spelt = [(chr(b), x) for b, x in enumerate(self.letters) if x != chr(b) and (b == 32 or b >= 127)]
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.length, self.start, self.flat, self.used = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 15, np.uint16), 0
 
     def ids(self, text: str) -> list[int]:
         """What the library says of the whole text."""
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def far_ids(self, text: str) -> np.ndarray:
+        """The same of a long piece."""
+        if self.words:
+            return np.array(self.ids(text), np.uint16)
+        out, at = [], 0
+        while at < len(text):
+            turn = _TURN.search(text, at + FAR)
+            to = turn.start() if turn else len(text)
+            out.append(np.array(self.ids(text[at:to]), np.uint16))
+            at = to
+        return np.concatenate(out)
+
     # -- pieces
 
     def cut(self, text: str) -> list[str]:
@@ -106,12 +124,21 @@ class PieceEncoder:
         column = pa.array(pieces, pa.string())
         plain = pc.match_substring_regex(column, self._simple).to_numpy(zero_copy_only=False)
         rest = np.flatnonzero(~plain)
-        quick = plain & pc.match_substring_regex(column, f"^[ \\n][{_SETTLED}]+$").to_numpy(zero_copy_only=False) if self._quick else np.zeros(len(pieces), bool)
+        quick = np.zeros(len(pieces), bool)
+        if not self.words:
+            quick = plain & pc.match_substring_regex(column, f"^ [{_LATIN}]+[{_MARKS}]*$").to_numpy(zero_copy_only=False)
+            spelt = pc.replace_substring_regex(column, f"([{_LATIN}])([{_MARKS}])", "\\1\n\\2")
         runs = [(own[i : i + _JOIN], how) for own, how in ((np.flatnonzero(quick), True), (np.flatnonzero(plain & ~quick), False)) for i in range(0, len(own), _JOIN)]
         flat, used = [], 0
         for run, fast in runs:
-            joined = (" 0 " if self.words else "").join([pieces[i] for i in run])
-            ids = np.array(self._quick.encode_ordinary(joined) if fast else self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint16)
+            if fast:
+                joined = "\n".join(spelt.take(pa.array(run)).to_pylist()).encode().decode("latin-1")
+                for byte, letter in self._spelt:
+                    joined = joined.replace(byte, letter)
+                found = self.merges.encode_batch_fast([joined], add_special_tokens=False)
+            else:
+                found = self.library.encode_batch_fast([(" 0 " if self.words else "").join([pieces[i] for i in run])], add_special_tokens=False)
+            ids = np.array(found[0].ids, np.uint16)
             if self.words:
                 ends = np.append(np.flatnonzero(ids == self._zero[0]), len(ids))
                 begins = np.append(0, ends[:-1] + 1)
@@ -124,20 +151,24 @@ class PieceEncoder:
                 used += len(ids)
             else:
                 rest = np.append(rest, run)
-        for i, found in zip(rest, self.library.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
-            start[i], length[i] = used, len(found.ids)
-            flat.append(np.array(found.ids, np.uint16))
-            used += len(found.ids)
+        near = [i for i in rest if len(pieces[i]) <= FAR]
+        found = [x.ids for x in self.library.encode_batch_fast([pieces[i] for i in near], add_special_tokens=False)]
+        for i, ids in itertools.chain(zip(near, found, strict=True), ((i, self.far_ids(pieces[i])) for i in rest if len(pieces[i]) > FAR)):
+            start[i], length[i] = used, len(ids)
+            flat.append(np.array(ids, np.uint16))
+            used += len(ids)
         return np.concatenate([*flat, np.zeros(0, np.uint16)]), start, length
 
     def index(self, keys: list[str]) -> np.ndarray:
         """Where each key stands in the table, after adding those that are new."""
         at = np.fromiter(map(lambda k, get=self.known.get: get(k, -1), keys), np.int64, len(keys))
         if (at < 0).any():
-            if len(self.known) + int((at < 0).sum()) > self.limit and self.known:
+            if self.known and (self.held > HELD or len(self.known) + int((at < 0).sum()) > self.limit):
                 self.clear()
                 at[:] = -1
-            self.add([keys[i] for i in np.flatnonzero(at < 0)])
+            new = [keys[i] for i in np.flatnonzero(at < 0)]
+            self.held += sum(map(len, new))
+            self.add(new)
             at = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
         return at
 

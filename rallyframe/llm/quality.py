@@ -1,22 +1,26 @@
 """Importance resampling: documents are drawn in proportion to how much likelier the target model finds them than the raw one.
 
 Both models are bags of hashed n-grams over two alphabets: the words (n = 1) and the words' shapes (n = 2: letter case,
-trailing marks, and whether a word repeats the one before it). The raw model counts every document. The target model is
-the raw one with each n-gram's mass times the share of labelled documents with it that are in the target, smoothed
-towards the overall share; so ratio(n-gram) = share / mean share, and n-grams that no label speaks of are neutral. A
-document's log weight is that of its least target-like run of `run` n-grams, so length neither helps nor hurts.
+trailing marks, and whether a word repeats the one before it). The raw model counts every document, the target model the
+documents labelled as target, its counts smoothed by PRIOR n-grams a bucket that are spread as the raw model has them:
+
+    ratio(bucket) = (target + PRIOR) / (raw * T / R + PRIOR), T and R being all n-grams of target and raw
+
+A document's log weight is the sum of the log ratios of all its n-grams, both signs and every occurrence. It is taken by
+counts without the document itself: else words that only it has would count against it if it isn't labelled, and for it
+if it is. So labelled documents are scored as others are.
 
 Documents are sampled without replacement by Gumbel top-k: the k largest of log weight + temperature * Gumbel noise,
-the noise hashed from the id. Unless given, k is the number of documents over the key that best tells the labelled
-documents apart, each scored by counts without itself. The k-th largest key is found by refining a histogram, not by a
-sort in one task.
+the noise hashed from the id. Unless given, k is the number of documents whose key is at least that which all but
+1 - KEEP of the labelled target documents reach. The k-th largest key is found by refining a histogram, not by a sort in
+one task.
 
-At most MAX_LABELS labelled documents (those of smallest hash) fit the shares: this bound keeps the label table and the
-table of telling n-grams small enough to send to the tasks. Everything else is counted over all documents.
+At most MAX_LABELS labelled documents (those of smallest hash) make the target model, whatever the corpus. Everything
+else is counted over all documents. The models' size is that of their buckets.
 
-Null and empty texts have no n-grams and the neutral weight; a null id draws its noise as if it were 0; repeated rows
-are drawn each by itself but share their noise; no documents or no labels (then all weights are neutral and all
-documents are kept) are no error; other columns pass unchanged.
+Null and empty texts have no n-grams and weight 0; rows of equal or null ids share their noise, and `drawn` keeps all of
+them or none, as the likeliest of them; no documents or no labels (then all documents are kept) are no error; other
+columns pass unchanged, whatever their names; ids may be of any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -30,15 +34,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_batches, mixed, slices, split_words, stored, texts_of
+from .common import bounded_batches, mixed, slices, split_words, stored, texts_of, without
 
 MAX_LABELS = 60_000
-BUCKETS = 1 << 26
-#: Prior documents of the overall share that each n-gram's share starts from.
+#: Buckets of words and of pairs of shapes, which are few.
+WORDS, SHAPES = 1 << 22, 1 << 16
+#: N-grams of the raw model that each bucket's target count starts from.
 PRIOR = 3.0
-TEMPERATURE = 0.02
-#: Ratios nearer to neutral than this (log) are taken as neutral.
-TELLING = 0.7
+TEMPERATURE = 1.0
+#: Share of the labelled target documents that the default k draws.
+KEEP = 0.999
+#: Values that are sorted in one place at the end of a search for the k-th.
+FEW = 10_000
 _EDGE = "^[^\\pL\\pN]+|[^\\pL\\pN]+$"
 
 
@@ -66,40 +73,28 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         pair[1:] = shape[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
         pair[first] = 0
         pair = mixed(pair + shape + np.uint64(7))
-    return (word % np.uint64(BUCKETS)).astype(np.int64), (pair % np.uint64(BUCKETS)).astype(np.int64), starts
+    return (word % np.uint64(WORDS)).astype(np.int64), WORDS + (pair % np.uint64(SHAPES)).astype(np.int64), starts
 
 
 class Model:
-    """The log ratios of telling buckets."""
-
-    def __init__(self, buckets: np.ndarray, target: np.ndarray, labelled: np.ndarray, share: float, mean: float, run: int):
-        order = np.argsort(buckets)
-        self.buckets, self.target, self.labelled = buckets[order], target[order].astype(float), labelled[order].astype(float)
-        self.share, self.mean, self.run = share, mean, run
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[self.buckets & 0xFFFFF] = True
-
-    def ratios(self, found: np.ndarray, label: float | None) -> np.ndarray:
-        """label: 1 or 0 for a labelled text, whose own counts are left out."""
-        out = np.zeros(len(found))
-        at = np.flatnonzero(self.sieve[found & 0xFFFFF])
-        place = np.minimum(np.searchsorted(self.buckets, found[at]), len(self.buckets) - 1)
-        at, place = at[self.buckets[place] == found[at]], place[self.buckets[place] == found[at]]
-        target, labelled = self.target[place], self.labelled[place]
-        if label is not None:
-            target, labelled = target - label, labelled - 1
-        out[at] = np.log((target + PRIOR * self.share) / (np.maximum(labelled, 0) + PRIOR)) - np.log(self.mean)
-        out[out > -TELLING] = 0
-        return out
-
-    def weight(self, *alphabets: np.ndarray, label: float | None) -> float:
-        least = 0.0
-        for found in alphabets:
-            if len(found) and len(self.buckets):
-                c = np.concatenate([[0], np.cumsum(self.ratios(found, label))])
-                run = min(self.run, len(found))
-                least = min(least, float((c[run:] - c[:-run]).min()))
-        return least
+    """The counts of every bucket in target and raw text."""
+
+    def __init__(self, buckets: np.ndarray, raw: np.ndarray, target: np.ndarray):
+        self.raw, self.target = np.zeros(WORDS + SHAPES, np.float32), np.zeros(WORDS + SHAPES, np.float32)
+        self.raw[buckets], self.target[buckets] = raw, target
+        self.share = float(target.sum(dtype=np.float64) / max(1.0, raw.sum(dtype=np.float64)))
+
+    def weights(self, words: np.ndarray, shapes: np.ndarray, starts: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Each text's log weight by counts without it. target: which texts are among the target's."""
+        n, all_buckets = len(starts) - 1, WORDS + SHAPES
+        if not self.share:
+            return np.zeros(n)
+        row = np.repeat(np.arange(n), np.diff(starts))
+        found, own = np.unique(np.concatenate([row * all_buckets + words, row * all_buckets + shapes]), return_counts=True)
+        row, bucket = np.divmod(found, all_buckets)
+        expected = np.maximum(self.raw[bucket].astype(np.float64) - own, 0) * self.share
+        counted = np.maximum(self.target[bucket].astype(np.float64) - own * target[row], 0)
+        return np.bincount(row, weights=own * np.log((counted + PRIOR) / (expected + PRIOR)), minlength=n)
 
 
 def _labels(labels: DataFrame, id: str) -> DataFrame:
@@ -108,116 +103,96 @@ def _labels(labels: DataFrame, id: str) -> DataFrame:
     return labels.filter(F.col(id).isNotNull()).groupBy(F.col(id).alias("_label_of")).agg(F.min(good.cast("int")).alias("_label")).orderBy(F.xxhash64("_label_of"), "_label_of").limit(MAX_LABELS)
 
 
-def summed(tables: list[pa.Table]) -> pa.Table:
-    """Counts by bucket."""
-    found = pa.concat_tables(tables).group_by("bucket").aggregate([("raw", "sum"), ("labelled", "sum"), ("target", "sum")])
-    return found.select(["bucket", "raw_sum", "labelled_sum", "target_sum"]).rename_columns(["bucket", "raw", "labelled", "target"]).combine_chunks()
-
-
-def fit(docs: DataFrame, labels: DataFrame, run: int, text: str) -> Model:
+def fit(docs: DataFrame, text: str) -> Model:
     """docs: with the column _label (null where there is none)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, target = np.zeros(WORDS + SHAPES, np.int64), np.zeros(WORDS + SHAPES, np.int64)
         for batch in batches:
-            held = []
             for part in slices(batch, text):
                 words, shapes, starts = features(texts_of(part, text))
-                label = part.column("_label").to_pylist()
-                raw, n = np.unique(np.concatenate([words, shapes]), return_counts=True)
-                own, good = [], []
-                for i, x in enumerate(label):
-                    if x is not None:
-                        u = np.unique(np.concatenate([words[starts[i] : starts[i + 1]], shapes[starts[i] : starts[i + 1]]]))
-                        own.append(u)
-                        if x:
-                            good.append(u)
-                labelled, target = (np.bincount(np.searchsorted(raw, np.concatenate([*x, np.zeros(0, np.int64)])), minlength=len(raw)) for x in (own, good))
-                held.append(pa.table({"bucket": raw, "raw": n.astype(np.int64), "labelled": labelled.astype(np.int64), "target": target.astype(np.int64)}))
-                if len(held) == 8:
-                    held = [summed(held)]
-            if held:  # one batch's slices are summed before they leave the task
-                yield from summed(held).to_batches()
-
-    share = docs.agg(F.avg("_label")).first()[0]
-    if share is None:
-        share = 1.0
-    counts = docs.select(text, "_label").mapInArrow(count, "bucket long, raw long, labelled long, target long").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "labelled", "target")))
-    counts = stored(counts, "ngrams")
-    own = (F.col("target") + PRIOR * share) / (F.col("labelled") + PRIOR)
-    mean = counts.agg(F.sum(F.col("raw") * own) / F.sum("raw")).first()[0] or 1.0
-    # At least a few labelled documents speak for each telling n-gram, so MAX_LABELS bounds their number.
-    telling = counts.filter((own < mean * float(np.exp(-TELLING / 2))) & (F.col("labelled") - F.col("target") >= 3)).select("bucket", "target", "labelled").toPandas()
-    return Model(telling["bucket"].to_numpy(np.int64), telling["target"].to_numpy(), telling["labelled"].to_numpy(), share, mean, run)
-
-
-def keyed(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", run: int = 1, seed: int = 17) -> DataFrame:
-    """_id, log_weight, key, label of each document; held_key is the key that a labelled document has without its own counts."""
+                good = np.repeat(pc.fill_null(part.column("_label"), 0).to_numpy(zero_copy_only=False) == 1, np.diff(starts))
+                for found in (words, shapes):
+                    np.add.at(raw, found, 1)
+                    np.add.at(target, found[good], 1)
+        at = np.flatnonzero(raw)  # a task's own sums, so no more rows than buckets leave it
+        for i in range(0, len(at), 1 << 16):
+            own = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(raw[own]), pa.array(target[own])], ["bucket", "raw", "target"])
+
+    counts = docs.select(text, "_label").mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").cast("float").alias("raw"), F.sum("target").cast("float").alias("target"))
+    found = counts.toArrow()  # one row of 12 bytes for each bucket at most
+    return Model(*(found.column(c).to_numpy() for c in ("bucket", "raw", "target")))
+
+
+def keyed(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", temperature: float = TEMPERATURE, seed: int = 17) -> DataFrame:
+    """_id, log_weight, key, label of each document."""
     marked = bounded_batches(docs).select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(_labels(labels, id)), F.col("_id") == F.col("_label_of"), "left").select("_id", "_text", "_label")
-    model = docs.sparkSession.sparkContext.broadcast(fit(marked, labels, run, "_text"))
+    model = docs.sparkSession.sparkContext.broadcast(fit(marked, "_text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
         for batch in batches:
-            for part in slices(batch, "_text"):
-                words, shapes, starts = features(texts_of(part, "_text"))
-                label = part.column("_label").to_pylist()
-                own = [(words[a:b], shapes[a:b], x) for a, b, x in zip(starts[:-1], starts[1:], label, strict=True)]
-                weight = [m.weight(w, s, label=None) for w, s, _ in own]
-                held = [None if x is None else m.weight(w, s, label=x) for w, s, x in own]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(weight, pa.float64()), pa.array(held, pa.float64()), part.column("_label")], ["_id", "log_weight", "held_weight", "label"])
-
-    scored = marked.mapInArrow(score, f"_id {docs.schema[id].dataType.simpleString()}, log_weight double, held_weight double, label int")
-    uniform = (F.pmod(F.xxhash64(F.coalesce(F.col("_id"), F.lit(0)), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    noise = -TEMPERATURE * F.log(-F.log(uniform))
-    return stored(scored.withColumns({"key": F.col("log_weight") + noise, "held_key": F.col("held_weight") + noise}), "keys")
-
-
-def best_k(keys: DataFrame) -> int:
-    """Documents over the key that keeps the labelled target's documents and leaves the others, both rates counting alike by keys held out."""
-    width = 0.01
-    rows = keys.filter("label is not null").groupBy(F.floor(F.col("held_key") / width).alias("b")).agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad")).toPandas().sort_values("b")  # at most one row for each hundredth
-    good, bad = rows["good"].to_numpy(float), rows["bad"].to_numpy(float)
-    if not good.sum() or not bad.sum():
+            for part in slices(batch, "_text", 2 << 20):
+                target = pc.fill_null(part.column("_label"), 0).to_numpy(zero_copy_only=False) == 1
+                weight = model.value.weights(*features(texts_of(part, "_text")), target)
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(weight, pa.float64()), part.column("_label")], ["_id", "log_weight", "label"])
+
+    scored = marked.mapInArrow(score, f"_id {docs.schema[id].dataType.simpleString()}, log_weight double, label int")
+    uniform = (F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return stored(scored.withColumn("key", F.col("log_weight") - temperature * F.log(-F.log(uniform))), "keys")
+
+
+def kth(rows: DataFrame, value: Column, k: int) -> tuple[float, int]:
+    """The k-th largest value and how many are above it: of ever fewer values, those of one bin of a thousand are left."""
+    inside, above = rows.select(value.alias("v")), 0
+    values = inside
+    while True:
+        low, high, n = inside.agg(F.min("v"), F.max("v"), F.count("v")).first()
+        if low == high:
+            return low, above
+        if n <= FEW:
+            found = sorted((r["v"] for r in inside.collect()), reverse=True)
+            at = found[k - above - 1]
+            return at, above + sum(x > at for x in found)
+        place = F.least(F.floor((F.col("v") - low) / ((high - low) / 1000)), F.lit(999)).alias("b")
+        for r in sorted(inside.groupBy(place).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect(), key=lambda r: -r["b"]):
+            if above + r["n"] >= k:
+                inside = values.filter(F.col("v").between(r["low"], r["high"]))
+                break
+            above += r["n"]
+
+
+def default_k(keys: DataFrame, keep: float = KEEP) -> int:
+    """Documents whose key is at least that which all but 1 - keep of the labelled target documents reach."""
+    target = keys.filter("label = 1")
+    n = target.count()
+    if not n:
         return keys.count()
-    lost = np.concatenate([[0], np.cumsum(good)]) / good.sum()
-    left = np.concatenate([[0], np.cumsum(bad)]) / bad.sum()
-    at = int(np.argmax(left - lost))
-    if at == len(rows):
-        return 0
-    return keys.filter(F.floor(F.col("key") / width) >= int(rows["b"].iloc[at])).count()
+    cut, _ = kth(target, F.col("key"), n - int((1 - keep) * n))
+    return keys.filter(F.col("key") >= cut).count()
 
 
 def among_top(keys: DataFrame, k: int) -> Column:
-    """True for the rows of the k largest keys, ties to the smaller _id (repeated rows stay together)."""
-    spread = keys.agg(F.min("key"), F.max("key"), F.count(F.lit(1))).first()
-    if k >= spread[2] or k <= 0:
+    """True for the rows of the k largest keys, ties in order of a hash of _id (repeated rows stay together)."""
+    if k <= 0 or k >= keys.count():
         return F.lit(k > 0)
-    low, high, above = spread[0], spread[1], 0
-    while True:  # the k-th largest lies in [low, high]; `above` rows are over high
-        step = (high - low) / 1000
-        inside = keys.filter(F.col("key").between(low, high))
-        if step <= max(abs(low), abs(high)) * 1e-13 or inside.count() <= 10_000:
-            last = inside.orderBy(F.desc("key"), "_id").limit(k - above).agg(F.max(F.struct(-F.col("key"), "_id"))).first()[0]
-            return (F.col("key") > -last[0]) | ((F.col("key") == -last[0]) & (F.col("_id").isNull() | F.coalesce(F.col("_id") <= last[1], F.lit(False))))
-        bins = inside.groupBy(F.least(F.floor((F.col("key") - low) / step), F.lit(999)).alias("b")).count().collect()
-        for b in sorted(bins, key=lambda r: -r["b"]):
-            if above + b["count"] >= k:
-                low, high = low + b["b"] * step, min(high, low + (b["b"] + 1) * step)
-                break
-            above += b["count"]
-        above = keys.filter(F.col("key") > high).count()  # a key on a bin's edge may have been rounded over it
+    at, above = kth(keys, F.col("key"), k)
+    tied = keys.filter(F.col("key") == at)
+    if tied.count() == k - above:
+        return F.col("key") >= at
+    tie = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 52)).cast("double")
+    last, _ = kth(tied, -tie, k - above)
+    return (F.col("key") > at) | ((F.col("key") == at) & (-tie >= last))
 
 
-def resampled(docs: DataFrame, labels: DataFrame, *, k: int | None = None, id: str = "doc_id", text: str = "text", run: int = 1, seed: int = 17) -> DataFrame:
+def resampled(docs: DataFrame, labels: DataFrame, *, k: int | None = None, **how) -> DataFrame:
     """_id, log_weight, key of the documents drawn."""
-    keys = keyed(docs, labels, id=id, text=text, run=run, seed=seed)
-    return keys.filter(among_top(keys, best_k(keys) if k is None else k)).select("_id", "log_weight", "key")
+    keys = keyed(docs, labels, **how)
+    return keys.filter(among_top(keys, default_k(keys) if k is None else k)).select("_id", "log_weight", "key")
 
 
 def drawn(docs: DataFrame, labels: DataFrame, *, k: int | None = None, id: str = "doc_id", **how) -> DataFrame:
     """The documents drawn, all columns as they are."""
     keys = keyed(docs, labels, id=id, **how)
-    gone = stored(keys.filter(~among_top(keys, best_k(keys) if k is None else k)).select(F.col("_id").alias("_gone")).distinct(), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id).eqNullSafe(F.col("_gone")), "left_anti")
+    inside = among_top(keys, default_k(keys) if k is None else k)
+    return without(docs, id, keys.groupBy("_id").agg(F.max(inside).alias("_in")).filter(~F.col("_in")).select("_id"))

@@ -65,10 +65,10 @@ class PrefixCounter(PieceEncoder):
         self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
 
     def merges_of(self) -> None:
-        """Readies the recurrence: the tokens' bytes and all their ends."""
-        self.token_of = self._quick._mergeable_ranks
-        self.bytes_of = {t: b for b, t in self.token_of.items()}
-        self.ends = {b[i:] for b in self.token_of for i in range(len(b))}
+        """Readies the recurrence: the names of tokens that merges make, and all ends of these."""
+        self.token_of = {n: t for n, t in self.merges.get_vocab().items() if self.merges.encode(n).ids == [t]}
+        self.name_of = {t: n for n, t in self.token_of.items()}
+        self.ends = {n[i:] for n in self.token_of for i in range(len(n))}
         self.apart: dict[tuple[int, int], bool] = {}
 
     def merged_counts(self, part: str) -> np.ndarray:
@@ -76,20 +76,21 @@ class PrefixCounter(PieceEncoder):
         if len(part) <= 3:  # contractions: what begins them is split otherwise
             return np.array([len(self.ids(part[:i])) for i in range(1, len(part) + 1)], np.int32)
         data = part.encode()
+        names = "".join(map(self.letters.__getitem__, data))
         last, count = [0] * (len(data) + 1), np.zeros(len(data) + 1, np.int32)
         for j in range(1, len(data) + 1):
             n = 1
-            while n < j and data[j - n - 1 : j] in self.ends:
+            while n < j and names[j - n - 1 : j] in self.ends:
                 n += 1
             for i in range(j - n, j):
-                token = self.token_of.get(data[i:j])
+                token = self.token_of.get(names[i:j])
                 if token is None:
                     continue
                 pair = (last[i], token)
                 if i and pair not in self.apart:
                     if len(self.apart) >= KNOWN_PAIRS:
                         self.apart.clear()
-                    self.apart[pair] = self._quick._encode_single_piece(self.bytes_of[pair[0]] + data[i:j]) == [*pair]
+                    self.apart[pair] = self.merges.encode(self.name_of[pair[0]] + names[i:j]).ids == [*pair]
                 if not i or self.apart[pair]:
                     last[j], count[j] = token, count[i] + 1
                     break
@@ -98,7 +99,7 @@ class PrefixCounter(PieceEncoder):
 
     def piece_counts(self, piece: str) -> np.ndarray:
         """The counts at 1, ..., all characters of a piece that no table holds."""
-        if len(piece) <= LONG or self._quick is None or self.library.normalizer is not None:
+        if len(piece) <= LONG or self.words or self.library.normalizer is not None:
             return np.array([len(self.ids(piece[:i])) for i in range(1, len(piece) + 1)], np.int32)
         if not hasattr(self, "ends"):
             self.merges_of()

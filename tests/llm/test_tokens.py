@@ -154,3 +154,14 @@ def test_archives_round_trip(spark, docs):
         start += len(ids)
     assert sorted(map(tuple, rows), key=lambda r: r[1]) == wanted
     assert rans.read_archive(rans.write_archive(docs.limit(0), BYTES)).collect() == []
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_long_pieces_have_the_librarys_ids(path):
+    rng = random.Random(6)
+    library, coder = Tokenizer.from_file(path), PieceEncoder(path)
+    own = ["".join(rng.choices("abcXYZ0123'+/=é", k=300_000)), "a" * 100_000 + "9b", "語" * 70_000]
+    ids, counts = coder.encode(pa.array(own))
+    ends = np.cumsum(counts)
+    for t, e, n in zip(own, ends, counts, strict=True):
+        assert ids[e - n : e].tolist() == library.encode(t, add_special_tokens=False).ids

@@ -1,7 +1,7 @@
 """Chat formatting by DataFrame expressions: turns to one training string, and back.
 
-A conversation's turn structs are collected and sorted, adjacent turns of one role become one block of several parts,
-and the blocks are concatenated:
+A conversation's turn structs are collected and sorted, the array is cut where the role changes, each cut is joined to
+one block of several parts, and the blocks are concatenated:
 
     <|turn|>role\\n text (<|part|> text)* <|end|>\\n
 
@@ -15,10 +15,11 @@ turn comes first, rows of a null conversation form one; an empty table gives no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURN, PART, END = "<|turn|>", "<|part|>", "<|end|>\n"
+CHUNK = 256
 
 
 def escaped(x: Column) -> Column:
@@ -37,20 +38,32 @@ def unescaped(x: Column) -> Column:
 def format_chats(turns: DataFrame, *, id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant") -> DataFrame:
     """id, formatted, loss: array of (start, length)."""
     rows = turns.select(F.col(id).alias("_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    order = Window.partitionBy("_id").orderBy("turn", "role", "text")
-    former = F.lag("role").over(order)
-    head = (  # what stands before a turn's text
-        F.when(former.isNull(), F.concat(F.lit(TURN), escaped_role(F.col("role")), F.lit("\n")))
-        .when(former == F.col("role"), F.lit(PART))
-        .otherwise(F.concat(F.lit(END + TURN), escaped_role(F.col("role")), F.lit("\n")))
-    )
-    marked = rows.withColumns({"head": head, "body": escaped(F.col("text"))})
-    length = F.char_length("head") + F.char_length("body")
-    placed = marked.withColumn("start", F.coalesce(F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.char_length("head"))
-    chats = placed.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "start", "head", "body"))).alias("t"))
-    formatted = F.concat(F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"])), ""), F.lit(END))
-    spans = F.transform(F.filter("t", lambda x: x["role"] == learn), lambda x: F.struct(x["start"].alias("start"), F.char_length(x["body"]).cast("long").alias("length")))
-    return chats.select(F.col("_id").alias(id), formatted.alias("formatted"), spans.alias("loss"))
+    chats = rows.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    chats = chats.select("_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), escaped(x["text"]).alias("body"))).alias("t"))
+    changed = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i)["role"] != F.get("t", i - 1)["role"]))
+    chats = chats.withColumn("firsts", changed)  # where the blocks begin
+    blocks = F.transform("firsts", lambda i, k: F.slice("t", i + 1, F.coalesce(F.get("firsts", k + 1), F.size("t")) - i))
+    chats = chats.withColumn("blocks", blocks)
+    head = lambda x: F.concat(F.lit(TURN), escaped_role(x["role"]), F.lit("\n"))
+    formatted = F.array_join(F.transform("blocks", lambda b: F.concat(head(b[0]), F.array_join(F.transform(b, lambda x: x["body"]), PART), F.lit(END))), "")
+    # What stands before each text: its block's head or the mark between parts; and after it, at a block's end.
+    before = F.flatten(F.transform("blocks", lambda b: F.transform(b, lambda x, i: F.when(i == 0, F.char_length(head(x))).otherwise(len(PART)))))
+    after = F.flatten(F.transform("blocks", lambda b: F.transform(b, lambda x, i: F.when(i == F.size(b) - 1, len(END)).otherwise(0))))
+    chats = chats.select("_id", "t", formatted.alias("formatted"), before.alias("before"), after.alias("after"))
+    chats = chats.withColumn("lengths", F.transform("t", lambda x, i: (F.get("before", i) + F.char_length(x["body"]) + F.get("after", i)).cast("long")))
+    starts = running(F.col("lengths"))
+    chats = chats.withColumn("starts", starts)
+    spans = F.transform("t", lambda x, i: F.struct((F.get("starts", i) + F.get("before", i)).alias("start"), F.char_length(x["body"]).cast("long").alias("length"), (x["role"] == learn).alias("learn")))
+    loss = F.transform(F.filter(spans, lambda x: x["learn"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    return chats.select(F.col("_id").alias(id), "formatted", loss.alias("loss"))
+
+
+def running(numbers: Column) -> Column:
+    """The sum before each of an array's numbers (one at least). Sums grow inside chunks, then over chunks, so no long array is copied for each number."""
+    sums = lambda a: F.aggregate(a, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / CHUNK).cast("int")), lambda c: sums(F.slice(numbers, c * CHUNK + 1, CHUNK)))
+    based = F.transform(F.array(chunks), lambda c: F.struct(c.alias("c"), sums(F.transform(c, lambda x: F.element_at(x, -1))).alias("base")))
+    return F.flatten(F.flatten(F.transform(based, lambda b: F.transform(b["c"], lambda c, k: F.transform(F.slice(c, 1, F.size(c) - 1), lambda x: x + F.get(b["base"], k))))))
 
 
 def read_chats(chats: DataFrame, *, id: str = "conv_id") -> DataFrame:

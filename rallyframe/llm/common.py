@@ -44,9 +44,14 @@ def arrow_type(df: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
 
 
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def without(docs: DataFrame, id: str, gone: DataFrame) -> DataFrame:
     """The rows of docs whose id is not in gone (one column), all columns as they are, whatever their names."""
-    name = f"gone_{uuid.uuid4().hex}"
+    name = fresh("gone")
     gone = stored(gone.toDF(name).distinct(), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
@@ -113,3 +118,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0xC4CEB9FE1A85EC53)
         x ^= x >> np.uint64(33)
     return x
+
+
+def spread(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """low, low + 1, ... of n values for each row, and the row of each."""
+    row = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row], row

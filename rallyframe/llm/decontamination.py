@@ -7,9 +7,14 @@ positions. Words are runs of letters and digits, case folded. Items (or windows)
 words so short that every accepted pattern of substitutions leaves one whole; the masks leave none out from SHORT words
 on at the default window and agreement. Items of one to four words must be there verbatim at 0.8.
 
+Hits are joined by distinct seeds first: a seed that stands often in a text and in an item gives one row with both counts.
+Rows of up to DENSE hits are spread over their diagonals; for others all diagonals of the pair are counted at once, one
+item word after the other, so repeated words cost words x words in time but never in memory.
+
 The benchmark is the stated query set: it is taken in blocks of items of a bounded number of words, each sent to the
 tasks once, and every document is held against every block. Null and empty texts hold nothing; equal items and equal
-documents are reported each by itself; an empty table gives no rows; other columns don't matter.
+documents are reported each by itself, but `without_contaminated` drops all rows of an id in which an item is found; an
+empty table gives no rows; other columns don't matter, whatever their names; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_batches, coded_lists, mixed, slices, stored, texts_of
+from .common import arrow_type, bounded_batches, coded_lists, mixed, slices, spread, texts_of, without
 
 #: Fixed masks: six words each, of seven to ten positions.
 MASKS = ("1110111", "11011011", "110010111", "1010110011")
@@ -32,6 +37,8 @@ WINDOW, AGREE = 13, 0.8
 #: Below so many words the masks don't meet every accepted pattern.
 SHORT = 12
 CHUNK_HITS = 1 << 20
+#: Hits of one seed between one text and one item that are still spread one by one.
+DENSE = 4096
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +94,11 @@ class Benchmark:
             found.append(own[inside])
             places.append(place[inside])
         seed, place = np.concatenate(found), np.concatenate(places)
-        order = np.argsort(seed, kind="stable")
-        self.seed, self.place = seed[order], place[order]
+        item = np.searchsorted(self.starts, place, "right") - 1
+        order = np.lexsort((item, seed))
+        seed, item, self.place = seed[order], item[order], place[order]
+        first = runs_of(seed, item)
+        self.seed, self.item, self.first, self.often = seed[first], item[first], first, np.diff(np.append(first, len(seed)))
         self.bits = max(16, int(np.ceil(np.log2(max(1, len(seed)) * 16))))
         self.sieve = np.zeros(1 << self.bits, bool)  # most of the documents' seeds stop here
         self.sieve[(self.seed >> np.uint64(64 - self.bits)).astype(np.int64)] = True
@@ -106,28 +116,72 @@ class Benchmark:
         rows = np.stack([text, item, equal, first - starts[text]])[:, equal >= self.least[size]]
         return best_rows(rows)
 
-    def matches(self, words: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, first word in the text, words laid over, words that agree), the best place of each pair."""
-        whole, parts = [np.zeros((4, 0), np.int64)], [np.zeros((3, 0), np.int64)]
+    def laid_everywhere(self, own: np.ndarray, i: int) -> tuple[int, int, int] | None:
+        """The best place of an item in a text whatever the diagonal: words that agree, first word, words laid over."""
+        item = self.words[self.starts[i] : self.starts[i + 1]]
+        n, m = len(own), len(item)
+        w = m if m < min(SHORT, self.window + 1) else min(self.window, m)
+        if n < w:
+            return None
+        equal, last, most = np.zeros(n + m - 1, np.int32), np.zeros(n + m - 1, np.int32), np.zeros(n + m - 1, np.int32)
+        for j in range(m):  # on diagonal e the item's word j meets the text's word e - (m - 1) + j
+            same, at = own == item[j], m - 1 - j
+            equal[at : at + n] += same
+            last[at : at + n] += same
+            if j >= w:
+                last[at + w : at + w + n] -= own == item[j - w]
+            if j >= w - 1:
+                np.maximum(most[at + w - 1 : at + n], last[at + w - 1 : at + n], out=most[at + w - 1 : at + n])
+        e = np.flatnonzero(most >= needed(w, self.agree))
+        if not len(e):
+            return None
+        d = e - (m - 1)
+        first, over = np.maximum(d, 0), np.minimum(m, n - d) - np.maximum(0, -d)
+        best = np.lexsort((over, first, equal[e]))[-1]
+        return int(equal[e[best]]), int(first[best]), int(over[best])
+
+    def hits(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of text and item with more hits than are spread; and text, item, diagonal of all other hits, each once."""
+        dense, parts = [np.zeros((2, 0), np.int64)], [np.zeros((3, 0), np.int64)]
         for mask, salt, _ in self.masks:
             own = seeds(words, mask, salt)
             at = np.flatnonzero(self.sieve[(own >> np.uint64(64 - self.bits)).astype(np.int64)])
-            low, high = np.searchsorted(self.seed, own[at], "left"), np.searchsorted(self.seed, own[at], "right")
-            at, low, n = at[high > low], low[high > low], (high - low)[high > low]
-            ends = np.cumsum(n)
-            cuts = np.unique(np.searchsorted(ends, np.arange(CHUNK_HITS, (ends[-1] if len(n) else 0) + CHUNK_HITS, CHUNK_HITS), "right"))
-            for own_at, own_low, m in zip(np.split(at, cuts), np.split(low, cuts), np.split(n, cuts), strict=True):
-                here = np.repeat(own_at, m)
-                place = self.place[np.repeat(own_low - (np.cumsum(m) - m), m) + np.arange(m.sum())]
-                text, item = np.searchsorted(starts, here, "right") - 1, np.searchsorted(self.starts, place, "right") - 1
-                hits = np.stack([text, item, here - place])  # text word less benchmark word of the same diagonal
-                short = self.size[item] < min(SHORT, self.window + 1)
-                whole.append(self.laid_whole(hits[:, short], words, starts))
-                parts.append(hits[:, ~short])
-        text, item, equal, first = best_rows(np.concatenate(whole, axis=1))
-        out = list(zip(text.tolist(), item.tolist(), first.tolist(), self.size[item].tolist(), equal.tolist(), strict=True))
+            at = at[self.seed[np.minimum(np.searchsorted(self.seed, own[at]), len(self.seed) - 1)] == own[at]] if len(self.seed) else at[:0]
+            text = np.searchsorted(starts, at, "right") - 1
+            order = np.lexsort((own[at], text))
+            at, text = at[order], text[order]
+            head = runs_of(own[at], text)
+            count = np.diff(np.append(head, len(at)))
+            low, high = np.searchsorted(self.seed, own[at[head]], "left"), np.searchsorted(self.seed, own[at[head]], "right")
+            for rows in chunked(high - low):
+                k, row = spread(low[rows], (high - low)[rows])  # one row for each seed, text and item
+                row = rows[row]
+                n = count[row] * self.often[k]
+                far = n > DENSE
+                dense.append(np.unique(np.stack([text[head[row[far]]], self.item[k[far]]]), axis=1))
+                k, row, n = k[~far], row[~far], n[~far]
+                for some in chunked(n):
+                    which, one = spread(np.zeros(len(some), np.int64), n[some])
+                    one = some[one]
+                    a, b = np.divmod(which, self.often[k[one]])
+                    here, place = at[head[row[one]] + a], self.place[self.first[k[one]] + b]
+                    parts.append(np.unique(np.stack([text[head[row[one]]], self.item[k[one]], here - place]), axis=1))
+        return np.unique(np.concatenate(dense, axis=1), axis=1), np.unique(np.concatenate(parts, axis=1), axis=1)
+
+    def matches(self, words: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, first word in the text, words laid over, words that agree), the best place of each pair."""
+        dense, hits = self.hits(words, starts)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for t, i, d in np.unique(np.concatenate(parts, axis=1), axis=1).T.tolist():
+        for t, i in dense.T.tolist():
+            if found := self.laid_everywhere(words[starts[t] : starts[t + 1]], i):
+                best[t, i] = found
+        done = set(map(tuple, dense.T.tolist()))
+        if done:
+            hits = hits[:, [(t, i) not in done for t, i in hits[:2].T.tolist()]]
+        short = self.size[hits[1]] < min(SHORT, self.window + 1)
+        text, item, equal, first = self.laid_whole(hits[:, short], words, starts)
+        out = list(zip(text.tolist(), item.tolist(), first.tolist(), self.size[item].tolist(), equal.tolist(), strict=True))
+        for t, i, d in hits[:, ~short].T.tolist():
             a, b = max(self.starts[i], starts[t] - d), min(self.starts[i + 1], starts[t + 1] - d)
             same = words[a + d : b + d] == self.words[a:b]
             w = min(self.window, int(self.size[i]))
@@ -139,6 +193,20 @@ class Benchmark:
         return out + [(t, i, first, over, equal) for (t, i), (equal, first, over) in best.items()]
 
 
+def runs_of(*columns: np.ndarray) -> np.ndarray:
+    """Where the runs of equal rows begin."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def chunked(n: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows in chunks of about CHUNK_HITS by n; one larger row makes a chunk of its own."""
+    ends = np.cumsum(n)
+    cuts = np.unique(np.searchsorted(ends, np.arange(CHUNK_HITS, (ends[-1] if len(n) else 0) + CHUNK_HITS, CHUNK_HITS), "right"))
+    return (rows for rows in np.split(np.arange(len(n)), cuts) if len(rows))
+
+
 def best_rows(rows: np.ndarray) -> np.ndarray:
     """The last of each pair of the first two rows' values, in order of the other rows."""
     rows = rows[:, np.lexsort(rows[::-1])]
@@ -153,7 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", t
     total = benchmark.agg(F.sum(F.size(F.split(item_text, r"\s+"))).alias("n")).first()["n"] or 0
     blocks = 1 + 2 * total // BLOCK_WORDS  # halves, as items fall into blocks by hash
     kinds = (docs.schema[id].dataType.simpleString(), benchmark.schema[item].dataType.simpleString())
-    out = None
+    kind, out = arrow_type(benchmark, item), None
     for block in range(blocks):
         rows = benchmark.filter(F.pmod(F.xxhash64(item, item_text), F.lit(blocks)) == block).select(item, item_text).collect()
         held = spark.sparkContext.broadcast(Benchmark([r[0] for r in rows], [r[1] for r in rows], window, agree))
@@ -164,7 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", t
                 for part in slices(batch, text):
                     found = b.matches(*word_hashes(texts_of(part, text)))
                     ids = part.column(id).take(pa.array([x[0] for x in found], pa.int64()))
-                    own = pa.array([b.items[x[1]] for x in found], {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]])
+                    own = pa.array([b.items[x[1]] for x in found], kind)
                     yield pa.RecordBatch.from_arrays([ids, own, *(pa.array([x[k] for x in found], pa.int64()) for k in (2, 3, 4))], [id, item, "first_word", "n_words", "n_equal"])
 
         part = bounded_batches(docs).select(id, text).mapInArrow(run, f"{id} {kinds[0]}, {item} {kinds[1]}, first_word long, n_words long, n_equal long")
@@ -174,7 +242,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", t
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", **how) -> DataFrame:
     """The documents in which no item is found, all columns as they are."""
-    gone = stored(contaminated(docs, benchmark, id=id, **how).select(F.col(id).alias("_gone")).distinct(), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id) == F.col("_gone"), "left_anti")
+    return without(docs, id, contaminated(docs, benchmark, id=id, **how).select(id))

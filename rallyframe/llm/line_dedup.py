@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, stored
+from .common import BROADCAST_ROWS, fresh, stored
 
 #: Above the share of a host that groups of copied documents reach (those are for near-duplicate removal), below that of menus and footers.
 RATIO, PAGES = 0.08, 10
+#: Parts of a host where its pages meet its lines in a shuffle.
+PARTS = 32
 
 
 def _key(line: Column) -> Column:
@@ -39,16 +41,19 @@ def line_ratios(docs: DataFrame, *, host: str = "source", text: str = "text", pa
 def drop_boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES, copies_once: bool = False, counts: tuple[str, str] | None = None) -> DataFrame:
     """The pages without their hosts' boilerplate lines. counts: names for columns of the lines there were and the lines dropped."""
     # A host has at most (lines of a page) / ratio such lines, so one row holds them.
+    of, bad, salt = fresh("of"), fresh("bad"), fresh("salt")
     found = line_ratios(docs, host=host, text=text, pages=pages, copies_once=copies_once).filter(F.col("ratio") > ratio)
-    bad = stored(found.groupBy("host").agg(F.collect_list("line").alias("_bad")).select(F.col("host").alias("_of"), "_bad"), "boilerplate")
-    if (bad.agg(F.sum(F.size("_bad"))).first()[0] or 0) <= BROADCAST_ROWS:
-        bad = F.broadcast(bad)
-    joined = docs.join(bad, F.col(host).eqNullSafe(F.col("_of")), "left")
+    lists = stored(found.groupBy("host").agg(F.collect_list("line").alias(bad)).select(F.col("host").alias(of), bad), "boilerplate")
+    if (lists.agg(F.sum(F.size(bad))).first()[0] or 0) <= BROADCAST_ROWS:
+        joined = docs.join(F.broadcast(lists), F.col(host).eqNullSafe(F.col(of)), "left")
+    else:  # a host of many pages is dealt to several tasks
+        lists = lists.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        joined = docs.join(lists, F.col(host).eqNullSafe(F.col(of)) & (F.pmod(F.xxhash64(text), F.lit(PARTS)) == F.col(salt)), "left")
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_bad"), _key(x)))
-    clean = F.when(F.col("_bad").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(bad), _key(x)))
+    clean = F.when(F.col(bad).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     columns = [clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        left = F.when(F.col("_bad").isNull(), F.size(lines)).otherwise(F.size(kept))
+        left = F.when(F.col(bad).isNull(), F.size(lines)).otherwise(F.size(kept))
         columns += [F.size(lines).cast("long").alias(counts[0]), (F.size(lines) - left).cast("long").alias(counts[1])]
     return joined.select(*columns)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_batches, mixed, release, slices, split_words, stored, texts_of
+from .common import BROADCAST_ROWS, bounded_batches, mixed, release, slices, split_words, spread, stored, texts_of, without
 
 K = 32
 #: Standard errors below the threshold at which an estimate rules a pair out.
@@ -104,32 +104,23 @@ def connected(sets: list[np.ndarray], sketches: list[np.ndarray], tile: np.ndarr
     t = threshold[0] / threshold[1]
     across = bool(tile.any()) and not tile.all()
 
-    def vectors(lists: list[np.ndarray], most: int) -> np.ndarray | None:
-        """Of values that two and more lists have, which list has which."""
-        flat = np.concatenate(lists)
-        values, place, seen = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = seen > 1
-        column = np.cumsum(shared) - 1
-        width = int(shared.sum())
-        if m * width > most:
-            return None
-        out = np.zeros((m, width), np.float32)
-        keep = shared[place]
-        out[np.repeat(np.arange(m), [len(x) for x in lists])[keep], column[place[keep]]] = 1
-        return out
+    flat, ends = np.concatenate(sets), np.cumsum(n)
+
+    def held(of: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Which values are in the sorted set."""
+        return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
 
     padded = np.full((m, k), _MOST, np.int64)
     for i, x in enumerate(sketches):
         padded[i, : len(x)] = x
     kept = np.fromiter(map(len, sketches), np.int64, m)
-    hit, exact = vectors(sketches, 1 << 24), vectors(sets, 1 << 24)
     for i in range(m):
         j = np.arange(i + 1, m)
         j = j[(root[j] != root[i]) & (threshold[1] * np.minimum(n[j], n[i]) >= threshold[0] * np.maximum(n[j], n[i]))]
         if across:
             j = j[tile[j] != tile[i]]
-        if len(j) and hit is not None:
-            j = j[hit[j] @ hit[i] >= np.ceil(0.5 * np.minimum(kept[i], kept[j]))]
+        if len(j):
+            j = j[held(sketches[i], padded[j]).sum(axis=1) >= np.ceil(0.5 * np.minimum(kept[i], kept[j]))]
         if not len(j):
             continue
         both = np.sort(np.concatenate([np.broadcast_to(padded[i], (len(j), k)), padded[j]], axis=1), axis=1)
@@ -140,10 +131,8 @@ def connected(sets: list[np.ndarray], sketches: list[np.ndarray], tile: np.ndarr
         j = j[estimate >= t - ERRORS * np.sqrt(t * (1 - t) / of)]
         if not len(j):
             continue
-        if exact is not None:
-            common = np.rint(exact[j] @ exact[i]).astype(np.int64)
-        else:
-            common = np.fromiter((len(np.intersect1d(sets[i], sets[x], assume_unique=True)) for x in j), np.int64, len(j))
+        which, row = spread(ends[j] - n[j], n[j])
+        common = np.bincount(row[held(sets[i], flat[which])], minlength=len(j))
         linked = j[threshold[1] * common >= threshold[0] * (n[i] + n[j] - common)]
         for r in np.unique(root[linked]).tolist():
             low, high = sorted((r, int(root[i])))
@@ -222,7 +211,4 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: tuple[int, in
 
 def without_near_duplicates(docs: DataFrame, *, id: str = "doc_id", **how) -> DataFrame:
     """The documents less those that near_duplicates doesn't keep, all columns as they are."""
-    gone = stored(near_duplicates(docs, id=id, **how).filter(~F.col("kept")).select(F.col(id).alias("_gone")).distinct(), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id) == F.col("_gone"), "left_anti")
+    return without(docs, id, near_duplicates(docs, id=id, **how).filter(~F.col("kept")).select(id))

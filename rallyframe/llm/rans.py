@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, slices, stored, texts_of
+from .common import arrow_type, bounded_batches, slices, stored, texts_of
 from .pieces import encoder
 
 MAGIC = b"RTA1"
@@ -138,7 +138,7 @@ def write_archive(docs: DataFrame, path: str, *, end: int = 0, id: str = "doc_id
     Segments are in order by (part, seq). Only the texts are shuffled, once, by ranges of ids.
     """
     schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("before", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id].dataType)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
-    kind = pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[docs.schema[id].dataType.simpleString()])
+    kind = pa.list_(arrow_type(docs, id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq = encoder(path), TaskContext.get().partitionId(), 0

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import arrow_type, stored
 
 #: Standard errors that a lower bound allows for.
 SIGMAS = 3.5
@@ -70,7 +70,7 @@ def index(vectors: DataFrame, k: int, *, id: str = "vec_id", embedding: str = "e
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, *, id: str = "vec_id", embedding: str = "embedding", seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: each chosen row's k nearest other rows by Euclidean distance."""
     entries, center, turn = index(vectors, k, id=id, embedding=embedding, seed=seed)
-    dim, kind = len(center), vectors.schema[id].dataType.simpleString()
+    dim, kind, own = len(center), vectors.schema[id].dataType.simpleString(), arrow_type(vectors, id)
     asked = stored(usable(vectors.filter(queries), id, embedding).filter(F.size("_v") == dim).distinct(), "asked")
     across, down = 1 + entries.count() // ENTRIES, 1 + asked.count() // QUERIES
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -101,7 +101,6 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, *, id: str = "vec_
                 best = sorted((d, m) for d, x in zip(measured(at).tolist(), at, strict=True) if d <= limit for m in members[x] if m != name)[:k]
                 for to, column in zip(out, ([name] * len(best), [m for _, m in best], [d for d, _ in best]), strict=True):
                     to += column
-        own = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
         return pa.table([pa.array(out[0], own), pa.array(out[1], own), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
     found = left.groupBy("q", "e").cogroup(right.groupBy("q", "e")).applyInArrow(search, f"query_id {kind}, vec_id {kind}, score double")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, shared_dir, slices, stored
 
 MAGIC, CRLF2 = b"WARC/1.0\r\n", b"\r\n\r\n"
+RANGE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
@@ -50,13 +51,13 @@ def write_warc(pages: DataFrame, path: str | None = None, *, min_bytes: int = 0,
     """Writes one archive for each partition and returns their folder. Of equal payloads of min_bytes and more, all but the smallest id's are revisits."""
     path = path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     payload = F.coalesce(F.col(html), F.lit(""))
-    sums = pages.select(F.col(id).alias("_id"), F.sha2(payload.cast("binary"), 256).alias("_h"), F.octet_length(payload).alias("_n")).filter(F.col("_n") >= min_bytes)
+    sums = pages.select(F.col(id).alias("_id"), F.unhex(F.sha2(payload.cast("binary"), 256)).alias("_h"), F.octet_length(payload).alias("_n")).filter(F.col("_n") >= min_bytes)
     first = sums.groupBy("_h").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
-    again = stored(sums.join(first, "_h").filter("_id <> _first").select("_id", "_h", "_first").distinct(), "revisits")
+    again = stored(sums.join(first, "_h").filter("_id <> _first").select("_id", F.xxhash64("_h").alias("_h"), "_first").distinct(), "revisits")
     if again.count() <= BROADCAST_ROWS:  # else the payloads are shuffled once
         again = F.broadcast(again)
     rows = pages.select(F.col(id).alias("_of"), F.coalesce(url, F.lit("")).alias("_url"), payload.cast("binary").alias("_payload"))
-    rows = rows.join(again, (F.col("_of") == F.col("_id")) & (F.sha2("_payload", 256) == F.col("_h")), "left").select(F.col("_of").cast("string").alias("_of"), "_url", "_payload", F.col("_first").cast("string").alias("_first"))
+    rows = rows.join(again, (F.col("_of") == F.col("_id")) & (F.xxhash64(F.unhex(F.sha2("_payload", 256))) == F.col("_h")), "left").select(F.col("_of").cast("string").alias("_of"), "_url", "_payload", F.col("_first").cast("string").alias("_first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +202,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     placed = _chunks(spark, path).mapInArrow(run, "file long, block long, value binary, at long")
     bases = stored(split_bases(placed.select("file", "block", F.octet_length("value").alias("size"))), "bases")
     placed = placed.join(torn.select("file").distinct(), "file", "left_semi").join(bases, ["file", "block"]).withColumn("p", F.col("base") + F.col("at"))
-    parts = placed.join(torn, ["file"]).filter("p >= start and p < end")
+    # Pieces meet records by ranges of offsets, so that a file's pieces aren't held against all of its torn records.
+    ranges = torn.withColumn("range", F.explode(F.sequence(F.floor(F.col("start") / RANGE), F.floor((F.col("end") - 1) / RANGE))))
+    parts = placed.withColumn("range", F.floor(F.col("p") / RANGE)).join(ranges, ["file", "range"]).filter("p >= start and p < end")
 
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by("p")

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -202,6 +203,12 @@ def test_chats_read_back(spark):
     assert chat_format.format_chats(turns.limit(0)).collect() == []
 
 
+def test_running_sums(spark):
+    df = spark.createDataFrame([(list(range(n)),) for n in (1, 2, 255, 256, 257, 1000)], "x array<long>")
+    for r in df.select("x", chat_format.running(F.col("x")).alias("s")).collect():
+        assert r["s"] == [sum(r["x"][:i]) for i in range(len(r["x"]))]
+
+
 # -- resampling
 
 
@@ -343,3 +350,77 @@ def test_word_features_do_not_reach_across_texts():
     assert starts.tolist() == [0, 2, 2, 5] and len(words) == len(shapes) == 5
     assert words[1] == words[2] == words[3] == words[4]
     assert quality.features(pa.array(["b B, b"]))[1].tolist() == shapes[2:].tolist()
+
+
+def brute_matches(text, items, window=13, agree=0.8):
+    """Of each item found in the text, the most words that agree on an accepted diagonal."""
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    x, out = split(text), {}
+    for k, item in items:
+        y = split(item)
+        w = len(y) if len(y) < 12 else min(window, len(y))
+        for d in range(-len(y) + 1, len(x)) if y else ():
+            same = [x[d + j] == y[j] for j in range(len(y)) if 0 <= d + j < len(x)]
+            if any(sum(same[a : a + w]) >= agree * w - 1e-9 for a in range(len(same) - w + 1)):
+                out[k] = max(out.get(k, 0), sum(same))
+    return out
+
+
+@pytest.mark.parametrize("dense", [4096, 4, 0])
+def test_decontamination_equals_all_pairs(spark, monkeypatch, dense):
+    monkeypatch.setattr(decontamination, "DENSE", dense)
+    rng = random.Random(21)
+    few = ["ka", "lo", "mi"]  # so that words and seeds repeat
+    items = [(k, " ".join(rng.choice(few if k % 2 else WORDS) for _ in range(rng.choice([3, 9, 14, 30])))) for k in range(12)] + [(50, "ka " * 40), (51, "ka lo " * 15)]
+    texts = []
+    for i in range(40):
+        own = [rng.choice(few if i % 3 else WORDS) for _ in range(rng.randint(5, 50))]
+        passage = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 3)):
+            passage[rng.randrange(len(passage))] = "X"
+        texts.append(" ".join(own + passage))
+    texts += ["ka " * 60, "lo ka " * 20, "", None]
+    found = {}
+    bench = decontamination.Benchmark([k for k, _ in items], [t for _, t in items])
+    for t, i, _, _, equal in bench.matches(*decontamination.word_hashes(pa.array([t or "" for t in texts], pa.string()))):
+        assert (t, items[i][0]) not in found
+        found[t, items[i][0]] = equal
+    wanted = {(t, k): n for t, text in enumerate(texts) for k, n in brute_matches(text, items).items()}
+    assert found.keys() == wanted.keys() and len(wanted) > 40
+    assert all(n <= wanted[p] for p, n in found.items())
+    if dense == 0:
+        assert found == wanted
+
+
+def test_repeated_words_take_little_memory():
+    bench = decontamination.Benchmark([0, 1], ["ka " * 600, "ka lo " * 300])
+    tracemalloc.start()
+    found = bench.matches(*decontamination.word_hashes(pa.array(["ka " * 20_000, "ka lo " * 10_000])))
+    assert sorted((t, i, equal) for t, i, _, _, equal in found) == [(0, 0, 600), (1, 1, 600)]
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_clashing_names_and_other_kinds_of_ids(spark):
+    rng = random.Random(22)
+    extra = "_bad string, _of string, _gone long, _v long, _in int, gone int, n int, rep int, _first int, base int, `a.b` int"
+    text = prose(rng, 60)
+    rows = [(str(i), text if i < 3 else prose(rng, 40), "s", "x", "y", i, i, 1, 1, 1, 1, 1, 1, 1) for i in range(8)]
+    labels = spark.createDataFrame([(str(i), 1, 0) for i in range(8)], "doc_id string, quality int, toxic int")
+    bench = spark.createDataFrame([("q", prose(rng, 20))], "item_id string, text string")
+    for kind in ("string", "smallint"):
+        docs = spark.createDataFrame(rows, f"doc_id string, text string, source string, {extra}").withColumn("doc_id", F.col("doc_id").cast(kind))
+        for out in (
+            quality.drawn(docs, labels.withColumn("doc_id", F.col("doc_id").cast(kind))),
+            line_dedup.drop_boilerplate(docs, counts=("n_lines", "n_dropped")).drop("n_lines", "n_dropped"),
+            near_duplicates.without_near_duplicates(docs),
+            decontamination.without_contaminated(docs, bench),
+        ):
+            assert out.columns == docs.columns
+            out.count()
+        kept = near_duplicates.without_near_duplicates(docs)
+        assert sorted(int(r["doc_id"]) for r in kept.collect()) == [0, 3, 4, 5, 6, 7]
+        small = docs.select("doc_id", "text")
+        assert decontamination.contaminated(small, bench).collect() == []
+        vectors = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(5)], "vec_id string, embedding array<float>").withColumn("vec_id", F.col("vec_id").cast(kind))
+        assert [str(r["vec_id"]) for r in vector_search.nearest(vectors, F.col("vec_id") == "0", 2).orderBy("rank").collect()] == ["1", "2"]

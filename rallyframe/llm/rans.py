@@ -2,7 +2,8 @@
 
 A segment is one row: a table of token frequencies shared by the segment's blocks, and the blocks. Each block is coded
 by itself over LANES interleaved states; a checkpoint every CHECKPOINT tokens holds the place in the block's words and
-all states, so decoding may begin there; a CRC-32 stands over each block's tokens and over the whole segment. Documents
+all states, so decoding may begin there; a CRC-32 stands over the tokens between checkpoints, over the whole segment and
+over its index. `read_archive` decodes segments in parallel, `fetch` single documents from the checkpoints before them. Documents
 are in ascending order of id, whole in one segment, and the row lists their ids and lengths, so that any executor
 decodes any segment.
 
@@ -73,8 +74,8 @@ def encode_block(symbols: np.ndarray, freq: np.ndarray, bits: int) -> bytes:
     return b"".join([*out, *(w.astype("<u4").tobytes() for w in reversed(words))])
 
 
-def decode_block(data: bytes, freq: np.ndarray, bits: int, mark: int = 0) -> np.ndarray:
-    """The symbols from checkpoint number `mark` on."""
+def decode_block(data: bytes, freq: np.ndarray, bits: int, mark: int = 0, until: int | None = None) -> np.ndarray:
+    """The symbols from checkpoint number `mark` on, to the block's end or up to symbol number `until`."""
     n, count, marks = struct.unpack_from("<III", data)
     step = 4 + 8 * LANES
     pos = struct.unpack_from("<I", data, 12 + mark * step)[0]
@@ -83,6 +84,7 @@ def decode_block(data: bytes, freq: np.ndarray, bits: int, mark: int = 0) -> np.
     f, c = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
     symbol_of = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 1 << 16 else np.int32), freq)
     mask, k, first = np.uint64((1 << bits) - 1), np.uint64(bits), mark * CHECKPOINT
+    whole, n = n, n if until is None else min(n, until)
     out = np.empty(n - first, np.int32)
     for row in range(0, n - first, LANES):
         x = state[: min(LANES, n - first - row)]
@@ -95,6 +97,8 @@ def decode_block(data: bytes, freq: np.ndarray, bits: int, mark: int = 0) -> np.
             pos += m
         state[: len(x)] = x
         out[row : row + len(x)] = s
+    if n == whole and (state != _LOW).any():
+        raise ValueError("a block doesn't end in the state that its encoding began with")
     return out
 
 
@@ -108,36 +112,50 @@ def encode_segment(ids: np.ndarray) -> bytes:
     freq = frequencies(counts[present], bits)
     blocks = [encode_block(symbols[i : i + BLOCK], freq, bits) for i in range(0, len(ids), BLOCK)]
     table = zlib.compress(np.diff(present, prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 6)
-    sums = [zlib.crc32(ids[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)]
-    head = struct.pack("<4sBIII", MAGIC, bits, len(present), len(table), len(blocks)) + struct.pack(f"<{2 * len(blocks)}I", *map(len, blocks), *sums)
+    sums = [zlib.crc32(ids[i : i + CHECKPOINT].astype("<u4").tobytes()) for i in range(0, len(ids), CHECKPOINT)]
+    head = struct.pack("<4sBIIII", MAGIC, bits, len(present), len(table), len(blocks), len(sums)) + struct.pack(f"<{len(blocks) + len(sums)}I", *map(len, blocks), *sums)
     body = b"".join([head, table, *blocks])
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def decode_segment(data: bytes) -> np.ndarray:
-    """The segment's ids; raises ValueError where a checksum doesn't hold."""
-    if data[:4] != MAGIC or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
+def decode_segment(data: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """The segment's ids, or those from number start up to stop, of which only the stretches between checkpoints around them are decoded.
+
+    Raises ValueError where a checksum doesn't hold: the segment's if all is read, else those of the stretches.
+    """
+    whole = start == 0 and stop is None
+    if data[:4] != MAGIC or whole and zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
         raise ValueError("not a segment, or damaged")
-    _, bits, n, size, blocks = struct.unpack_from("<4sBIII", data)
-    told = struct.unpack_from(f"<{2 * blocks}I", data, 17)
-    at = 17 + 8 * blocks
+    _, bits, n, size, blocks, stretches = struct.unpack_from("<4sBIIII", data)
+    told = struct.unpack_from(f"<{blocks + stretches}I", data, 21)
+    at = 21 + 4 * (blocks + stretches)
     table = np.frombuffer(zlib.decompress(data[at : at + size]), "<u4")
     present, freq, at, out = np.cumsum(table[:n], dtype=np.int64), table[n:].astype(np.int64), at + size, []
+    stop = blocks * BLOCK if stop is None else stop
+    first = start // CHECKPOINT * CHECKPOINT
     for i in range(blocks):
-        ids = present[decode_block(data[at : at + told[i]], freq, bits)].astype("<u4")
-        if zlib.crc32(ids.tobytes()) != told[blocks + i]:
-            raise ValueError(f"block {i} is damaged")
-        out.append(ids)
+        low, high = max(first, i * BLOCK), min(-(-stop // CHECKPOINT) * CHECKPOINT, (i + 1) * BLOCK)
+        if low < high:
+            ids = present[decode_block(data[at : at + told[i]], freq, bits, (low - i * BLOCK) // CHECKPOINT, high - i * BLOCK)].astype("<u4")
+            for k in range(0, len(ids), CHECKPOINT):
+                if zlib.crc32(ids[k : k + CHECKPOINT].tobytes()) != told[blocks + (low + k) // CHECKPOINT]:
+                    raise ValueError(f"the stretch at {low + k} is damaged")
+            out.append(ids)
         at += told[i]
-    return np.concatenate(out) if out else np.zeros(0, "<u4")
+    return np.concatenate(out)[start - first : stop - first] if out else np.zeros(0, "<u4")
+
+
+def index_sum(ids: pa.Array, lengths: np.ndarray) -> int:
+    """The checksum of a segment's index."""
+    return zlib.crc32(lengths.astype("<i8").tobytes(), zlib.crc32("\0".join(map(repr, ids.to_pylist())).encode()))
 
 
 def write_archive(docs: DataFrame, path: str, *, end: int = 0, id: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
-    """Encodes whole texts, the end id after each, and returns the written archive: part, seq, before (the part's tokens before this segment), ids, lengths, data.
+    """Encodes whole texts, the end id after each, and returns the written archive: part, seq, before (the part's tokens before this segment), ids, lengths, index_crc32, data.
 
     Segments are in order by (part, seq). Only the texts are shuffled, once, by ranges of ids.
     """
-    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("before", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id].dataType)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
+    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("before", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id].dataType)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("index_crc32", T.LongType()), T.StructField("data", T.BinaryType())])
     kind = pa.list_(arrow_type(docs, id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +163,7 @@ def write_archive(docs: DataFrame, path: str, *, end: int = 0, id: str = "doc_id
         ids, lengths, parts, held, before = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([ids], kind), pa.array([lengths], pa.list_(pa.int64())), pa.array([encode_segment(np.concatenate(parts))], pa.binary())], ["part", "seq", "before", "ids", "lengths", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([ids], kind), pa.array([lengths], pa.list_(pa.int64())), pa.array([index_sum(pa.array(ids, kind.value_type), np.array(lengths))], pa.int64()), pa.array([encode_segment(np.concatenate(parts))], pa.binary())], ["part", "seq", "before", "ids", "lengths", "index_crc32", "data"])
 
         for batch in batches:
             for piece in slices(batch, text):
@@ -185,7 +203,7 @@ def read_archive(archive: DataFrame, *, id: str = "doc_id") -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 tokens = decode_segment(batch.column("data")[row].as_py())
-                length = np.array(batch.column("lengths")[row].as_py(), np.int64)
+                length = checked_lengths(batch, row)
                 ends = np.cumsum(length)
                 if len(tokens) != (ends[-1] if len(ends) else 0):
                     raise ValueError("the index and the tokens differ")
@@ -193,4 +211,37 @@ def read_archive(archive: DataFrame, *, id: str = "doc_id") -> DataFrame:
                 sums = [zlib.crc32(memoryview(tokens[e - n : e]).cast("B")) for e, n in zip(ends, length, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("ids")[row].values, pa.array(first + ends - length), pa.array(length), pa.array(sums, pa.int64())], [id, "start", "n_tokens", "ids_crc32"])
 
-    return archive.select("part", "before", "ids", "lengths", "data").mapInArrow(run, f"{id} {kind}, start long, n_tokens long, ids_crc32 long")
+    return archive.select("part", "before", "ids", "lengths", "index_crc32", "data").mapInArrow(run, f"{id} {kind}, start long, n_tokens long, ids_crc32 long")
+
+
+def checked_lengths(batch: pa.RecordBatch, row: int) -> np.ndarray:
+    """A segment's lengths, if its index is sound."""
+    length = np.array(batch.column("lengths")[row].as_py(), np.int64)
+    if index_sum(batch.column("ids")[row].values, length) != batch.column("index_crc32")[row].as_py():
+        raise ValueError("a segment's index is damaged")
+    return length
+
+
+def fetch(archive: DataFrame, wanted: DataFrame, *, id: str = "doc_id") -> DataFrame:
+    """id, tokens of the documents with an id in `wanted`, each decoded from the checkpoint before it on.
+
+    The ids are met with the segments' indexes first, so only segments that hold one are read, each in one task.
+    """
+    ids = wanted.select(F.col(id).alias("_want")).distinct()
+    held = archive.select("part", "seq", F.explode("ids").alias("_have")).join(ids, F.col("_have").eqNullSafe(F.col("_want")))
+    asked = held.groupBy("part", "seq").agg(F.max(F.col("_want").isNull()).alias("null"), F.collect_set("_want").alias("which"))
+    kind = archive.schema["ids"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                length = checked_lengths(batch, row)
+                ends, data = np.cumsum(length), batch.column("data")[row].as_py()
+                names, which = batch.column("ids")[row].values, set(batch.column("which")[row].as_py())
+                if batch.column("null")[row].as_py():
+                    which.add(None)
+                at = [i for i, x in enumerate(names.to_pylist()) if x in which]
+                tokens = [decode_segment(data, int(ends[i] - length[i]), int(ends[i])).astype(np.int32) for i in at]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at, pa.int64())), pa.array(tokens, pa.list_(pa.int32()))], [id, "tokens"])
+
+    return archive.join(asked, ["part", "seq"]).select("ids", "lengths", "index_crc32", "which", "null", "data").mapInArrow(run, f"{id} {kind}, tokens array<int>")

@@ -15,6 +15,7 @@ table gives an empty result; other columns pass only if named in `keep`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,12 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, bounded_batches, slices, texts_of
-from .pieces import PieceEncoder
+from .pieces import _JOIN, _MARKS, PieceEncoder
 
 
 #: Characters of the longest piece whose prefixes are kept.
 LONG = 256
 KNOWN_PAIRS = 1_000_000
+_WORD_END = re.compile(r"(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
 
 
 class PrefixCounter(PieceEncoder):
@@ -43,13 +45,10 @@ class PrefixCounter(PieceEncoder):
     def add(self, keys: list[str]) -> None:
         n, known = len(self.known), self.prefixes
         pieces = [self.piece(k) for k in keys]
-        new: dict[str, None] = {}
-        for x in pieces:  # from the longest prefix down to one that is known, with which all before it are
-            for i in range(len(x), 0, -1):
-                if (y := x[:i]) in known or y in new:
-                    break
-                new[y] = None
-        found = list(new)
+        plain = self.plain(pieces)
+        words, others = self.new_prefixes([x for x, p in zip(pieces, plain, strict=True) if p]), self.new_prefixes([x for x, p in zip(pieces, plain, strict=True) if not p])
+        known.update(zip(words, self.word_counts(words).tolist(), strict=True))
+        found = [x for x in others if x not in known]
         known.update(zip(found, self.many(found)[2].tolist(), strict=True))
         size = np.fromiter(map(len, pieces), np.int32, len(pieces))
         flat = np.fromiter((known[x[:i]] for x in pieces for i in range(1, len(x) + 1)), np.uint16, int(size.sum()))
@@ -64,6 +63,28 @@ class PrefixCounter(PieceEncoder):
         self.inner_used += len(flat)
         self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
 
+    def plain(self, pieces: list[str]) -> list[bool]:
+        """Which pieces are a space, ASCII letters and perhaps marks."""
+        return [False] * len(pieces) if self.words else pc.match_substring_regex(pa.array(pieces, pa.string()), f"^ [A-Za-z]+[{_MARKS}]*$").to_pylist()
+
+    def new_prefixes(self, pieces: list[str]) -> list[str]:
+        known, new = self.prefixes, {}
+        for x in pieces:  # from the longest prefix down to one that is known, with which all before it are
+            for i in range(len(x), 0, -1):
+                if (y := x[:i]) in known or y in new:
+                    break
+                new[y] = None
+        return list(new)
+
+    def word_counts(self, prefixes: list[str]) -> np.ndarray:
+        """The tokens of prefixes of plain pieces; a line feed cuts them where the split would."""
+        out = []
+        for i in range(0, len(prefixes), _JOIN):
+            joined = _WORD_END.sub("\n", "\n".join(prefixes[i : i + _JOIN])).replace(" ", self.letters[32])
+            ids = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint16)
+            out.append(np.diff(np.append(np.flatnonzero(self._starts_piece[ids]), len(ids))))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
     def merges_of(self) -> None:
         """Readies the recurrence: the names of tokens that merges make, and all ends of these."""
         self.token_of = {n: t for n, t in self.merges.get_vocab().items() if self.merges.encode(n).ids == [t]}

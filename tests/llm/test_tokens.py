@@ -165,3 +165,25 @@ def test_long_pieces_have_the_librarys_ids(path):
     ends = np.cumsum(counts)
     for t, e, n in zip(own, ends, counts, strict=True):
         assert ids[e - n : e].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_stretches_of_a_segment_are_decoded_alone():
+    ids = (np.random.default_rng(3).zipf(1.3, rans.BLOCK + 2 * rans.CHECKPOINT + 5) % 50_000).astype(np.uint32)
+    data = rans.encode_segment(ids)
+    for a, b in [(0, 1), (5, rans.CHECKPOINT), (rans.CHECKPOINT - 1, rans.CHECKPOINT + 1), (rans.BLOCK - 2, rans.BLOCK + 2), (len(ids) - 3, len(ids)), (7, 7)]:
+        assert (rans.decode_segment(data, a, b) == ids[a:b]).all()
+    spoilt = bytearray(data)
+    spoilt[-99] ^= 1  # among the words of the last stretch but one, as the last has five tokens
+    assert (rans.decode_segment(bytes(spoilt), 0, 9) == ids[:9]).all()
+    with pytest.raises(ValueError):
+        rans.decode_segment(bytes(spoilt), len(ids) - 9, len(ids) - 7)
+
+
+def test_documents_are_fetched_from_archives(spark, docs):
+    library, archive = Tokenizer.from_file(BYTES), rans.write_archive(docs, BYTES)
+    rows = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["tokens"]) for r in rans.fetch(archive, spark.createDataFrame([(5,), (70,), (None,), (12345,)], "doc_id long")).collect())
+    own = [(r["doc_id"] is not None, r["doc_id"] or 0, [*library.encode(r["text"] or "", add_special_tokens=False).ids, 0]) for r in docs.collect() if r["doc_id"] in (5, 70, None)]
+    assert rows == sorted(own)
+    broken = archive.withColumn("lengths", F.transform("lengths", lambda x: x + 1))
+    with pytest.raises(Exception, match="damaged"):
+        rans.read_archive(broken).collect()

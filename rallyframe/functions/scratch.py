@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """The rows of df, written to the checkpoint folder, so that reading them twice gives the same rows in the same partitions.
 
-    The folder is spark.checkpoint.dir, or one of our own where the session has none.
+    The folder is spark.checkpoint.dir, or in local mode one of our own where the session has none.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rallyframe-"))
+        where = context.getConf().get("spark.checkpoint.dir")
+        if not where and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="rallyframe-"))
     return df.checkpoint()

@@ -2,12 +2,13 @@
 
 A rating depends on the opponent's rating of that moment, so matches that share players must be folded in order. All that
 does not depend on ratings (match counts, hence update factors) is computed by windows first. The fold then streams over
-key columns sorted by Spark and keeps one number for each player: one task for the global rating; for surface ratings,
-whose surfaces never meet, one task for each surface.
+key columns sorted by Spark and keeps a rating and the last changes of each player: one task for the global rating; for
+surface ratings, whose surfaces never meet, one task for each surface. Ratings to start from are the fold's first rows.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +20,7 @@ from .history import order_of, prior
 INITIAL = 1500.0
 K_MIN, K_MAX, HALF_LIFE = 24.0, 42.0, 50.0
 SURFACE_SHARE = 0.7
+RECENT = 5
 
 
 def k_adaptive(n: Column, k_min: float = 18.0, k_max: float = 32.0, half_life: float = 50.0) -> Column:
@@ -55,51 +57,49 @@ def surface_counts(matches: DataFrame, compat: bool = True, share: float = SURFA
     return n.groupBy("mk").agg(*(F.max(F.when(F.col("side") == s, F.col("n"))).alias(f"n_{s}") for s in (1, 2)))
 
 
-def _fold(initial: float, start: dict) -> callable:
+def _fold(initial: float) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratings = dict(start)
+        ratings: dict[tuple, float] = {}
+        changes: dict[tuple, deque] = {}
         for batch in batches:
-            out: list[list[float]] = [[], [], [], []]
-            for surface, a, b, won, k1, k2 in zip(*(batch.column(c).to_pylist() for c in ("surface", "player_1", "player_2", "target", "k1", "k2")), strict=True):
-                r1, r2 = ratings.get((a, surface), initial), ratings.get((b, surface), initial)
+            out: list[list] = [[], [], [], [], [], [], []]
+            for mk, surface, a, b, won, k1, k2, start in zip(*(batch.column(c).to_pylist() for c in ("mk", "surface", "player_1", "player_2", "target", "k1", "k2", "start")), strict=True):
+                p, q = (a, surface), (b, surface)
+                if start is not None:
+                    ratings[p] = start
+                    continue
+                r1, r2 = ratings.get(p, initial), ratings.get(q, initial)
                 expected = 1.0 / (1.0 + 10.0 ** ((r2 - r1) / 400.0))
                 d1, d2 = k1 * (won - expected), k2 * ((1.0 - won) - (1.0 - expected))
-                ratings[a, surface], ratings[b, surface] = r1 + d1, r2 + d2
-                for to, x in zip(out, (r1, r2, d1, d2), strict=True):
+                ratings[p], ratings[q] = r1 + d1, r2 + d2
+                last1, last2 = changes.setdefault(p, deque(maxlen=RECENT)), changes.setdefault(q, deque(maxlen=RECENT))
+                own = (mk, r1, r2, d1, d2, *(sum(x) / len(x) if x else None for x in (last1, last2)))
+                last1.append(abs(d1))
+                last2.append(abs(d2))
+                for to, x in zip(out, own, strict=True):
                     to.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column("mk"), *(pa.array(x, pa.float64()) for x in out)], ["mk", "r1", "r2", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field("mk").type), *(pa.array(x, pa.float64()) for x in out[1:])], ["mk", "r1", "r2", "d1", "d2", "v1", "v2"])
 
     return run
 
 
 def fold(matches: DataFrame, counts: DataFrame, *, by_surface: bool = False, fixed_k: float | None = None, k_min: float = K_MIN, k_max: float = K_MAX, half_life: float = HALF_LIFE, initial: float = INITIAL, state: DataFrame | None = None) -> DataFrame:
-    """mk, r1, r2 (ratings before the match), d1, d2 (their changes). state: player[, surface], elo to start from."""
+    """mk, r1, r2 (ratings before the match), d1, d2 (their changes), v1, v2 (mean size of the last five changes before it). state: player[, surface], elo to start from."""
     k = lambda s: F.lit(float(fixed_k)) if fixed_k is not None else k_adaptive(F.col(f"n_{s}"), k_min, k_max, half_life)
     order = [c for c in ("tourney_date", "tourney_id", "match_num", "mk") if c in matches.columns]
     surface = F.coalesce("surface", F.lit("Unknown")) if by_surface else F.lit("")
     target = F.col("target").cast("double") if "target" in matches.columns else F.lit(1.0)
     keyed = matches.join(counts, "mk").select(*order, surface.alias("surface"), "player_1", "player_2", target.alias("target"), k(1).alias("k1"), k(2).alias("k2"))
-    start = {}
-    if state is not None:  # one row for each key, as the fold holds them anyway
-        start = {(r["player"], r["surface"] if by_surface else ""): r["elo"] for r in state.toLocalIterator()}
+    keyed = keyed.withColumn("start", F.lit(None).cast("double"))
+    if state is not None:
+        first = state.select(F.col("player").alias("player_1"), (F.col("surface") if by_surface else F.lit("")).alias("surface"), F.col("elo").cast("double").alias("start"))
+        keyed = keyed.unionByName(first, allowMissingColumns=True)
     dealt = keyed.repartition(F.col("surface")) if by_surface else keyed.repartition(1)
-    ordered = dealt.sortWithinPartitions("surface", *(F.col(c).asc_nulls_last() for c in order))
-    return ordered.select("mk", "surface", "player_1", "player_2", "target", "k1", "k2").mapInArrow(_fold(initial, start), f"mk {dict(matches.dtypes)['mk']}, r1 double, r2 double, d1 double, d2 double")
+    ordered = dealt.sortWithinPartitions("surface", F.col("start").isNull(), *(F.col(c).asc_nulls_last() for c in order))
+    return ordered.select("mk", "surface", "player_1", "player_2", "target", "k1", "k2", "start").mapInArrow(_fold(initial), f"mk {dict(matches.dtypes)['mk']}, r1 double, r2 double, d1 double, d2 double, v1 double, v2 double")
 
 
-def volatility(matches: DataFrame, folded: DataFrame, by_surface: bool = False) -> DataFrame:
-    """mk, v1, v2: mean size of the last five changes of either player('s rating on the surface)."""
-    surface = [F.coalesce("surface", F.lit("Unknown")).alias("surface")] if by_surface else []
-    order = [c for c in ("tourney_date", "tourney_id", "match_num", "mk") if c in matches.columns]
-    rows = matches.select(*order, *surface, "player_1", "player_2").join(folded, "mk")
-    both = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"player_{s}").alias("player"), F.col(f"d{s}").alias("d")) for s in (1, 2))))
-    rows = rows.select(*order, *(["surface"] if by_surface else []), both.alias("_s")).select(*order, *(["surface"] if by_surface else []), "_s.*")
-    v = F.avg(F.abs("d")).over(prior(["player", "surface"] if by_surface else ["player"], order_of(rows), 5))
-    return rows.withColumn("v", v).groupBy("mk").agg(*(F.max(F.when(F.col("side") == s, F.col("v"))).alias(f"v{s}") for s in (1, 2)))
-
-
-def _named(matches: DataFrame, folded: DataFrame, prefix: str, by_surface: bool) -> DataFrame:
-    folded = folded.join(volatility(matches, folded, by_surface), "mk")
+def _named(folded: DataFrame, prefix: str) -> DataFrame:
     return folded.select("mk", F.col("r1").alias(f"{prefix}elo_p1"), F.col("r2").alias(f"{prefix}elo_p2"), (F.col("r1") - F.col("r2")).alias(f"{prefix}elo_diff"), F.col("v1").alias(f"{prefix}elo_vol5_p1"), F.col("v2").alias(f"{prefix}elo_vol5_p2"), (F.col("v1") - F.col("v2")).alias(f"{prefix}elo_vol5_diff"))
 
 
@@ -110,12 +110,12 @@ def reject_self_matches(matches: DataFrame) -> DataFrame:
 
 def elo(matches: DataFrame, **how) -> DataFrame:
     """mk and elo_p1, elo_p2, elo_diff, elo_vol5_p1, elo_vol5_p2, elo_vol5_diff."""
-    return _named(matches, fold(reject_self_matches(matches), match_counts(matches), **how), "", False)
+    return _named(fold(reject_self_matches(matches), match_counts(matches), **how), "")
 
 
 def surface_elo(matches: DataFrame, compat: bool = True, share: float = SURFACE_SHARE, **how) -> DataFrame:
     """The same of surface ratings, with surface_ before each name."""
-    return _named(matches, fold(reject_self_matches(matches), surface_counts(matches, compat, share), by_surface=True, **how), "surface_", True)
+    return _named(fold(reject_self_matches(matches), surface_counts(matches, compat, share), by_surface=True, **how), "surface_")
 
 
 def final_state(matches: DataFrame, folded: DataFrame, by_surface: bool = False) -> DataFrame:

@@ -16,15 +16,15 @@ from ..functions import columns
 from ..operators import audit, derived, history, metrics, models, ratings, reduce, reports, validate
 from ..sources import matches as sources
 
-_M = """select a.event_id {div} 2 as mk, cast(a.ts as date) as tourney_date, a.ts as ts, a.user_id as player_1, b.user_id as player_2,
+_M = """select a.event_id // 2 as mk, cast(a.ts as date) as tourney_date, a.ts as ts, a.user_id as player_1, b.user_id as player_2,
  case a.event_type when 'click' then 'Hard' when 'view' then 'Clay' when 'purchase' then 'Grass' when 'signup' then 'Carpet' else 'Unknown' end as surface,
  case when a.value > b.value then 1 else 0 end as target,
- cast({json}(a.props, '$.k') as int) + 1 as p1_rank, cast({json}(b.props, '$.k') as int) + 1 as p2_rank,
+ cast(json_extract_string(a.props, '$.k') as int) + 1 as p1_rank, cast(json_extract_string(b.props, '$.k') as int) + 1 as p2_rank,
  case when a.user_id % 11 = 0 then null else floor(a.value) % 20 end as p1_ace, case when b.user_id % 11 = 0 then null else floor(b.value) % 20 end as p2_ace,
  case when a.user_id % 7 = 0 then null else floor(a.value) % 9 end as p1_df, case when b.user_id % 7 = 0 then null else floor(b.value) % 9 end as p2_df,
  60 + floor(a.value) % 120 as minutes
- from {events} a join {events} b on b.event_id = a.event_id + 1 where a.event_id % 2 = 0 and a.user_id <> b.user_id"""
-_WITH = f"with m as ({_M.format(div='//', json='json_extract_string', events='events')})"
+ from events a join events b on b.event_id = a.event_id + 1 where a.event_id % 2 = 0 and a.user_id <> b.user_id"""
+_WITH = f"with m as ({_M})"
 _LONG = f"""{_WITH}, l as (select mk, tourney_date, surface, 1 as side, player_1 as player, player_2 as opp, target as won, p1_ace as ace, p1_df as df from m
  union all select mk, tourney_date, surface, 2, player_2, player_1, 1 - target, p2_ace, p2_df from m)"""
 _FEW = f"{_WITH}, q as (select * replace (player_1 % 20 as player_1, player_2 % 20 as player_2) from m where player_1 % 20 <> player_2 % 20)"
@@ -49,7 +49,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def match_view(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(_M.format(div="div", json="get_json_object", events="{events}"), events=table(spark, sf, "events"))
+    """One scan and one regrouping; what follows by mk finds its rows where they are."""
+    side = lambda k, name: F.max(F.when(F.col("event_id") % 2 == k, F.struct("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k")))).alias(name)
+    pairs = table(spark, sf, "events").groupBy(F.expr("event_id div 2").alias("mk")).agg(side(0, "a"), side(1, "b")).filter("a is not null and b is not null and a.user_id <> b.user_id")
+    return pairs.selectExpr(
+        "mk", "cast(a.ts as date) as tourney_date", "a.ts as ts", "a.user_id as player_1", "b.user_id as player_2",
+        "case a.event_type when 'click' then 'Hard' when 'view' then 'Clay' when 'purchase' then 'Grass' when 'signup' then 'Carpet' else 'Unknown' end as surface",
+        "case when a.value > b.value then 1 else 0 end as target", "a.k + 1 as p1_rank", "b.k + 1 as p2_rank",
+        *(f"case when {x}.user_id % {m} = 0 then null else floor({x}.value) % {n} end as p{i}_{c}" for c, m, n in (("ace", 11, 20), ("df", 7, 9)) for i, x in ((1, "a"), (2, "b"))),
+        "60 + floor(a.value) % 120 as minutes",
+    )
 
 
 def few_players(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,9 +123,9 @@ def long_to_wide(spark, sf):
     return history.wide(history.long(match_view(spark, sf)), ["ace", "won"])
 
 
-@query("select l_orderkey, l_linenumber, l_discount, l_tax, 0.0::double as missing from lineitem where l_quantity > 45")
+@query("select l_orderkey, l_linenumber, l_discount, l_tax, 0.0::double as missing from lineitem")
 def aligned_columns(spark, sf):
-    rows = table(spark, sf, "lineitem").filter("l_quantity > 45")
+    rows = table(spark, sf, "lineitem")
     return columns.aligned(rows, ["l_orderkey", "l_linenumber", "l_discount", "l_tax", "missing"])
 
 
@@ -255,23 +264,58 @@ def k_factor(spark, sf):
     return n.select("mk", *(F.round(ratings.k_adaptive(F.col(f"n_{s}"), 24.0, 42.0, 50.0), 6).alias(f"k{s}") for s in (1, 2)))
 
 
-@query()
+
+
+def _folded(name: str, counts: str, group: str) -> str:
+    """The ratings as a recursive query whose rows carry all ratings of their group so far in a map."""
+    return f"""{name}k as materialized ({counts}),
+ {name}o as materialized (select {group} as g, m.mk, m.player_1 as a, m.player_2 as b, m.target as t, k1, k2, row_number() over (partition by {group} order by m.mk) as i from m join {name}k using (mk)),
+ {name}f as materialized (select g, cast(0 as bigint) as i, cast(null as bigint) as mk, 0.0::double as r1, 0.0::double as r2, 0.0::double as d1, 0.0::double as d2, MAP {{}}::MAP(bigint, double) as s from (select distinct g from {name}o) union all
+  select g, i, mk, r1, r2, d1, d2, map_concat(s, MAP([a, b], [r1 + d1, r2 + d2])) from (select *, k1 * (t - e) as d1, k2 * ((1.0 - t) - (1.0 - e)) as d2 from (select *, 1.0 / (1.0 + power(10.0, (r2 - r1) / 400.0)) as e from
+  (select o.*, f.s, coalesce(f.s[o.a], 1500.0) as r1, coalesce(f.s[o.b], 1500.0) as r2 from {name}f f join {name}o o on o.g = f.g and o.i = f.i + 1)))),
+ {name}t as (select l.mk, l.side, l.player, l.surface, case when side = 1 then r1 else r2 end as r, case when side = 1 then d1 else d2 end as d, won, tourney_date from l join {name}f f on l.mk = f.mk)"""
+
+
+def _factor(n: str, inner: str) -> str:
+    k = lambda s: f"24 + 18 * exp(-max(case when side = {s} then {n} end) / 50.0) as k{s}"
+    return f"select mk, {k(1)}, {k(2)} from (select mk, side, {inner} from l) group by mk"
+
+
+_RECURSIVE = _LONG.replace("with m as", "with recursive m as", 1)
+_GLOBAL = _folded("g", _factor("n", f"count(*) over (partition by player order by mk {_BEFORE}) as n"), "''")
+_ON_SURFACE = _folded("u", _factor("n", f"0.7 * (count(*) over (partition by player order by mk {_BEFORE}) + count(*) over (partition by player)) + 0.3 * count(*) over (partition by player, surface order by mk {_BEFORE}) as n"), "m.surface")
+
+
+def _rating_sql(name: str, prefix: str, keys: str) -> str:
+    own = lambda c, s: f"max(case when side = {s} then {c} end)"
+    columns = {f"{prefix}elo_p1": own("r", 1), f"{prefix}elo_p2": own("r", 2), f"{prefix}elo_diff": f"{own('r', 1)} - {own('r', 2)}", f"{prefix}elo_vol5_p1": own("v", 1), f"{prefix}elo_vol5_p2": own("v", 2)}
+    if not prefix:
+        columns["elo_vol5_diff"] = f"{own('v', 1)} - {own('v', 2)}"
+    picked = ", ".join(f"round({x}, 6) as {c}" for c, x in columns.items())
+    return f"select mk, {picked} from (select *, avg(abs(d)) over (partition by {keys} order by mk rows between 5 preceding and 1 preceding) as v from {name}t) group by mk"
+
+
+@query(f"{_RECURSIVE}, {_GLOBAL} {_rating_sql('g', '', 'player')}")
 def elo_global(spark, sf):
     return ratings.elo(match_view(spark, sf)).select("mk", *r6("elo_p1", "elo_p2", "elo_diff", "elo_vol5_p1", "elo_vol5_p2", "elo_vol5_diff"))
 
 
-@query()
+@query(f"{_RECURSIVE}, {_ON_SURFACE} {_rating_sql('u', 'surface_', 'player, surface')}")
 def elo_surface(spark, sf):
     return ratings.surface_elo(match_view(spark, sf)).select("mk", *r6("surface_elo_p1", "surface_elo_p2", "surface_elo_diff", "surface_elo_vol5_p1", "surface_elo_vol5_p2"))
 
 
-@query()
+@query(f"{_RECURSIVE}, {_GLOBAL} select player, round(arg_max(r + d, mk), 6) as elo, count(*) as n from gt group by player")
 def elo_state(spark, sf):
     m = match_view(spark, sf)
     return ratings.final_state(m, ratings.fold(m, ratings.match_counts(m))).select("player", *r6("elo"), "n")
 
 
-@query()
+@query(f"""{_RECURSIVE}, {_GLOBAL}, {_ON_SURFACE},
+ c as (select m.mk, greatest(-400.0, least(400.0, g.r1 - g.r2)) as x, greatest(-400.0, least(400.0, u.r1 - u.r2)) as y, p2_rank - p1_rank as rd from m join gf g on m.mk = g.mk join uf u on m.mk = u.mk)
+ select mk, round(x, 6) as elo_diff_clip, round(1 / (1 + power(10.0, -x / 400)), 6) as elo_prob, round(1 / (1 + power(10.0, -y / 400)), 6) as surface_elo_prob, round(power(x / 100, 2), 6) as elo_diff_sq,
+ round(x * y / 10000, 6) as elo_surface_interaction, round(abs(x - y), 6) as elo_consistency, round(1 / (1 + abs(x) / 120), 6) as match_competitiveness,
+ cast((case when x > 0 and rd < 0 then 1 else 0 end) - (case when x < 0 and rd > 0 then 1 else 0 end) as int) as elo_rank_mismatch from c""")
 def elo_enriched(spark, sf):
     m = match_view(spark, sf)
     df = derived.rating_features(m.join(ratings.elo(m), "mk").join(ratings.surface_elo(m), "mk"))
@@ -284,7 +328,7 @@ def _rated(spark, sf) -> DataFrame:
     return history.long(m).join(folded, "mk").withColumn("elo", F.when(F.col("side") == 1, F.col("r1")).otherwise(F.col("r2")))
 
 
-@query()
+@query(f"{_RECURSIVE}, {_GLOBAL} select mk, side, case when count(r) over w >= 5 then round(avg(r) over w, 6) end as elo_smooth from gt window w as (partition by player order by mk rows between 10 preceding and 9 following)")
 def elo_smooth20(spark, sf):
     rows = _rated(spark, sf)
     return rows.select("mk", "side", F.round(ratings.smoothed(rows), 6).alias("elo_smooth"))
@@ -343,7 +387,7 @@ def player_summary(spark, sf):
     return reports.player_stats(history.long(match_view(spark, sf)).withColumn("elo", F.lit(1500.0))).select("player", "matches", "wins", "losses", *r6("win_rate"), "career")
 
 
-@query()
+@query(f"{_RECURSIVE}, {_GLOBAL} select player, count(*) as matches, round(avg(won), 6) as win_rate, round(avg(r), 6) as avg_elo, round(max(r), 6) as max_elo from gt group by player")
 def player_summary_rated(spark, sf):
     return reports.player_stats(_rated(spark, sf)).select("player", "matches", *r6("win_rate", "avg_elo", "max_elo"))
 
@@ -529,7 +573,9 @@ def sample_rows(spark, sf):
     return validate.sample_rows(table(spark, sf, "orders").select("o_orderkey"), 500, "o_orderkey")
 
 
-@query()
+@query("""with r as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as row from orders), n as (select count(*) as n from orders),
+ d as (select i as draw, cast('0x' || substr(md5('bootstrap:' || i), 1, 8) as bigint) % n as row from n, range((select n from n)) as x(i))
+ select d.draw, r.o_orderkey from d join r using (row)""")
 def bootstrap_ids(spark, sf):
     return validate.bootstrap(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns
+from ..functions.scratch import settled
 from ..operators import derived, history, ratings, reduce
 from ..sources.matches import rename_sides, union_by_name
 
@@ -54,8 +55,8 @@ class FeaturePipeline:
 
     def _features(self, df: DataFrame, before: Features | None) -> Features:
         counts, surface_counts = ratings.match_counts(df), ratings.surface_counts(df, self.compat)
-        elo_fold = ratings.fold(ratings.reject_self_matches(df), counts, state=before.elo if before else None).persist()
-        surface_fold = ratings.fold(ratings.reject_self_matches(df), surface_counts, by_surface=True, state=before.surface_elo if before else None).persist()
+        elo_fold = settled(ratings.fold(ratings.reject_self_matches(df), counts, state=before.elo if before else None))
+        surface_fold = settled(ratings.fold(ratings.reject_self_matches(df), surface_counts, by_surface=True, state=before.surface_elo if before else None))
         whole = df if self.history is None else union_by_name([self.history.withColumn("_old", F.lit(True)), df.withColumn("_old", F.lit(False))])
         h2h = history.head_to_head(whole)
         rows = history.numbered(history.long(whole))
@@ -65,7 +66,7 @@ class FeaturePipeline:
         forms = history.form(own)
         form_columns = history.wide(own.select("mk", "side", *(c.alias(n) for n, c in forms.items())), list(forms))
         full = h2h if self.history is None else h2h.filter(~F.col("_old")).select(*df.columns, *(c for c in h2h.columns if c.startswith("h2h_")))
-        for part in (ratings._named(df, elo_fold, "", False), ratings._named(df, surface_fold, "surface_", True), form_columns, stat_columns):
+        for part in (ratings._named(elo_fold, ""), ratings._named(surface_fold, "surface_"), form_columns, stat_columns):
             full = full if part is None else full.join(part, "mk")
         full = derived.stat_ratios(derived.form_differences(derived.rating_features(full)))
         state = dict(elo=ratings.final_state(df, elo_fold), surface_elo=ratings.final_state(df, surface_fold, True), h2h=history.head_to_head_state(whole), stats=history.stat_state(rows))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import in_ranges
 from .reduce import aggregated
 
 
@@ -40,10 +41,8 @@ def ks_statistic(df: DataFrame, value: str, second: str) -> DataFrame:
     Values are counted first; running counts go over ranges of values and then within each, so no task holds all.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.sum((~F.col(second)).cast("long")).alias("a"), F.sum(F.col(second).cast("long")).alias("b"))
-    spread = counts.agg(F.min("v"), F.max("v"), F.sum("a"), F.sum("b")).first()
-    low, step = (spread[0] or 0.0), (((spread[1] or 0.0) - (spread[0] or 0.0)) / 1000 or 1.0)
-    n1, n2 = spread[2] or 0, spread[3] or 0
-    ranged = counts.withColumn("r", F.floor((F.col("v") - low) / step))
+    n1, n2 = (x or 0 for x in counts.agg(F.sum("a"), F.sum("b")).first())
+    ranged = in_ranges(counts, "v")
     totals = ranged.groupBy("r").agg(F.sum("a").alias("ra"), F.sum("b").alias("rb"))
     over = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("r", *(F.coalesce(F.sum(f"r{x}").over(over), F.lit(0)).alias(f"before_{x}") for x in "ab"))

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def in_ranges(values: DataFrame, column: str, name: str = "r", n: int = 1000) -> DataFrame:
+    """Adds the range of a column of distinct values: about n ranges of equal numbers of values, whatever their spread."""
+    edges = values.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10 * n)).first()[0]
+    splits = [-float("inf"), *sorted(set(edges or [0.0])), float("inf")]
+    return Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(values)
+
+
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """auc: the share of pairs of a 1 and a 0 that the score orders rightly, ties by half.
 
     Scores are counted first, so only distinct scores are ranked.
     """
-    counts = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    # A running count over ranges of scores: sums of 1,000 ranges, then within each.
-    spread = counts.agg(F.min("s"), F.max("s")).first()
-    low, step = (spread[0] or 0.0), (((spread[1] or 0.0) - (spread[0] or 0.0)) / 1000 or 1.0)
-    ranged = counts.withColumn("r", F.floor((F.col("s") - low) / step))
+    counts = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
+    # A running count over ranges of scores: sums of the ranges, then within each.
+    ranged = in_ranges(counts, "s")
     totals = ranged.groupBy("r").agg(F.sum("n").alias("rn"))
     before = totals.select("r", F.coalesce(F.sum("rn").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     below = F.coalesce(F.sum("n").over(Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -64,20 +64,21 @@ def yearly_rates(rows: DataFrame, least: int = 10) -> DataFrame:
     return rows.groupBy("player", F.year("tourney_date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.avg("won").alias("win_rate")).filter(F.col("n") >= least)
 
 
-def surface_grid(rows: DataFrame, players: Sequence, surfaces: Sequence[str] = ("Hard", "Clay", "Grass")) -> DataFrame:
-    """player, surface, win_rate of every combination, 0 where there is no match."""
-    spark = rows.sparkSession
-    kind = rows.schema["player"].dataType.simpleString()
-    grid = spark.createDataFrame([(p, s) for p in players for s in surfaces], f"player {kind}, surface string")
-    found = rows.filter(F.col("player").isin(list(players)) & F.col("surface").isin(list(surfaces))).groupBy("player", "surface").agg(F.avg("won").alias("r"))
+def surface_grid(rows: DataFrame, players: Sequence | None = None, surfaces: Sequence[str] = ("Hard", "Clay", "Grass")) -> DataFrame:
+    """player, surface, win_rate of every combination, 0 where there is no match; players: all that occur, if not given."""
+    own = rows if players is None else rows.filter(F.col("player").isin(list(players)))
+    there = own.select("player") if players is None else rows.sparkSession.createDataFrame([(p,) for p in players], f"player {rows.schema['player'].dataType.simpleString()}")
+    grid = there.distinct().select("player", F.explode(F.array(*map(F.lit, surfaces))).alias("surface"))
+    found = own.filter(F.col("surface").isin(list(surfaces))).groupBy("player", "surface").agg(F.avg("won").alias("r"))
     return grid.join(found, ["player", "surface"], "left").select("player", "surface", F.coalesce("r", F.lit(0.0)).alias("win_rate"))
 
 
-def head_to_head_matrix(rows: DataFrame, players: Sequence) -> DataFrame:
-    """player, opp, win_share of every pair; 0 on the diagonal and where they never met."""
-    spark = rows.sparkSession
+def head_to_head_matrix(rows: DataFrame, players: Sequence | None = None) -> DataFrame:
+    """player, opp, win_share of every pair of the players chosen, 0 on the diagonal and where they never met; of all pairs that met, if none are chosen."""
+    if players is None:
+        return rows.groupBy("player", "opp").agg(F.avg("won").alias("win_share"))
     kind = rows.schema["player"].dataType.simpleString()
-    grid = spark.createDataFrame([(a, b) for a in players for b in players], f"player {kind}, opp {kind}")
+    grid = rows.sparkSession.createDataFrame([(a, b) for a in players for b in players], f"player {kind}, opp {kind}")
     found = rows.filter(F.col("player").isin(list(players)) & F.col("opp").isin(list(players))).groupBy("player", "opp").agg(F.avg("won").alias("r"))
     return grid.join(found, ["player", "opp"], "left").select("player", "opp", F.coalesce("r", F.lit(0.0)).alias("win_share"))
 

@@ -74,9 +74,17 @@ def bootstrap_draws(n: int, draws: int, spark, seed: str = "bootstrap") -> DataF
 
 def bootstrap(df: DataFrame, key: str, draws: int | None = None, seed: str = "bootstrap") -> DataFrame:
     """Exactly `draws` rows (default: as many as there are) with replacement, with their draw number."""
+    return drawn_of(numbered(df, key), draws, seed)
+
+
+def numbered(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """The rows with their numbers, and how many there are: any number of bootstrap samples are drawn from these."""
     rows = dense_ids(df, [F.col(key)], "row")
-    n = rows.count()
-    return bootstrap_draws(n, draws or n, df.sparkSession, seed).join(rows, "row").drop("row")
+    return rows, rows.count()
+
+
+def drawn_of(rows: tuple[DataFrame, int], draws: int | None, seed: str) -> DataFrame:
+    return bootstrap_draws(rows[1], draws or rows[1], rows[0].sparkSession, seed).join(rows[0], "row").drop("row")
 
 
 def permuted(df: DataFrame, key: str, column: str, seed: str) -> DataFrame:
@@ -131,9 +139,10 @@ def temporal_validation(df: DataFrame, features: Sequence[str], label: str, date
 
 def stability(df: DataFrame, features: Sequence[str], label: str, key: str, estimator: Estimator, n_bootstrap: int = 50, share: float = 0.8, seed: str = "stability") -> dict[str, float]:
     """Mean, population deviation, least and greatest auc over bootstrap samples, each split by position (a row may fall on both sides)."""
-    n, found = df.count(), []
+    whole, found = numbered(df, key), []
+    n = whole[1]
     for i in range(n_bootstrap):
-        rows = bootstrap(df, key, max(2, int(share * n)), f"{seed}{i}")
+        rows = drawn_of(whole, max(2, int(share * n)), f"{seed}{i}")
         cut = int(0.8 * max(2, int(share * n)))
         test = rows.filter(F.col("draw") >= cut)
         if test.count() < 50:
@@ -150,7 +159,8 @@ def importances(model: Model, features: Sequence[str]) -> list[tuple[str, float]
 
 def importance_stability(df: DataFrame, features: Sequence[str], label: str, key: str, estimator: Estimator, n: int = 20, seed: str = "importance") -> DataFrame:
     """feature, mean, std (population), cv over bootstrap samples, largest mean first."""
-    rows = [x for i in range(n) for x in importances(estimator.fit(assembled(bootstrap(df, key, None, f"{seed}{i}"), features, label)), features)]
+    whole = numbered(df, key)
+    rows = [x for i in range(n) for x in importances(estimator.fit(assembled(drawn_of(whole, None, f"{seed}{i}"), features, label)), features)]
     return summarised_importances(df.sparkSession.createDataFrame(rows, "feature string, importance double"))
 
 

@@ -397,19 +397,42 @@ def yearly_winrate(spark, sf):
     return reports.yearly_rates(history.long(match_view(spark, sf))).select("player", "year", "n", *r6("win_rate"))
 
 
-_THREE = "(select unnest([1, 2, 3]) as player)"
+@query("select o_orderpriority as tourney_level, count(*) as n from orders group by 1 order by n desc")
+def counts_by_level(spark, sf):
+    return reports.shares_by(table(spark, sf, "orders"), "o_orderpriority").select(F.col("o_orderpriority").alias("tourney_level"), "n")
 
 
-@query(f"{_LONG}, g as (select player, surface from {_THREE} p cross join (select unnest(['Hard', 'Clay', 'Grass']) as surface) s) select g.player, g.surface, round(coalesce(avg(l.won), 0), 6) as win_rate from g left join l on g.player = l.player and g.surface = l.surface group by 1, 2")
+@query(f"{_LONG}, g as (select * from (select distinct player from l) cross join (select unnest(['Hard', 'Clay', 'Grass']) as surface)) select g.player, g.surface, round(coalesce(avg(l.won), 0), 6) as win_rate from g left join l on g.player = l.player and g.surface = l.surface group by 1, 2")
 def surface_winrate_grid(spark, sf):
-    rows = history.long(match_view(spark, sf)).withColumn("player", F.col("player").cast("int"))
-    return reports.surface_grid(rows, [1, 2, 3]).select("player", "surface", *r6("win_rate"))
+    return reports.surface_grid(history.long(match_view(spark, sf))).select("player", "surface", *r6("win_rate"))
 
 
-@query(f"{_FEW}, l as (select player_1 as player, player_2 as opp, target as won from q union all select player_2, player_1, 1 - target from q), g as (select a.player, b.player as opp from {_THREE} a cross join {_THREE} b) select g.player, g.opp, round(coalesce(avg(l.won), 0), 6) as win_share from g left join l on g.player = l.player and g.opp = l.opp group by 1, 2")
+@query(f"{_LONG} select player, opp, round(avg(won), 6) as win_share from l group by 1, 2")
 def h2h_matrix(spark, sf):
-    rows = history.long(few_players(spark, sf)).withColumns({c: F.col(c).cast("int") for c in ("player", "opp")})
-    return reports.head_to_head_matrix(rows, [1, 2, 3]).select("player", "opp", *r6("win_share"))
+    return reports.head_to_head_matrix(history.long(match_view(spark, sf))).select("player", "opp", *r6("win_share"))
+
+
+@query("select a.surface as surface, b.level as level, coalesce(n, 0) as n from (select distinct l_returnflag as surface from lineitem) a cross join (select distinct l_linestatus as level from lineitem) b left join (select l_returnflag, l_linestatus, count(*) as n from lineitem group by all) c on c.l_returnflag = a.surface and c.l_linestatus = b.level")
+def label_grid_join(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    levels = [r[0] for r in rows.select("l_linestatus").distinct().collect()]  # a handful of labels
+    found = rows.groupBy(F.col("l_returnflag").alias("surface"), F.col("l_linestatus").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    grid = found.select("surface").distinct().select("surface", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    return grid.join(found, ["surface", "level"], "left").select("surface", "level", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("select c_custkey, case when c_custkey % 3 = 0 then null else cast(c_nationkey as double) end as p1_rank, cast(c_nationkey as double) as p2_rank, c_name as p1_entry, cast(c_custkey as varchar) as p2_entry from customer")
+def harmonised_pairs(spark, sf):
+    text = F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey").cast("string"))
+    raw = table(spark, sf, "customer").select("c_custkey", text.alias("p1_rank"), F.col("c_nationkey").alias("p2_rank"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("p1_entry"), F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("p2_entry"), "c_name")
+    return columns.harmonise_pairs(raw).select("c_custkey", "p1_rank", "p2_rank", F.col("c_name").alias("p1_entry"), F.col("c_custkey").cast("string").alias("p2_entry"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_tax from lineitem")
+def shared_columns(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    train, test = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_tax", "l_discount"), rows.select("l_tax", "l_partkey", "l_linenumber", "l_orderkey", "l_quantity")
+    return train.select(*columns.common_columns(train, test))
 
 
 # -- columns
@@ -476,6 +499,32 @@ def pca_projection(spark, sf):
     return df.select("l_orderkey", "l_linenumber", *r6(*(c for c in df.columns if c.startswith("price_pca"))))
 
 
+def _sized(spark, sf) -> DataFrame:
+    """Two columns that go together."""
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", (F.col("l_quantity") + 10 * F.col("l_discount")).alias("more"), "l_shipdate")
+
+
+_SIZED = "(select *, l_quantity + 10 * l_discount as more from lineitem)"
+
+
+@query(f"with c as (select round((1 + corr(l_quantity, more)) / 2, 6) as share, round(sqrt(0.5), 6) as loading from {_SIZED}) select cast(1 as int) as component, unnest(['l_quantity', 'more']) as feature, share, loading from c")
+def pca_diagnosis(spark, sf):
+    _, state = reduce.group_components(_sized(spark, sf), groups={"size": ["l_quantity", "more"]})
+    rows = reduce.diagnosis(spark, "size", state)
+    return rows.select("component", "share", F.explode("loadings").alias("l")).select("component", "l.feature", *r6("share"), F.round("l.loading", 6).alias("loading"))
+
+
+@query(f"""with t as (select *, l_shipdate < '1997-01-01' as train from {_SIZED}),
+ s as (select avg(l_quantity) as a, stddev_pop(l_quantity) as sa, avg(more) as b, stddev_pop(more) as sb from t where train)
+ select l_orderkey, l_linenumber, l_partkey, round(((l_quantity - a) / sa + (more - b) / sb) * sqrt(0.5), 5) as size_pca1 from t, s where not train""")
+def pca_transform_state(spark, sf):
+    """Components of the training rows applied to later rows."""
+    rows, cut, groups = _sized(spark, sf), F.lit("1997-01-01").cast("date"), {"size": ["l_quantity", "more"]}
+    _, state = reduce.group_components(rows.filter(F.col("l_shipdate") < cut), groups=groups)
+    later, _ = reduce.group_components(rows.filter(F.col("l_shipdate") >= cut), state, groups=groups, train=False)
+    return later.select("l_orderkey", "l_linenumber", "l_partkey", F.round("size_pca1", 5).alias("size_pca1"))
+
+
 @query(f"{_WITH} select mk, coalesce(p1_ace, (select median(p1_ace) from m)) as p1_ace from m")
 def impute_median(spark, sf):
     m = match_view(spark, sf).select("mk", "p1_ace")
@@ -641,6 +690,36 @@ def interaction_leakage(spark, sf):
     return validate.interaction_leakage(rows.withColumns(leaks), "target", 0.9)
 
 
+_TREE = DecisionTreeClassifier(maxDepth=3, seed=42)
+
+
+@query()
+def temporal_fit(spark, sf):
+    """Orders' priority told from price and date, in windows of time."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"), "o_totalprice", (F.col("o_totalprice") > 150_000).cast("int").alias("label"))
+    return validate.temporal_validation(rows, ["o_totalprice"], "label", "d", _TREE).select("split", "train_end", "test_end", "train_size", "test_size", *r6("auc", "logloss"))
+
+
+@query()
+def stability_audit(spark, sf):
+    found = validate.stability(_learnable(spark, sf), _FEATURES, "target", "mk", _TREE, n_bootstrap=5)
+    return _values(spark, [(k, float(v)) for k, v in found.items()], "name string, value double")
+
+
+@query()
+def importance_audit(spark, sf):
+    return validate.importance_stability(_learnable(spark, sf), _FEATURES, "target", "mk", _TREE, n=3)
+
+
+@query()
+def full_audit(spark, sf):
+    rows = _learnable(spark, sf)
+    cut = rows.agg(F.percentile_approx("mk", 0.8)).first()[0]
+    found = validate.full_audit(rows.filter(F.col("mk") < cut), rows.filter(F.col("mk") >= cut), _FEATURES, "target", "mk", _TREE, n_bootstrap=2, n_importance=2)
+    out = [("test", k, float(v)) for k, v in found["test"].items()] + [("stability", k, float(v)) for k, v in found["stability"].items()]
+    return _values(spark, out, "part string, name string, value double").unionByName(found["importance"].select(F.lit("importance").alias("part"), F.col("feature").alias("name"), F.col("mean").alias("value"))).unionByName(found["interactions"].select(F.lit("interactions").alias("part"), F.array_join("features", " ").alias("name"), F.col("auc").alias("value")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

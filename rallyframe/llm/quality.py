@@ -107,9 +107,9 @@ def fit(docs: DataFrame, text: str) -> Model:
     """docs: with the column _label (null where there is none)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(WORDS + SHAPES, np.int64), np.zeros(WORDS + SHAPES, np.int64)
+        raw, target = np.zeros(WORDS + SHAPES, np.uint32), np.zeros(WORDS + SHAPES, np.uint32)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 4 << 20):
                 words, shapes, starts = features(texts_of(part, text))
                 good = np.repeat(pc.fill_null(part.column("_label"), 0).to_numpy(zero_copy_only=False) == 1, np.diff(starts))
                 for found in (words, shapes):
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, text: str) -> Model:
         at = np.flatnonzero(raw)  # a task's own sums, so no more rows than buckets leave it
         for i in range(0, len(at), 1 << 16):
             own = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(raw[own]), pa.array(target[own])], ["bucket", "raw", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(raw[own].astype(np.int64)), pa.array(target[own].astype(np.int64))], ["bucket", "raw", "target"])
 
     counts = docs.select(text, "_label").mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").cast("float").alias("raw"), F.sum("target").cast("float").alias("target"))
     found = counts.toArrow()  # one row of 12 bytes for each bucket at most

@@ -5,9 +5,11 @@ count(the started piece up to i). The counts of started pieces come from a table
 distinct piece, and the counts at cuts accumulate. The profile answers how many tokens a truncated text has and how
 much of a text fits a budget, without encoding again.
 
-Pieces over LONG characters stay out of the table. Byte-level merges give them by a recurrence over the tokenizer's own
-split: a prefix's last token is the one that merges leave apart from the last token of what stands before it. Other
-tokenizers count every prefix of such a piece by itself, which takes time with the square of its length.
+A piece's own counts come from its tokenizer's merges by the same recurrence: a prefix's last token is the one that merges
+leave apart from the last token of what stands before it, which a table of token pairs tells. Pieces that the split cuts
+in other places than before their marks are counted prefix by prefix; those of over LONG characters stay out of the table
+and are split first. Other than byte-level tokenizers count every prefix by itself, which for such long pieces takes time
+with the square of the length.
 
 Null texts count as empty; empty texts have the profile [0]; rows with equal or null ids are kept as they are; an empty
 table gives an empty result; other columns pass only if named in `keep`.
@@ -15,7 +17,7 @@ table gives an empty result; other columns pass only if named in `keep`.
 
 from __future__ import annotations
 
-import re
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,18 +27,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, bounded_batches, slices, texts_of
-from .pieces import _JOIN, _MARKS, PieceEncoder
+from .pieces import _LATIN, _MARKS, PieceEncoder
 
 
 #: Characters of the longest piece whose prefixes are kept.
 LONG = 256
-KNOWN_PAIRS = 1_000_000
-_WORD_END = re.compile(r"(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
+KNOWN_PAIRS = 500_000
+_ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class PrefixCounter(PieceEncoder):
     """Knows of each piece its token counts at every prefix, from 1 character to all; pieces share the prefixes they begin with."""
 
+    def __init__(self, path: str, limit: int = 500_000):
+        self.ends: set[str] = set()
+        self.apart: dict[int, bool] = {}  # by pairs of tokens
+        super().__init__(path, limit)
+
     def clear(self) -> None:
         super().clear()
         self.prefixes: dict[str, int] = {}
@@ -45,85 +52,95 @@ class PrefixCounter(PieceEncoder):
     def add(self, keys: list[str]) -> None:
         n, known = len(self.known), self.prefixes
         pieces = [self.piece(k) for k in keys]
-        plain = self.plain(pieces)
-        words, others = self.new_prefixes([x for x, p in zip(pieces, plain, strict=True) if p]), self.new_prefixes([x for x, p in zip(pieces, plain, strict=True) if not p])
-        known.update(zip(words, self.word_counts(words).tolist(), strict=True))
-        found = [x for x in others if x not in known]
+        plain = [False] * len(pieces) if self.words else pc.match_substring_regex(pa.array(pieces, pa.string()), f"^ [{_LATIN}]+[{_MARKS}]*$").to_pylist()
+        new: dict[str, None] = {}
+        for x, by_merges in zip(pieces, plain, strict=True):
+            if not by_merges:  # from the longest prefix down to one that is known, with which all before it are
+                for i in range(len(x), 0, -1):
+                    if (y := x[:i]) in known or y in new:
+                        break
+                    new[y] = None
+        found = list(new)
         known.update(zip(found, self.many(found)[2].tolist(), strict=True))
-        size = np.fromiter(map(len, pieces), np.int32, len(pieces))
-        flat = np.fromiter((known[x[:i]] for x in pieces for i in range(1, len(x) + 1)), np.uint16, int(size.sum()))
+        own = self.plain_counts([x for x, by_merges in zip(pieces, plain, strict=True) if by_merges])
+        counts = [next(own) if by_merges else [known[x[:i]] for i in range(1, len(x) + 1)] for x, by_merges in zip(pieces, plain, strict=True)]
+        size = np.fromiter(map(len, counts), np.int32, len(counts))
+        flat = np.fromiter(itertools.chain.from_iterable(counts), np.uint16, int(size.sum()))
         while n + len(keys) > len(self.length):
             self.length, self.inner_start, self.size = (np.resize(x, 2 * len(x)) for x in (self.length, self.inner_start, self.size))
         while self.inner_used + len(flat) > len(self.inner):
             self.inner = np.resize(self.inner, 2 * len(self.inner))
-        self.length[n : n + len(keys)] = np.fromiter((known[x] if x else 0 for x in pieces), np.int32, len(pieces))
+        self.length[n : n + len(keys)] = np.fromiter((x[-1] if x else 0 for x in counts), np.int32, len(counts))
         self.size[n : n + len(keys)] = size
         self.inner_start[n : n + len(keys)] = self.inner_used + np.cumsum(size) - size
         self.inner[self.inner_used : self.inner_used + len(flat)] = flat
         self.inner_used += len(flat)
         self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
 
-    def plain(self, pieces: list[str]) -> list[bool]:
-        """Which pieces are a space, ASCII letters and perhaps marks."""
-        return [False] * len(pieces) if self.words else pc.match_substring_regex(pa.array(pieces, pa.string()), f"^ [A-Za-z]+[{_MARKS}]*$").to_pylist()
-
-    def new_prefixes(self, pieces: list[str]) -> list[str]:
-        known, new = self.prefixes, {}
-        for x in pieces:  # from the longest prefix down to one that is known, with which all before it are
-            for i in range(len(x), 0, -1):
-                if (y := x[:i]) in known or y in new:
-                    break
-                new[y] = None
-        return list(new)
-
-    def word_counts(self, prefixes: list[str]) -> np.ndarray:
-        """The tokens of prefixes of plain pieces; a line feed cuts them where the split would."""
-        out = []
-        for i in range(0, len(prefixes), _JOIN):
-            joined = _WORD_END.sub("\n", "\n".join(prefixes[i : i + _JOIN])).replace(" ", self.letters[32])
-            ids = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint16)
-            out.append(np.diff(np.append(np.flatnonzero(self._starts_piece[ids]), len(ids))))
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-    def merges_of(self) -> None:
-        """Readies the recurrence: the names of tokens that merges make, and all ends of these."""
-        self.token_of = {n: t for n, t in self.merges.get_vocab().items() if self.merges.encode(n).ids == [t]}
-        self.name_of = {t: n for n, t in self.token_of.items()}
-        self.ends = {n[i:] for n in self.token_of for i in range(len(n))}
-        self.apart: dict[tuple[int, int], bool] = {}
+    def plain_counts(self, pieces: list[str]) -> Iterator[list[int]]:
+        """The counts at 1, ..., all characters of pieces of a space, a word and perhaps marks, which the split cuts before the marks."""
+        ends = [len(x.rstrip(_ASCII_MARKS)) for x in pieces]
+        found = self.by_merges({part for x, end in zip(pieces, ends, strict=True) for part in (x[:end], x[end:])})
+        for x, end in zip(pieces, ends, strict=True):
+            counts = found[x[:end]]
+            yield counts + [counts[-1] + n for n in found[x[end:]]] if end < len(x) else counts
+
+    def by_merges(self, parts: set[str]) -> dict[str, list[int]]:
+        """The counts at 1, ..., all characters of what the split leaves together.
+
+        A prefix's last token is the only one of the tokens it ends with that merges leave apart from the last token of
+        what stands before it. Parts are taken in order, so that each begins with the prefixes it shares with the former.
+        """
+        if not self.ends:
+            self.token_of = {n: t for n, t in self.merges.get_vocab().items() if self.merges.encode(n).ids == [t]}
+            self.name_of = {t: n for n, t in self.token_of.items()}
+            self.ends = {n[i:] for n in self.token_of for i in range(len(n))}
+        ends, token_of, apart = self.ends, self.token_of, self.apart
+        if len(apart) > KNOWN_PAIRS:
+            apart.clear()
+        out: dict[str, list[int]] = {}
+        last, count, begin, former = [0], [0], [0], ""
+
+        def fits(i: int, token: int) -> bool:
+            if not i:
+                return True
+            pair = last[i] << 20 | token
+            if (known := apart.get(pair)) is None:
+                known = apart[pair] = self.merges.encode(self.name_of[last[i]] + self.name_of[token]).ids == [last[i], token]
+            return known
+
+        for part in sorted(parts):
+            plain = part.isascii() and part.isprintable()
+            names = part.replace(" ", self.letters[32]) if plain else "".join(map(self.letters.__getitem__, part.encode()))
+            same = min(len(names), len(former))
+            while names[:same] != former[:same]:
+                same -= 1
+            del last[same + 1 :], count[same + 1 :], begin[same + 1 :]
+            former = names
+            for j in range(same + 1, len(names) + 1):
+                i = begin[j - 1]  # mostly the last token grows, or a new one begins
+                if (token := token_of.get(names[i:j])) is None or not fits(i, token):
+                    i = j - 1
+                    if not fits(i, token := token_of[names[i:j]]):
+                        while i and names[i - 1 : j] in ends:
+                            i -= 1
+                        while (token := token_of.get(names[i:j])) is None or not fits(i, token):
+                            i += 1
+                last.append(token)
+                count.append(count[i] + 1)
+                begin.append(i)
+            out[part] = count[1:] if plain else [n for n, after in zip(count[1:], [*part.encode()[1:], 0], strict=True) if after & 0xC0 != 0x80]
+        return out
 
     def merged_counts(self, part: str) -> np.ndarray:
-        """The counts at 1, ..., all characters of what the split leaves together."""
         if len(part) <= 3:  # contractions: what begins them is split otherwise
             return np.array([len(self.ids(part[:i])) for i in range(1, len(part) + 1)], np.int32)
-        data = part.encode()
-        names = "".join(map(self.letters.__getitem__, data))
-        last, count = [0] * (len(data) + 1), np.zeros(len(data) + 1, np.int32)
-        for j in range(1, len(data) + 1):
-            n = 1
-            while n < j and names[j - n - 1 : j] in self.ends:
-                n += 1
-            for i in range(j - n, j):
-                token = self.token_of.get(names[i:j])
-                if token is None:
-                    continue
-                pair = (last[i], token)
-                if i and pair not in self.apart:
-                    if len(self.apart) >= KNOWN_PAIRS:
-                        self.apart.clear()
-                    self.apart[pair] = self.merges.encode(self.name_of[pair[0]] + names[i:j]).ids == [*pair]
-                if not i or self.apart[pair]:
-                    last[j], count[j] = token, count[i] + 1
-                    break
-        starts = np.frombuffer(data, np.uint8) & 0xC0 != 0x80
-        return count[np.append(np.flatnonzero(starts)[1:], len(data))]
+        return np.array(self.by_merges({part})[part], np.int32)
 
     def piece_counts(self, piece: str) -> np.ndarray:
         """The counts at 1, ..., all characters of a piece that no table holds."""
         if len(piece) <= LONG or self.words or self.library.normalizer is not None:
             return np.array([len(self.ids(piece[:i])) for i in range(1, len(piece) + 1)], np.int32)
-        if not hasattr(self, "ends"):
-            self.merges_of()
         spans = [own for _, own in self.library.pre_tokenizer.pre_tokenize_str(piece)]
         out, base = [], 0
         for k, (a, b) in enumerate(spans):

@@ -294,6 +294,15 @@ def test_top_k_is_exact(spark):
 # -- vectors
 
 
+def test_sums_over_packed_bits():
+    rng = np.random.default_rng(5)
+    for dim in (1, 8, 63, 64, 100):
+        bits, y = rng.random((40, dim)) > 0.5, rng.normal(size=dim)
+        codes = vector_search.packed_words([np.packbits(b).tobytes() for b in bits], dim)
+        found, slack = vector_search.signed_sums(codes, bits.sum(axis=1), y)
+        assert (np.abs(found - bits @ y) <= slack + 1e-9).all() and slack.max() <= dim * (np.ptp(y) + 1e-9) / 510 + 1e-9
+
+
 def test_search_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "ENTRIES", 300)
     monkeypatch.setattr(vector_search, "QUERIES", 7)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, line_dedup, near_duplicates, packing, quality, rans, token_counts, vector_search, warc
+from . import centroid_clusters, chat_format, decontamination, line_dedup, near_duplicates, packing, periodic_runs, quality, quality_rules, rans, token_counts, vector_search, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +69,34 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=(85, 100))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse(table(spark, sf_dir, "documents"), seed=F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    return found.withColumn("best", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.col3")).alias("period"),
+        F.floor(F.expr("1000 * best.length div -best.col3")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clusters.with_inertia(centroid_clusters.clustered(table(spark, sf_dir, "embeddings")))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_resampling, op2_token_counts, op3_best_fit_packing, op4_vector_search, op5_warc_archive, op6_decontamination, op7_line_dedup, op8_chat_format, op9_token_archive, op10_near_duplicates)
+    own = (op1_quality_resampling, op2_token_counts, op3_best_fit_packing, op4_vector_search, op5_warc_archive, op6_decontamination, op7_line_dedup, op8_chat_format, op9_token_archive, op10_near_duplicates, op11_periodic_runs, op12_quality_rules, op13_centroid_clusters)
     return {f.__name__: f for f in own}
 
 
@@ -93,6 +119,22 @@ _CHATS = f"""with t as (select conv_id, turn, coalesce(role, '') as role, coales
  cast(sum(n) + 8 as bigint) as formatted_chars from m group by conv_id"""
 
 
+def _clusters(k: int = 8, rounds: int = 10) -> str:
+    """The rounds one after another: nearest centroids by distance and number, then floors of exact means."""
+    ctes = ["""v as materialized (select row_number() over () as i, vec_id, [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] as q from embeddings
+ where len(embedding) = 64 and len([1 for x in embedding if x is not null and isfinite(cast(x as double))]) = 64)""",
+        "x as materialized (select i, unnest(q) as x, unnest(range(64)) as d from v)",
+        f"c0 as materialized (select row_number() over (order by h nulls last, q) - 1 as c, q from (select sha256('3:' || vec_id) as h, q from v order by h nulls last, q limit {k}))",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} as materialized (select i, arg_min(c, cast(dist as hugeint) * {k} + c) as c, min(dist) as dist from (select v.i, c{r}.c, list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v.q, c{r}.q)]) as dist from v, c{r}) group by i)")
+        if r < rounds:
+            ctes.append(f"s{r} as (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by d) as q from (select c, d, sum(x) as s, count(*) as n from a{r} join x using (i) group by c, d) group by c)")
+            ctes.append(f"c{r + 1} as materialized (select c{r}.c, coalesce(s{r}.q, c{r}.q) as q from c{r} left join s{r} on s{r}.c = c{r}.c)")
+    last = f"a{rounds}"
+    return f"with {', '.join(ctes)} select v.vec_id, cast(a.c as int) as cluster, cast(a.dist as bigint) as distance, cast(sum(a.dist) over (partition by a.c) as bigint) as cluster_inertia, cast(sum(a.dist) over () as bigint) as inertia, sha256(array_to_string(c.q, ',')) as centroid_sha256 from {last} a join v on v.i = a.i join c{rounds} c on c.c = a.c"
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express the query; tests/llm holds the others against brute force."""
-    return {"op7_line_dedup": _LINES, "op8_chat_format": _CHATS}
+    return {"op7_line_dedup": _LINES, "op8_chat_format": _CHATS, "op13_centroid_clusters": _clusters()}

@@ -2,9 +2,9 @@
 
 For each host, the pages that contain a line, divided by the host's pages, is the line's ratio; lines above `ratio` that
 at least `pages` pages have are dropped from all pages of the host, and the other lines keep their order. DataFrame
-expressions only. A line counts once for a page; each row is a page, repeated rows too. Lines are keyed by 128 bits of
-hash. copies_once=True takes the rows of a host that have the same text as one page, in a line's pages and in the
-host's, so that lines of a page that is copied often stay; null texts are one page then.
+expressions only. A line counts once for a page. The rows of a host that have the same text are one page, in a line's
+pages and in the host's, so the lines of a page that is copied often stay (null texts are one page then); with
+copies_once=False each row is a page. Lines are keyed by 128 bits of hash.
 
 Null texts stay null, pages of a null host form one host, a page that loses all its lines keeps an empty text, and an
 empty table stays empty. Other columns pass unchanged, whatever their names.
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, fresh, stored
 
-#: Above the share of a host that groups of copied documents reach (those are for near-duplicate removal), below that of menus and footers.
-RATIO, PAGES = 0.08, 10
+#: Lines of menus, footers and licenses stand on a tenth and more of a host's pages, lines that groups of near copies share
+#: (for near-duplicate removal) on up to a twentieth; the ratio lies between. A line of two pages may be a page and its revision.
+RATIO, PAGES = 0.08, 3
 #: Parts of a host where its pages meet its lines in a shuffle.
 PARTS = 32
 
@@ -27,7 +28,7 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
 
 
-def line_ratios(docs: DataFrame, *, host: str = "source", text: str = "text", pages: int = PAGES, copies_once: bool = False) -> DataFrame:
+def line_ratios(docs: DataFrame, *, host: str = "source", text: str = "text", pages: int = PAGES, copies_once: bool = True) -> DataFrame:
     """host, line (its key), n_pages, ratio of lines that at least `pages` pages of a host have."""
     own = docs.select(F.col(host).alias("host"), _key(F.col(text)).alias("page"), F.array_distinct(F.transform(F.split(text, "\n"), _key)).alias("lines"))
     if copies_once:  # by keys, so that no text is shuffled
@@ -38,7 +39,7 @@ def line_ratios(docs: DataFrame, *, host: str = "source", text: str = "text", pa
     return often.join(totals, F.col("host").eqNullSafe(F.col("_host"))).select("host", "line", "n_pages", (F.col("n_pages") / F.col("_pages")).alias("ratio"))
 
 
-def drop_boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES, copies_once: bool = False, counts: tuple[str, str] | None = None) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES, copies_once: bool = True, counts: tuple[str, str] | None = None) -> DataFrame:
     """The pages without their hosts' boilerplate lines. counts: names for columns of the lines there were and the lines dropped."""
     # A host has at most (lines of a page) / ratio such lines, so one row holds them.
     of, bad, salt = fresh("of"), fresh("bad"), fresh("salt")

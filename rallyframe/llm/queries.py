@@ -101,10 +101,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _LINES = """with p as (select doc_id, source, text, string_split(text, chr(10)) as l from documents),
- e as (select doc_id, source, unnest(l) as line, unnest(range(1, len(l) + 1)) as i from p),
- c as (select source, line, count(distinct doc_id) as n from e group by all),
- h as (select source, count(*) as pages from documents group by all),
- bad as (select c.source, c.line from c join h using (source) where c.n >= 10 and c.n * 1.0 / h.pages > 0.08),
+ e as (select doc_id, source, text, unnest(l) as line, unnest(range(1, len(l) + 1)) as i from p),
+ c as (select source, line, count(distinct text) as n from e group by all),
+ h as (select source, count(distinct text) + max(case when text is null then 1 else 0 end) as pages from documents group by all),
+ bad as (select c.source, c.line from c join h using (source) where c.n >= 3 and c.n * 1.0 / h.pages > 0.08),
  k as (select e.*, b.line is not null as gone from e left join bad b on e.source = b.source and e.line = b.line),
  g as (select doc_id, coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '') as text, count(*) as n_lines, count(*) filter (where gone) as n_dropped from k group by doc_id)
  select p.doc_id, g.text, coalesce(g.n_lines, 0) as n_lines, coalesce(g.n_dropped, 0) as n_dropped from p left join g using (doc_id)"""

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -162,11 +163,11 @@ def test_lines_equal_brute_force(spark):
     rows = [(i, "\n".join(rng.choice([*(f"menu {k}" for k in range(4)), prose(rng, 3), ""]) for _ in range(rng.randint(1, 6))), rng.choice(["a", "b", None])) for i in range(120)]
     rows += [(200, None, "a"), (201, "", "b"), (201, "", "b")]
     pages, counts = {}, {}
-    for _, t, h in rows:
+    for t, h in {(t, h) for _, t, h in rows}:
         pages[h] = pages.get(h, 0) + 1
         for x in set(t.split("\n")) if t is not None else ():
             counts[h, x] = counts.get((h, x), 0) + 1
-    gone = {k for k, n in counts.items() if n >= 10 and n / pages[k[0]] > 0.3}
+    gone = {k for k, n in counts.items() if n >= 3 and n / pages[k[0]] > 0.3}
     assert gone
     wanted = sorted((i, None if t is None else "\n".join(x for x in t.split("\n") if (h, x) not in gone)) for i, t, h in rows)
     out = line_dedup.drop_boilerplate(table(spark, rows), ratio=0.3)
@@ -175,6 +176,24 @@ def test_lines_equal_brute_force(spark):
     assert line_dedup.drop_boilerplate(table(spark, rows).limit(0)).collect() == []
 
 
+def test_lines_of_small_hosts(spark):
+    rng = random.Random(18)
+    rows = [(i, f"{prose(rng, 6)}\n{'footer' if i < 4 else 'own ' + str(i)}\n{'twice' if i in (7, 8) else 'once ' + str(i)}", "small") for i in range(30)]
+    out = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.drop_boilerplate(table(spark, rows)).collect()}
+    assert [len(out[i]) for i in range(5)] == [2, 2, 2, 2, 3] and "twice" in out[7]
+    few = [(i, f"{prose(rng, 6)}\nmenu", "tiny") for i in range(3)] + [(9, "alone\nmenu", "single")]
+    out = {r["doc_id"]: r["text"].split("\n")[1:] for r in line_dedup.drop_boilerplate(table(spark, few)).collect()}
+    assert out == {0: [], 1: [], 2: [], 9: ["menu"]}
+
+
+def test_lines_of_long_texts(spark):
+    rng = random.Random(19)
+    long = "\n".join(f"{i} {prose(rng, 3)}" for i in range(40_000))
+    rows = [(0, long + "\nmenu", "a")] + [(i, prose(rng, 4) + "\nmenu", "a") for i in range(1, 9)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(table(spark, rows)).collect()}
+    assert out[0] == long and not any("menu" in t for t in out.values())
+
+
 def test_pipeline_keeps_lines_of_copied_pages(spark):
     rng = random.Random(17)
     menu, copied = "home news contact", "\n".join(prose(rng, 8) for _ in range(4))
@@ -205,6 +224,17 @@ def test_chats_read_back(spark):
     assert chat_format.format_chats(turns.limit(0)).collect() == []
 
 
+def test_long_conversations_take_time_in_proportion(spark):
+    rows = [(0, t, "assistant" if t % 2 else "user", f"turn {t} " + "x<é🙂[" * 15) for t in range(20_000)] + [(1, 0, "user", "long " * 200_000), (1, 1, "assistant", "é🙂" * 300_000)]
+    turns = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    began = time.time()
+    found = {r["conv_id"]: r for r in chat_format.read_chats(chat_format.format_chats(turns)).collect()}
+    assert time.time() - began < 60
+    assert [t["text"] for t in found["0"]["turns"]] == [r[3] for r in rows[:20_000]]
+    assert found["0"]["learned"] == "".join(r[3] for r in rows[:20_000] if r[2] == "assistant")
+    assert found["1"]["learned"] == rows[-1][3] and found["1"]["turns"][0]["text"] == rows[-2][3]
+
+
 def test_running_sums(spark):
     df = spark.createDataFrame([(list(range(n)),) for n in (1, 2, 255, 256, 257, 1000)], "x array<long>")
     for r in df.select("x", chat_format.running(F.col("x")).alias("s")).collect():

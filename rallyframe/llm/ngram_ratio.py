@@ -1,7 +1,8 @@
 """Log ratios of hashed n-grams between a trusted target and the raw corpus, for scoring of documents.
 
-N-grams are of three kinds, one of each for every word of a text: the word in lower case without leading and trailing
-marks, the word as it stands, and the word as it stands with the one before it. Each kind is hashed into SPACE buckets.
+N-grams are of four kinds, one of each for every word of a text: the word in lower case without leading and trailing
+marks, the word as it stands, the word as it stands with the one before it, and the shapes of these two (letter case,
+trailing marks, and whether a word repeats the one before it). Each kind is hashed into SPACE buckets.
 The raw multinomials count every document, the target's the documents labelled as target:
 
     ratio(bucket) = log((target + PRIOR) / (raw * T / R + PRIOR)), T and R being all words of target and raw
@@ -11,8 +12,11 @@ A ratio is worth something only as far as it exceeds its own sampling error: it
 labels happen to hold a little too seldom weigh nothing, and a few words that trusted documents avoid are not drowned.
 A document is always scored by counts without itself, labelled or not.
 
+A document's score is the mean ratio over its n-grams of the three kinds of words, plus the mean ratio over its shapes
+where that is negative: odd shapes speak against a document, ordinary ones don't speak for it, as nearly all have them.
+
 A bucket of fewer than LEAST occurrences can't exceed Z errors whatever the target has of it, so it is not gathered;
-what is gathered grows with the corpus until all buckets are filled (3 * SPACE rows of 12 bytes).
+what is gathered grows with the corpus until all buckets are filled (KINDS * SPACE rows of 12 bytes).
 At most MAX_LABELS labelled documents (those of smallest hash) make the target, whatever the corpus.
 """
 
@@ -31,7 +35,7 @@ from .common import bounded_batches, mixed, slices, split_words, spread, texts_o
 
 MAX_LABELS = 60_000
 SPACE = 1 << 21
-KINDS = 3
+KINDS = 4
 PRIOR, Z = 3.0, 3.0
 #: The fewest occurrences whose ratio can exceed its errors: all of them, or none, being the target's.
 LEAST = next(m for m in range(1, 1000) if math.log((m + PRIOR) / PRIOR) > Z * math.sqrt(1 / (m + PRIOR) + 1 / PRIOR))
@@ -54,13 +58,32 @@ def ngrams(codes: np.ndarray, starts: np.ndarray, words: list[str]) -> list[np.n
     """Buckets of each word of the texts that split_words gave, an array for each kind."""
     column = pa.array(words, pa.string())
     core = pc.replace_substring_regex(pc.utf8_lower(column), _EDGE, "")
-    low, raw = hashed(pc.if_else(pc.equal(core, ""), column, core))[codes], hashed(column)[codes]
+    low, raw, shape = hashed(pc.if_else(pc.equal(core, ""), column, core))[codes], hashed(column)[codes], hashed(shapes(column))[codes]
+    first = np.zeros(len(codes), bool)
+    first[starts[:-1][np.diff(starts) > 0]] = True
+    again = np.zeros(len(codes), bool)
+    again[1:] = low[1:] == low[:-1]
+    shape = mixed(shape + (again & ~first).astype(np.uint64))
+    kinds = (low, raw, paired(raw, first), paired(shape, first))
+    return [kind * SPACE + (x & np.uint64(SPACE - 1)).astype(np.int64) for kind, x in enumerate(kinds)]
+
+
+def shapes(words: pa.Array) -> pa.Array:
+    """U, T, l or o (upper case of three letters and more, a capital first, a small letter first, other) and the last two marks after the last letter or digit."""
+    first = pc.utf8_slice_codeunits(words, 0, 1)
+    upper = pc.and_(pc.utf8_is_upper(words), pc.greater(pc.utf8_length(words), 2))
+    kind = pc.if_else(upper, "U", pc.if_else(pc.utf8_is_upper(first), "T", pc.if_else(pc.utf8_is_alpha(first), "l", "o")))
+    marks = pc.replace_substring_regex(words, r"^.*[\pL\pN]", "")
+    return pc.binary_join_element_wise(kind, pc.utf8_slice_codeunits(marks, -2, 1 << 30), "")
+
+
+def paired(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each hash with the one before it; first: where a text begins."""
+    former = np.zeros(len(hashes), np.uint64)
     with np.errstate(over="ignore"):
-        former = np.zeros(len(raw), np.uint64)
-        former[1:] = raw[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
-        former[starts[:-1][np.diff(starts) > 0]] = 0
-        pair = mixed(former + raw + np.uint64(7))
-    return [kind * SPACE + (x & np.uint64(SPACE - 1)).astype(np.int64) for kind, x in enumerate((low, raw, pair))]
+        former[1:] = hashes[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        former[first] = 0
+        return mixed(former + hashes + np.uint64(7))
 
 
 def bounded_labels(labels: DataFrame, id: str) -> DataFrame:
@@ -93,11 +116,11 @@ class Ratios:
         raw[self.buckets], target[self.buckets] = self.raw, self.target
         return raw, target
 
-    def sums(self, counts: tuple[np.ndarray, np.ndarray], grams: list[np.ndarray], starts: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Each text's sum of ratios by counts without it. target: which texts are among the target's."""
-        n, out = len(starts) - 1, np.zeros(len(starts) - 1)
+    def scores(self, counts: tuple[np.ndarray, np.ndarray], grams: list[np.ndarray], starts: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Each text's score by counts without it; 0 without words. target: which texts are among the target's."""
+        n, sums = len(starts) - 1, []
         if not self.share:
-            return out
+            return np.zeros(n)
         row = np.repeat(np.arange(n), np.diff(starts))
         for buckets in grams:
             known = counts[0][buckets] >= LEAST
@@ -107,8 +130,9 @@ class Ratios:
             counted = np.maximum(counts[1][bucket].astype(np.float64) - own * target[at], 0) + PRIOR
             ratio = np.log(counted / expected)
             ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - Z * np.sqrt(1 / counted + 1 / expected))
-            out += np.bincount(at, weights=own * ratio, minlength=n)
-        return out
+            sums.append(np.bincount(at, weights=own * ratio, minlength=n))
+        words = np.maximum(1, np.diff(starts))
+        return sum(sums[:-1]) / (words * (KINDS - 1)) + np.minimum(0, sums[-1] / words)
 
 
 def fit(docs: DataFrame) -> Ratios:

@@ -1,140 +1,55 @@
 """Importance resampling: documents are drawn in proportion to how much likelier the target model finds them than the raw one.
 
-Both models are bags of hashed n-grams over two alphabets: the words (n = 1) and the words' shapes (n = 2: letter case,
-trailing marks, and whether a word repeats the one before it). The raw model counts every document, the target model the
-documents labelled as target, its counts smoothed by PRIOR n-grams a bucket that are spread as the raw model has them:
-
-    ratio(bucket) = (target + PRIOR) / (raw * T / R + PRIOR), T and R being all n-grams of target and raw
-
-A document's log weight is the sum of the log ratios of all its n-grams, both signs and every occurrence. It is taken by
-counts without the document itself: else words that only it has would count against it if it isn't labelled, and for it
-if it is. So labelled documents are scored as others are.
+Both models are multinomials over hashed n-grams: words, pairs of words and their shapes (ngram_ratio.py: ratios by counts
+without the document itself, drawn to 0 by three standard errors). A document's log weight is its score there (mean log
+ratios) times LENGTH: documents are compared as if each had so many n-grams, else a long one would outweigh any noise for
+its length alone.
 
 Documents are sampled without replacement by Gumbel top-k: the k largest of log weight + temperature * Gumbel noise,
-the noise hashed from the id. Unless given, k is the number of documents whose key is at least that which all but
-1 - KEEP of the labelled target documents reach. The k-th largest key is found by refining a histogram, not by a sort in
-one task.
+the noise hashed from the id. The weights of sound documents lie within a few units of each other, where the noise
+deals the places; a word in a hundred that the target avoids takes some ten units. Unless given, k is the number of documents
+whose key is at least that which all but 1 - KEEP of the labelled target documents reach (rounded to whole documents). The k-th
+largest key is found by refining a histogram, not by a sort in one task.
 
-At most MAX_LABELS labelled documents (those of smallest hash) make the target model, whatever the corpus. Everything
-else is counted over all documents. The models' size is that of their buckets.
+At most ngram_ratio.MAX_LABELS labelled documents (smallest hash first) make the target model, whatever the corpus.
+Everything else is counted over all documents.
 
 Null and empty texts have no n-grams and weight 0; rows of equal or null ids share their noise, and `drawn` keeps all of
 them or none, as the likeliest of them; no documents or no labels (then all documents are kept) are no error; other
-columns pass unchanged, whatever their names; ids may be of any type that can be ordered.
+columns pass unchanged, whatever their names; ids may be of any type that can be ordered; texts are read whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mixed, slices, split_words, stored, texts_of, without
+from . import ngram_ratio
+from .common import slices, split_words, stored, texts_of, without
 
-MAX_LABELS = 60_000
-#: Buckets of words and of pairs of shapes, which are few.
-WORDS, SHAPES = 1 << 22, 1 << 16
-#: N-grams of the raw model that each bucket's target count starts from.
-PRIOR = 3.0
+#: N-grams that each document counts as having.
+LENGTH = 512
 TEMPERATURE = 1.0
 #: Share of the labelled target documents that the default k draws.
-KEEP = 0.999
+KEEP = 0.995
 #: Values that are sorted in one place at the end of a search for the k-th.
 FEW = 10_000
-_EDGE = "^[^\\pL\\pN]+|[^\\pL\\pN]+$"
-
-
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of word and of shape n-grams, one of each for each word, and where each text's start (and the end)."""
-    codes, starts, words = split_words(texts)
-    n = len(codes)
-    column = pa.array(words, pa.string())
-    core = pc.utf8_lower(pc.replace_substring_regex(column, _EDGE, ""))
-    tail = pc.replace_substring_regex(column, r"[\pL\pN]+", "").to_pylist()
-    size = pc.utf8_length(column).to_numpy(zero_copy_only=False)
-    upper = pc.utf8_is_upper(column).to_numpy(zero_copy_only=False) & (size > 2)
-    title, alpha = (f(pc.utf8_slice_codeunits(column, 0, 1)).to_numpy(zero_copy_only=False) for f in (pc.utf8_is_upper, pc.utf8_is_alpha))
-    kind = np.where(upper, "U", np.where(title, "T", np.where(alpha, "l", "o")))
-    bare = [c or w for c, w in zip(core.to_pylist(), words, strict=True)]
-    word = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in bare), np.uint64, len(bare))[codes]
-    shape = np.fromiter((xxhash.xxh3_64_intdigest(f"{k}{t[-2:]}".encode()) for k, t in zip(kind, tail, strict=True)), np.uint64, len(bare))[codes]
-    first = np.zeros(n, bool)
-    first[starts[:-1][np.diff(starts) > 0]] = True
-    again = np.zeros(n, bool)
-    again[1:] = word[1:] == word[:-1]
-    with np.errstate(over="ignore"):
-        shape = mixed(shape + np.uint64(0x9E3779B97F4A7C15) * (again & ~first))
-        pair = np.zeros(n, np.uint64)
-        pair[1:] = shape[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
-        pair[first] = 0
-        pair = mixed(pair + shape + np.uint64(7))
-    return (word % np.uint64(WORDS)).astype(np.int64), WORDS + (pair % np.uint64(SHAPES)).astype(np.int64), starts
-
-
-class Model:
-    """The counts of every bucket in target and raw text."""
-
-    def __init__(self, buckets: np.ndarray, raw: np.ndarray, target: np.ndarray):
-        self.raw, self.target = np.zeros(WORDS + SHAPES, np.float32), np.zeros(WORDS + SHAPES, np.float32)
-        self.raw[buckets], self.target[buckets] = raw, target
-        self.share = float(target.sum(dtype=np.float64) / max(1.0, raw.sum(dtype=np.float64)))
-
-    def weights(self, words: np.ndarray, shapes: np.ndarray, starts: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Each text's log weight by counts without it. target: which texts are among the target's."""
-        n, all_buckets = len(starts) - 1, WORDS + SHAPES
-        if not self.share:
-            return np.zeros(n)
-        row = np.repeat(np.arange(n), np.diff(starts))
-        found, own = np.unique(np.concatenate([row * all_buckets + words, row * all_buckets + shapes]), return_counts=True)
-        row, bucket = np.divmod(found, all_buckets)
-        expected = np.maximum(self.raw[bucket].astype(np.float64) - own, 0) * self.share
-        counted = np.maximum(self.target[bucket].astype(np.float64) - own * target[row], 0)
-        return np.bincount(row, weights=own * np.log((counted + PRIOR) / (expected + PRIOR)), minlength=n)
-
-
-def _labels(labels: DataFrame, id: str) -> DataFrame:
-    """At most MAX_LABELS rows: _label_of, _label (1 target, 0 not)."""
-    good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    return labels.filter(F.col(id).isNotNull()).groupBy(F.col(id).alias("_label_of")).agg(F.min(good.cast("int")).alias("_label")).orderBy(F.xxhash64("_label_of"), "_label_of").limit(MAX_LABELS)
-
-
-def fit(docs: DataFrame, text: str) -> Model:
-    """docs: with the column _label (null where there is none)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(WORDS + SHAPES, np.uint32), np.zeros(WORDS + SHAPES, np.uint32)
-        for batch in batches:
-            for part in slices(batch, text, 4 << 20):
-                words, shapes, starts = features(texts_of(part, text))
-                good = np.repeat(pc.fill_null(part.column("_label"), 0).to_numpy(zero_copy_only=False) == 1, np.diff(starts))
-                for found in (words, shapes):
-                    np.add.at(raw, found, 1)
-                    np.add.at(target, found[good], 1)
-        at = np.flatnonzero(raw)  # a task's own sums, so no more rows than buckets leave it
-        for i in range(0, len(at), 1 << 16):
-            own = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(raw[own].astype(np.int64)), pa.array(target[own].astype(np.int64))], ["bucket", "raw", "target"])
-
-    counts = docs.select(text, "_label").mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").cast("float").alias("raw"), F.sum("target").cast("float").alias("target"))
-    found = counts.toArrow()  # one row of 12 bytes for each bucket at most
-    return Model(*(found.column(c).to_numpy() for c in ("bucket", "raw", "target")))
 
 
 def keyed(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", temperature: float = TEMPERATURE, seed: int = 17) -> DataFrame:
     """_id, log_weight, key, label of each document."""
-    marked = bounded_batches(docs).select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(_labels(labels, id)), F.col("_id") == F.col("_label_of"), "left").select("_id", "_text", "_label")
-    model = docs.sparkSession.sparkContext.broadcast(fit(marked, "_text"))
+    marked = ngram_ratio.marked(docs, labels, id, text)
+    model = docs.sparkSession.sparkContext.broadcast(ngram_ratio.fit(marked))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        laid_out = model.value.laid_out()
         for batch in batches:
-            for part in slices(batch, "_text", 2 << 20):
-                target = pc.fill_null(part.column("_label"), 0).to_numpy(zero_copy_only=False) == 1
-                weight = model.value.weights(*features(texts_of(part, "_text")), target)
+            for part in slices(batch, "_text", 4 << 20):
+                codes, starts, words = split_words(texts_of(part, "_text"))
+                weight = LENGTH * model.value.scores(laid_out, ngram_ratio.ngrams(codes, starts, words), starts, ngram_ratio.targets_of(part))
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(weight, pa.float64()), part.column("_label")], ["_id", "log_weight", "label"])
 
     scored = marked.mapInArrow(score, f"_id {docs.schema[id].dataType.simpleString()}, log_weight double, label int")
@@ -168,7 +83,7 @@ def default_k(keys: DataFrame, keep: float = KEEP) -> int:
     n = target.count()
     if not n:
         return keys.count()
-    cut, _ = kth(target, F.col("key"), n - int((1 - keep) * n))
+    cut, _ = kth(target, F.col("key"), n - min(n - 1, round((1 - keep) * n)))
     return keys.filter(F.col("key") >= cut).count()
 
 

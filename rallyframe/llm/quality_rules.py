@@ -1,7 +1,7 @@
 """Quality rules: counts of a text that rules of thumb use, and the verdict of an n-gram likelihood ratio on every document.
 
-The verdict is deterministic: a document is kept if the mean log ratio of its n-grams between the trusted target and the
-raw corpus (ngram_ratio.py; length-normalised: the sum over all n-grams by their number) is at least THRESHOLD nats.
+The verdict is deterministic: a document is kept if its score, the mean log ratio of its n-grams between the trusted target
+and the raw corpus (ngram_ratio.py; length-normalised: sums over all n-grams by their number), is at least THRESHOLD nats.
 Documents that the base rules fail are not kept whatever their ratio: fewer than MIN_WORDS words, or over half of the
 words in repeated windows.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import ngram_ratio
 from .common import coded_lists, slices, split_words, texts_of
 
-#: Nats a word and kind of n-gram. Trusted documents lie at 0 and a little above.
+#: Nats an n-gram: about one word in a hundred that trusted documents avoid. Trusted documents lie at 0 and a little above.
 THRESHOLD = -0.01
 MIN_WORDS = 50
 #: Per cent of the words that may lie in repeated windows.
@@ -65,7 +65,7 @@ def repeat_words(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def judged(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score (mean log ratio), base_failed, kept."""
+    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept."""
     rows = ngram_ratio.marked(docs, labels, id, text)
     model = docs.sparkSession.sparkContext.broadcast(ngram_ratio.fit(rows))
 
@@ -77,7 +77,7 @@ def judged(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str
                 codes, starts, words = split_words(texts)
                 n = np.diff(starts)
                 sizes = pc.utf8_length(pa.array(words, pa.string())).to_numpy(zero_copy_only=False)
-                sums = model.value.sums(laid_out, ngram_ratio.ngrams(codes, starts, words), starts, ngram_ratio.targets_of(part))
+                score = model.value.scores(laid_out, ngram_ratio.ngrams(codes, starts, words), starts, ngram_ratio.targets_of(part))
                 counts = {
                     "n_words": n,
                     "word_chars": np.diff(np.concatenate([[0], np.cumsum(sizes[codes])])[starts]),
@@ -85,7 +85,7 @@ def judged(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str
                     "n_dup_lines": dup_lines(texts),
                     "n_repeat_words": repeat_words(codes, starts),
                 }
-                yield pa.RecordBatch.from_arrays([part.column("_id"), *(pa.array(x, pa.int64()) for x in counts.values()), pa.array(sums / np.maximum(1, ngram_ratio.KINDS * n), pa.float64())], ["_id", *counts, "score"])
+                yield pa.RecordBatch.from_arrays([part.column("_id"), *(pa.array(x, pa.int64()) for x in counts.values()), pa.array(score, pa.float64())], ["_id", *counts, "score"])
 
     found = rows.mapInArrow(judge, f"_id {docs.schema[id].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))

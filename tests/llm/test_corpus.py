@@ -16,7 +16,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rallyframe.llm import chat_format, decontamination, line_dedup, near_duplicates, quality, vector_search, warc
+from rallyframe.llm import chat_format, decontamination, line_dedup, near_duplicates, ngram_ratio, quality, vector_search, warc
+from rallyframe.llm.common import split_words
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra", "so", "ti") for b in ("ba", "den", "fir", "gol", "hu", "jem", "kas", "lon", "mur", "nis")]
 EXTRA = "class long, set string, _id long, host string, line string, key double, label int, _text string"
@@ -264,13 +265,19 @@ def test_weights_equal_brute_force(spark):
     rows, labels = labelled(spark, 200)
     rows += [(900, None, "s"), (901, "", "s"), (902, rows[2][1], "s"), (2, rows[2][1], "s")]
     target = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"]}
-    own = {}
-    for k, (i, text, _) in enumerate(rows):
-        words, shapes, _ = quality.features(pa.array([text or ""]))
-        own[k] = (i, collections.Counter([*words.tolist(), *shapes.tolist()]))
-    raw, good = sum((c for _, c in own.values()), collections.Counter()), sum((c for i, c in own.values() if i in target), collections.Counter())
-    share = good.total() / raw.total()
-    wanted = sorted((i, round(sum(n * math.log((good[g] - n * (i in target) + quality.PRIOR) / ((raw[g] - n) * share + quality.PRIOR)) for g, n in c.items()), 3)) for i, c in own.values())
+    own = [(i, [collections.Counter(g.tolist()) for g in ngram_ratio.ngrams(*split_words(pa.array([text or ""])))]) for i, text, _ in rows]
+    raw, good = (sum((g for i, kinds in own for g in kinds if not only or i in target), collections.Counter()) for only in (False, True))
+    share, prior = good.total() / raw.total(), ngram_ratio.PRIOR
+
+    def drawn_ratio(g, n, i):
+        c, e = good[g] - n * (i in target) + prior, (raw[g] - n) * share + prior
+        return math.copysign(max(0.0, abs(math.log(c / e)) - ngram_ratio.Z * math.sqrt(1 / c + 1 / e)), c - e)
+
+    def score(i, kinds):
+        means = [sum(n * drawn_ratio(g, n, i) for g, n in kind.items()) / max(1, kind.total()) for kind in kinds]
+        return sum(means[:-1]) / 3 + min(0, means[-1])
+
+    wanted = sorted((i, round(quality.LENGTH * score(i, kinds), 3)) for i, kinds in own)
     keys = quality.keyed(table(spark, rows), labels)
     found = keys.collect()
     assert sorted((r["_id"], round(r["log_weight"], 3)) for r in found) == wanted
@@ -282,7 +289,7 @@ def test_weights_equal_brute_force(spark):
     assert sorted(r["key"] for r in drawn) == pytest.approx(sorted(r["key"] for r in top))
     reached = sorted((r["key"] for r in found if r["label"] == 1), reverse=True)
     keep = 0.9
-    cut = reached[len(reached) - int((1 - keep) * len(reached)) - 1]
+    cut = reached[len(reached) - round((1 - keep) * len(reached)) - 1]
     assert quality.default_k(keys, keep) == sum(r["key"] >= cut for r in found)
 
 
@@ -418,10 +425,10 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
 
 
 def test_word_features_do_not_reach_across_texts():
-    words, shapes, starts = quality.features(pa.array(["a b", "", "b B, b"]))
-    assert starts.tolist() == [0, 2, 2, 5] and len(words) == len(shapes) == 5
-    assert words[1] == words[2] == words[3] == words[4]
-    assert quality.features(pa.array(["b B, b"]))[1].tolist() == shapes[2:].tolist()
+    low, raw, pair, shape = ngram_ratio.ngrams(*split_words(pa.array(["a b", "", "b B, b"])))
+    assert len(low) == len(raw) == len(pair) == len(shape) == 5
+    assert low[1] == low[2] == low[3] == low[4] and raw[1] == raw[2] == raw[4] != raw[3]
+    assert ngram_ratio.ngrams(*split_words(pa.array(["b B, b"])))[2].tolist() == pair[2:].tolist()
 
 
 def brute_matches(text, items, window=13, agree=0.8):

@@ -1,5 +1,6 @@
 """Periodic runs, quality rules and centroid clusters against plain versions."""
 
+import collections
 import hashlib
 import math
 import random
@@ -115,27 +116,34 @@ def plain_counts(text):
 
 def plain_scores(rows, labels):
     """Mean drawn ratios by dictionaries of the n-grams themselves."""
+    def shape(x):
+        kind = "U" if x.isupper() and len(x) > 2 else "T" if x[0].isupper() else "l" if x[0].isalpha() else "o"
+        return kind + re.sub(r"^.*[^\W_]", "", x)[-2:]
+
     def grams(text):
         w = WORD.findall(text or "")
         low = [re.sub(r"^[\W_]+|[\W_]+$", "", x.lower()) or x for x in w]
-        return [("l", x) for x in low] + [("r", x) for x in w] + [("p", a, b) for a, b in zip([None, *w], w)]
+        form = [(shape(x), k > 0 and low[k - 1] == low[k]) for k, x in enumerate(w)]
+        return [low, [(x,) for x in w], list(zip([None, *w], w)), list(zip([None, *form], form))]
 
     own = [grams(t) for _, t in rows]
-    raw, target = {}, {}
-    for (i, _), g in zip(rows, own):
-        for x in g:
-            raw[x] = raw.get(x, 0) + 1
-            target[x] = target.get(x, 0) + labels.get(i, 0)
-    share = sum(len(g) * labels.get(i, 0) for (i, _), g in zip(rows, own)) / max(1, sum(map(len, own)))
+    raw, target = collections.Counter(), collections.Counter()
+    for (i, _), kinds in zip(rows, own):
+        for g in kinds:
+            raw.update(g)
+            target.update(g * labels.get(i, 0))
+    share = sum(len(k[0]) * labels.get(i, 0) for (i, _), k in zip(rows, own)) / max(1, sum(len(k[0]) for k in own))
     out = []
-    for (i, _), g in zip(rows, own):
-        total = 0.0
-        for x in set(g):
-            n = g.count(x)
-            e, c = (raw[x] - n) * share + 3, target[x] - n * labels.get(i, 0) + 3
-            ratio = math.log(c / e)
-            total += n * math.copysign(max(0.0, abs(ratio) - 3 * math.sqrt(1 / c + 1 / e)), ratio)
-        out.append(total / max(1, len(g)))
+    for (i, _), kinds in zip(rows, own):
+        means = []
+        for g in kinds:
+            total = 0.0
+            for x, n in collections.Counter(g).items():
+                e, c = (raw[x] - n) * share + 3, target[x] - n * labels.get(i, 0) + 3
+                ratio = math.log(c / e)
+                total += n * math.copysign(max(0.0, abs(ratio) - 3 * math.sqrt(1 / c + 1 / e)), ratio)
+            means.append(total / max(1, len(g)))
+        out.append(sum(means[:-1]) / 3 + min(0, means[-1]))
     return out
 
 

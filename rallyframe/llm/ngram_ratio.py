@@ -36,6 +36,8 @@ from .common import bounded_batches, mixed, slices, split_words, spread, texts_o
 MAX_LABELS = 60_000
 SPACE = 1 << 21
 KINDS = 4
+#: Buckets whose counts travel together.
+RANGE = 1 << 13
 PRIOR, Z = 3.0, 3.0
 #: The fewest occurrences whose ratio can exceed its errors: all of them, or none, being the target's.
 LEAST = next(m for m in range(1, 1000) if math.log((m + PRIOR) / PRIOR) > Z * math.sqrt(1 / (m + PRIOR) + 1 / PRIOR))
@@ -135,24 +137,50 @@ class Ratios:
         return sum(sums[:-1]) / (words * (KINDS - 1)) + np.minimum(0, sums[-1] / words)
 
 
+def packed(x: np.ndarray, bytes: int) -> bytes:
+    """Numbers as planes of bytes, of which a shuffle's compression leaves little where the numbers are small."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T[:bytes].tobytes()
+
+
+def unpacked(x: bytes, bytes: int) -> np.ndarray:
+    planes = np.frombuffer(x, np.uint8).reshape(bytes, -1).astype(np.int64)
+    return sum(planes[k] << (8 * k) for k in range(bytes))
+
+
 def fit(docs: DataFrame) -> Ratios:
-    """docs: _text and _label."""
+    """docs: _text and _label. A task adds up its own counts and sends them by ranges of buckets; ranges are added up as they stream in."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target, words = np.zeros(KINDS * SPACE, np.uint32), np.zeros(KINDS * SPACE, np.uint32), np.zeros(2, np.int64)
+        counts, words = np.zeros((2, KINDS * SPACE), np.uint32), np.zeros((2, 1), np.int64)
         for batch in batches:
             for part in slices(batch, "_text", 4 << 20):
                 codes, starts, distinct = split_words(texts_of(part, "_text"))
                 good = np.repeat(targets_of(part), np.diff(starts))
-                words += len(codes), int(good.sum())
+                words += [[len(codes)], [int(good.sum())]]
                 for buckets in ngrams(codes, starts, distinct):
-                    np.add.at(raw, buckets, np.uint32(1))
-                    np.add.at(target, buckets[good], np.uint32(1))
-        at = np.flatnonzero(raw)  # a task's own sums, so no more rows than buckets leave it
-        rows = [(np.array([-1]), words[:1], words[1:])] + [(at[i : i + (1 << 16)],) * 3 for i in range(0, len(at), 1 << 16)]
-        for i, (own, r, t) in enumerate(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(r if not i else raw[own], pa.int64()), pa.array(t if not i else target[own], pa.int64())], ["bucket", "raw", "target"])
-
-    counts = docs.select("_text", "_label").mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    found = counts.filter((F.col("bucket") < 0) | (F.col("raw") >= LEAST)).select("bucket", F.col("raw").cast("double"), F.col("target").cast("double")).toArrow()
+                    np.add.at(counts[0], buckets, np.uint32(1))
+                    np.add.at(counts[1], buckets[good], np.uint32(1))
+        rows = [(-1, np.array([RANGE - 1]), words)]
+        for k in range(0, KINDS * SPACE // RANGE):
+            own = counts[:, k * RANGE : (k + 1) * RANGE]
+            if len(at := np.flatnonzero(own[0])):
+                rows.append((k, at, own[:, at]))
+            if len(rows) == 64 or k + 1 == KINDS * SPACE // RANGE:
+                found = [(k, packed(np.diff(at, prepend=0), 2), packed(x[0], 4), packed(x[1], 4)) for k, at, x in rows]
+                yield pa.RecordBatch.from_pylist([dict(zip(("range", "gaps", "raw", "target"), r, strict=True)) for r in found], schema)
+                rows = []
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, gaps, *numbers in zip(*(batch.column(c).to_pylist() for c in ("range", "gaps", "raw", "target")), strict=True):
+                total = totals.setdefault(k, np.zeros((2, RANGE), np.int64))
+                total[:, np.cumsum(unpacked(gaps, 2))] += [unpacked(x, 4) for x in numbers]
+        for k, total in totals.items():
+            at = np.flatnonzero(total[0] >= (LEAST if k >= 0 else 0))
+            yield pa.RecordBatch.from_arrays([pa.array(k * RANGE + at, pa.int32()), *(pa.array(x[at].astype(np.float64)) for x in total)], ["bucket", "raw", "target"])
+
+    schema = pa.schema([("range", pa.int32()), ("gaps", pa.binary()), ("raw", pa.binary()), ("target", pa.binary())])
+    ranges = docs.select("_text", "_label").mapInArrow(count, "range int, gaps binary, raw binary, target binary")
+    found = ranges.repartition("range").mapInArrow(add, "bucket int, raw double, target double").toArrow()
     return Ratios(*(found.column(c).to_numpy() for c in ("bucket", "raw", "target")))

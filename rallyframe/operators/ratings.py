@@ -1,26 +1,32 @@
 """Ratings before each match, with an update factor that falls with experience.
 
 A rating depends on the opponent's rating of that moment, so matches that share players must be folded in order. All that
-does not depend on ratings (match counts, hence update factors) is computed by windows first. The fold then streams over
-key columns sorted by Spark and keeps a rating and the last changes of each player: one task for the global rating; for
-surface ratings, whose surfaces never meet, one task for each surface. Ratings to start from are the fold's first rows.
+does not depend on ratings (match counts, hence update factors) is computed by windows first. The rest is folded by
+slices of time and, inside a slice, by groups of players that its matches connect: groups never meet within the slice, so
+each is a task's own, and no task sees more than SLICE_ROWS matches however long the history. Between slices the ratings
+and last changes of all players are a table in the checkpoint folder; players enter a slice by joining it. Surface
+ratings are the same over pairs of player and surface, whose groups never cross surfaces.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import settled
 from .history import order_of, prior
 
 INITIAL = 1500.0
 K_MIN, K_MAX, HALF_LIFE = 24.0, 42.0, 50.0
 SURFACE_SHARE = 0.7
 RECENT = 5
+#: Matches that one task folds at most, in the worst case of a slice whose players are all connected (some ten seconds).
+SLICE_ROWS = 1_000_000
 
 
 def k_adaptive(n: Column, k_min: float = 18.0, k_max: float = 32.0, half_life: float = 50.0) -> Column:
@@ -34,10 +40,14 @@ def _sides(matches: DataFrame, *more: str) -> DataFrame:
     return matches.select(*order, *more, both.alias("_s")).select(*order, *more, "_s.*")
 
 
-def match_counts(matches: DataFrame) -> DataFrame:
-    """mk, n_1, n_2: matches of either player before this one."""
+def match_counts(matches: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """mk, n_1, n_2: matches of either player before this one. before: player, n to start from."""
     rows = _sides(matches)
-    n = rows.withColumn("n", F.count(F.lit(1)).over(prior(["player"], order_of(rows))))
+    n = F.count(F.lit(1)).over(prior(["player"], order_of(rows)))
+    if before is not None:
+        rows = rows.join(before.select(F.col("player").alias("_player"), F.col("n").alias("_before")), F.col("player").eqNullSafe(F.col("_player")), "left")
+        n = n + F.coalesce("_before", F.lit(0))
+    n = rows.withColumn("n", n)
     return n.groupBy("mk").agg(*(F.max(F.when(F.col("side") == s, F.col("n"))).alias(f"n_{s}") for s in (1, 2)))
 
 
@@ -57,16 +67,50 @@ def surface_counts(matches: DataFrame, compat: bool = True, share: float = SURFA
     return n.groupBy("mk").agg(*(F.max(F.when(F.col("side") == s, F.col("n"))).alias(f"n_{s}") for s in (1, 2)))
 
 
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) to (node, smallest node that the edges seen here connect it to)."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    for i in range(0, len(nodes), 1 << 16):
+        part = nodes[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["a", "b"])
+
+
+def groups(edges: DataFrame, fan: int = 16) -> DataFrame:
+    """node, group (its smallest node) of the edges' two columns of longs: partial forests of partitions, merged `fan` at a time. The last merge holds a row for each node of a slice and partition it came from."""
+    forest = edges.mapInArrow(_linked, "a long, b long")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while parts > 1:
+        parts = -(-parts // fan)
+        forest = forest.repartition(parts, F.spark_partition_id() % parts if parts > 1 else F.lit(0)).mapInArrow(_linked, "a long, b long")
+    return forest.toDF("node", "group")
+
+
 def _fold(initial: float) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratings: dict[tuple, float] = {}
         changes: dict[tuple, deque] = {}
+        names = ("mk", "group", "surface", "player_1", "player_2", "target", "k1", "k2", "start", "recent")
+        current = None
         for batch in batches:
             out: list[list] = [[], [], [], [], [], [], []]
-            for mk, surface, a, b, won, k1, k2, start in zip(*(batch.column(c).to_pylist() for c in ("mk", "surface", "player_1", "player_2", "target", "k1", "k2", "start")), strict=True):
+            for mk, group, surface, a, b, won, k1, k2, start, recent in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if group != current:
+                    ratings, changes, current = {}, {}, group
                 p, q = (a, surface), (b, surface)
                 if start is not None:
-                    ratings[p] = start
+                    ratings[p], changes[p] = start, deque(recent or (), maxlen=RECENT)
                     continue
                 r1, r2 = ratings.get(p, initial), ratings.get(q, initial)
                 expected = 1.0 / (1.0 + 10.0 ** ((r2 - r1) / 400.0))
@@ -83,20 +127,64 @@ def _fold(initial: float) -> callable:
     return run
 
 
-def fold(matches: DataFrame, counts: DataFrame, *, by_surface: bool = False, fixed_k: float | None = None, k_min: float = K_MIN, k_max: float = K_MAX, half_life: float = HALF_LIFE, initial: float = INITIAL, state: DataFrame | None = None) -> DataFrame:
-    """mk, r1, r2 (ratings before the match), d1, d2 (their changes), v1, v2 (mean size of the last five changes before it). state: player[, surface], elo to start from."""
+def _node(player: str) -> Column:
+    """A number for a player on a surface; two that share one are folded in one group, which changes nothing."""
+    return F.xxhash64(F.col(player), F.col("surface"))
+
+
+def _slice(keyed: DataFrame, state: DataFrame | None, order: list[str], initial: float) -> DataFrame:
+    """The fold of one slice: keyed matches, and the state (player, surface, start, recent) of who plays in it."""
+    group = groups(keyed.select(_node("player_1").alias("a"), _node("player_2").alias("b")))
+    rows = keyed.withColumns({"node": _node("player_1"), "start": F.lit(None).cast("double"), "recent": F.lit(None).cast("array<double>")})
+    if state is not None:
+        first = state.select(F.col("player").alias("player_1"), "surface", "start", "recent")
+        rows = rows.unionByName(first.withColumn("node", _node("player_1")), allowMissingColumns=True)
+    dealt = rows.join(group, "node").repartition(F.col("group"))
+    ordered = dealt.sortWithinPartitions("group", F.col("start").isNull(), *(F.col(c).asc_nulls_last() for c in order))
+    columns = ["mk", "group", "surface", "player_1", "player_2", "target", "k1", "k2", "start", "recent"]
+    return ordered.select(*columns).mapInArrow(_fold(initial), f"mk {dict(keyed.dtypes)['mk']}, r1 double, r2 double, d1 double, d2 double, v1 double, v2 double")
+
+
+def _carried(keyed: DataFrame, folded: DataFrame, state: DataFrame | None, order: list[str]) -> DataFrame:
+    """player, surface, start, recent after a slice, of everyone."""
+    both = F.explode(F.array(*(F.struct(F.col(f"player_{s}").alias("player"), (F.col(f"r{s}") + F.col(f"d{s}")).alias("start"), F.abs(f"d{s}").alias("d")) for s in (1, 2))))
+    rows = keyed.select(*order, "surface", "player_1", "player_2").join(folded, "mk").select(*order, "surface", both.alias("_s")).select(*order, "surface", "_s.*")
+    back = Window.partitionBy("player", "surface").orderBy(*(F.col(c).desc_nulls_first() for c in order))
+    last = rows.withColumn("n", F.row_number().over(back)).filter(F.col("n") <= RECENT)
+    own = last.groupBy("player", "surface").agg(F.max(F.when(F.col("n") == 1, F.col("start"))).alias("start"), F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("n", "d")))), lambda x: x["d"]).alias("recent"))
+    if state is None:
+        return own
+    old = state.select(F.col("player").alias("_player"), F.col("surface").alias("_surface"), F.col("start").alias("_start"), F.col("recent").alias("_recent"))
+    met = own.join(old, F.col("player").eqNullSafe(F.col("_player")) & (F.col("surface") == F.col("_surface")), "full_outer")
+    new = F.col("start").isNotNull()
+    joined = F.concat(F.coalesce("_recent", F.array().cast("array<double>")), F.coalesce("recent", F.array().cast("array<double>")))
+    pick = lambda c: F.when(new, F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
+    return met.select(pick("player"), pick("surface"), pick("start"), F.slice(joined, -F.least(F.lit(RECENT), F.size(joined)), RECENT).alias("recent"))
+
+
+def fold(matches: DataFrame, counts: DataFrame, *, by_surface: bool = False, fixed_k: float | None = None, k_min: float = K_MIN, k_max: float = K_MAX, half_life: float = HALF_LIFE, initial: float = INITIAL, state: DataFrame | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """mk, r1, r2 (ratings before the match), d1, d2 (their changes), v1, v2 (mean size of the last five changes before it).
+
+    state: player[, surface], elo to start from. slice_rows: about how many matches a slice has; a history of fewer is one slice.
+    """
     k = lambda s: F.lit(float(fixed_k)) if fixed_k is not None else k_adaptive(F.col(f"n_{s}"), k_min, k_max, half_life)
     order = [c for c in ("tourney_date", "tourney_id", "match_num", "mk") if c in matches.columns]
     surface = F.coalesce("surface", F.lit("Unknown")) if by_surface else F.lit("")
     target = F.col("target").cast("double") if "target" in matches.columns else F.lit(1.0)
     keyed = matches.join(counts, "mk").select(*order, surface.alias("surface"), "player_1", "player_2", target.alias("target"), k(1).alias("k1"), k(2).alias("k2"))
-    keyed = keyed.withColumn("start", F.lit(None).cast("double"))
     if state is not None:
-        first = state.select(F.col("player").alias("player_1"), (F.col("surface") if by_surface else F.lit("")).alias("surface"), F.col("elo").cast("double").alias("start"))
-        keyed = keyed.unionByName(first, allowMissingColumns=True)
-    dealt = keyed.repartition(F.col("surface")) if by_surface else keyed.repartition(1)
-    ordered = dealt.sortWithinPartitions("surface", F.col("start").isNull(), *(F.col(c).asc_nulls_last() for c in order))
-    return ordered.select("mk", "surface", "player_1", "player_2", "target", "k1", "k2", "start").mapInArrow(_fold(initial), f"mk {dict(matches.dtypes)['mk']}, r1 double, r2 double, d1 double, d2 double, v1 double, v2 double")
+        state = state.select("player", (F.col("surface") if by_surface else F.lit("")).alias("surface"), F.col("elo").cast("double").alias("start"), F.lit(None).cast("array<double>").alias("recent"))
+    slices = -(-matches.count() // slice_rows)
+    if slices <= 1:
+        return _slice(keyed, state, order, initial)
+    dealt = settled(keyed.repartitionByRange(slices, *(F.col(c).asc_nulls_last() for c in order)).withColumn("_slice", F.spark_partition_id()))
+    out = []
+    for i in range(slices):
+        own = dealt.filter(F.col("_slice") == i).drop("_slice")
+        out.append(settled(_slice(own, state, order, initial)))
+        if i + 1 < slices:
+            state = settled(_carried(own, out[-1], state, order))
+    return reduce(DataFrame.unionAll, out)
 
 
 def _named(folded: DataFrame, prefix: str) -> DataFrame:

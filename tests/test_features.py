@@ -83,6 +83,41 @@ def test_ratings_equal_a_sequential_run_whatever_the_partitions(spark):
     close(by_key(ratings.elo(m), "elo_p1", "elo_p2"), sequential(rows))
 
 
+def leagues(n, seed=2):
+    """Matches of three groups of players that never meet."""
+    rng = random.Random(seed)
+    return [(i, 1 + i * 25 // n, *(f"{g}{x}" for x in rng.sample(range(5), 2)), rng.choice(["Hard", "Clay", "Grass"]), rng.randint(0, 1)) for i in range(n) for g in [rng.choice("XYZ")]]
+
+
+def test_slices_and_groups_change_no_rating(spark):
+    for rows in (random_rows(150, seed=4), leagues(150)):
+        m = matches(spark, rows).repartition(5)
+        n, names = ratings.match_counts(m), ("r1", "r2", "d1", "d2", "v1", "v2")
+        for how in ({}, {"by_surface": True}):
+            whole = {k: tuple(-1 if x is None else x for x in v) for k, v in by_key(ratings.fold(m, n, **how), *names).items()}
+            assert len(whole) == 150
+            cut = ratings.fold(m, n, slice_rows=50, **how)
+            close({k: tuple(-1 if x is None else x for x in v) for k, v in by_key(cut, *names).items()}, whole)
+
+
+def test_groups_never_meet(spark):
+    edges = [(1, 2), (2, 3), (10, 11), (12, 11), (3, 4), (20, 20), (-5, 4)]
+    found = {r["node"]: r["group"] for r in ratings.groups(spark.createDataFrame(edges * 3, "a long, b long").repartition(5), fan=2).collect()}
+    assert found == {1: -5, 2: -5, 3: -5, 4: -5, -5: -5, 10: 10, 11: 10, 12: 10, 20: 20}
+    plan = ratings.elo(matches(spark, leagues(30)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_ratings_start_from_a_state(spark):
+    rows = random_rows(120, seed=8)
+    m = matches(spark, rows)
+    first, later = m.filter("mk < 70"), m.filter("mk >= 70")
+    state = ratings.final_state(first, ratings.fold(first, ratings.match_counts(first)))
+    wanted = {k: v for k, v in sequential(rows).items() if k >= 70}
+    for size in (1000, 25):
+        close(by_key(ratings.fold(later, ratings.match_counts(later, state), state=state, slice_rows=size), "r1", "r2"), wanted)
+
+
 def test_later_matches_change_nothing_before_them(spark):
     rows = random_rows(60, seed=3)
     for f in (lambda m: ratings.elo(m), history.side_features, history.head_to_head):

@@ -206,16 +206,19 @@ def surface_elo(matches: DataFrame, compat: bool = True, share: float = SURFACE_
     return _named(fold(reject_self_matches(matches), surface_counts(matches, compat, share), by_surface=True, **how), "surface_")
 
 
-def final_state(matches: DataFrame, folded: DataFrame, by_surface: bool = False) -> DataFrame:
-    """player[, surface], elo, n after all matches."""
+def final_state(matches: DataFrame, folded: DataFrame, by_surface: bool = False, before: DataFrame | None = None) -> DataFrame:
+    """player[, surface], elo, n after all matches; before: the state they started from, whose other players stay."""
     order = [c for c in ("tourney_date", "tourney_id", "match_num", "mk") if c in matches.columns]
     surface = [F.coalesce("surface", F.lit("Unknown")).alias("surface")] if by_surface else []
     rows = matches.select(*order, *surface, "player_1", "player_2").join(folded, "mk")
     both = F.explode(F.array(*(F.struct(F.col(f"player_{s}").alias("player"), (F.col(f"r{s}") + F.col(f"d{s}")).alias("elo")) for s in (1, 2))))
     keys = ["player", "surface"] if by_surface else ["player"]
-    tall = rows.select(*order, *(["surface"] if by_surface else []), both.alias("_s")).select(*order, *(["surface"] if by_surface else []), "_s.*")
-    late = F.struct(*(F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")) for c in order))
-    return tall.groupBy(*keys).agg(F.max_by("elo", late).alias("elo"), F.count(F.lit(1)).alias("n"))
+    tall = rows.select(*order, *(["surface"] if by_surface else []), both.alias("_s")).select(F.lit(True).alias("_new"), *order, *(["surface"] if by_surface else []), "_s.*")
+    if before is not None:
+        tall = tall.unionByName(before.select(F.lit(False).alias("_new"), *keys, "elo", F.col("n").alias("_n")), allowMissingColumns=True)
+    late = F.struct("_new", *(F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")) for c in order))
+    n = F.count(F.lit(1)) if before is None else F.sum(F.coalesce("_n", F.lit(1)))
+    return tall.groupBy(*keys).agg(F.max_by("elo", late).alias("elo"), n.alias("n"))
 
 
 def smoothed(rows: DataFrame, value: str = "elo", keys: tuple[str, ...] = ("player",), width: int = 20, least: int = 5) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns
 from ..functions.scratch import settled
 from ..operators import derived, history, ratings, reduce
-from ..sources.matches import rename_sides, union_by_name
+from ..sources.matches import rename_sides
 
 
 @dataclass
@@ -31,7 +31,8 @@ class FeaturePipeline:
 
     swap: sides are dealt by a seeded coin. reduce_inflated: collinear columns go too. compat: surface ratings count as
     the original pipeline does. Ratings, head-to-head records and statistics carry over from fit to transform, form and
-    load do not; components and dropped columns are those of fit.
+    load do not; components and dropped columns are those of fit. They carry over as tables in the checkpoint folder (a row a
+    player, pair or statistic): transform reads no earlier match, and its own result is the state for the table after it.
     """
 
     swap: bool = True
@@ -44,7 +45,6 @@ class FeaturePipeline:
     seed: str = "swap"
     groups: dict[str, reduce.GroupState] = field(default_factory=dict)
     dropped: list[str] = field(default_factory=list)
-    history: DataFrame | None = None
     fitted: Features | None = None
 
     def _oriented(self, raw: DataFrame) -> DataFrame:
@@ -57,20 +57,21 @@ class FeaturePipeline:
         counts, surface_counts = ratings.match_counts(df), ratings.surface_counts(df, self.compat)
         elo_fold = settled(ratings.fold(ratings.reject_self_matches(df), counts, state=before.elo if before else None))
         surface_fold = settled(ratings.fold(ratings.reject_self_matches(df), surface_counts, by_surface=True, state=before.surface_elo if before else None))
-        whole = df if self.history is None else union_by_name([self.history.withColumn("_old", F.lit(True)), df.withColumn("_old", F.lit(False))])
-        h2h = history.head_to_head(whole)
-        rows = history.numbered(history.long(whole))
-        means = history.stat_means(rows)
-        stat_columns = history.wide(rows.select("mk", "side", *(c.alias(n) for n, c in means.items())), list(means)) if means else None
-        own = history.numbered(history.long(df))
-        forms = history.form(own)
-        form_columns = history.wide(own.select("mk", "side", *(c.alias(n) for n, c in forms.items())), list(forms))
-        full = h2h if self.history is None else h2h.filter(~F.col("_old")).select(*df.columns, *(c for c in h2h.columns if c.startswith("h2h_")))
-        for part in (ratings._named(elo_fold, ""), ratings._named(surface_fold, "surface_"), form_columns, stat_columns):
-            full = full if part is None else full.join(part, "mk")
+        full = history.head_to_head(df, state=before.h2h if before else None)
+        rows = history.numbered(history.long(df))
+        sides = history.seeded(rows, before.stats) if before else rows
+        new = history.form(sides) | history.stat_means(sides)
+        side_columns = history.wide(sides.select("mk", "side", *(c.alias(n) for n, c in new.items())), list(new))
+        for part in (ratings._named(elo_fold, ""), ratings._named(surface_fold, "surface_"), side_columns):
+            full = full.join(part, "mk")
         full = derived.stat_ratios(derived.form_differences(derived.rating_features(full)))
-        state = dict(elo=ratings.final_state(df, elo_fold), surface_elo=ratings.final_state(df, surface_fold, True), h2h=history.head_to_head_state(whole), stats=history.stat_state(rows))
-        return Features(final=full, full=full, **state)
+        state = dict(
+            elo=ratings.final_state(df, elo_fold, before=before.elo if before else None),
+            surface_elo=ratings.final_state(df, surface_fold, True, before=before.surface_elo if before else None),
+            h2h=history.head_to_head_state(df, before.h2h if before else None),
+            stats=history.stat_state(rows, before.stats if before else None),
+        )
+        return Features(final=full, full=full, **{k: settled(x) for k, x in state.items()})
 
     def fit(self, raw: DataFrame) -> Features:
         df = self._oriented(raw)
@@ -81,7 +82,7 @@ class FeaturePipeline:
         if self.reduce_inflated:
             more = reduce.inflated_columns(numbers, [c for c in numbers.columns if c not in ("mk", "target")], self.inflated, self.inflated_most)
             numbers, self.dropped = numbers.drop(*more), self.dropped + more
-        self.history, self.fitted = df, out
+        self.fitted = out
         out.final = numbers
         return out
 

@@ -166,19 +166,52 @@ def test_self_match_is_an_error(spark):
         ratings.elo(matches(spark, [(1, 1, "A", "A", "Hard", 1)])).collect()
 
 
-def test_pipeline_carries_its_state(spark):
-    rows = random_rows(80, seed=7)
-    raw = matches(spark, rows).withColumns({"p1_ace": F.pmod(F.col("mk"), F.lit(9)).cast("double"), "p2_ace": F.pmod(F.col("mk") * 7, F.lit(11)).cast("double"), "p1_rank": F.col("mk") % 13 + 1.0, "p2_rank": F.col("mk") % 17 + 1.0})
+def with_stats(m):
+    return m.withColumns({"p1_ace": F.when(F.col("mk") % 5 != 0, F.pmod(F.col("mk"), F.lit(9)).cast("double")), "p2_ace": F.pmod(F.col("mk") * 7, F.lit(11)).cast("double"), "p1_rank": F.col("mk") % 13 + 1.0, "p2_rank": F.col("mk") % 17 + 1.0})
+
+
+def test_windows_start_from_a_state(spark):
+    m = with_stats(matches(spark, random_rows(150, players=4, seed=12)))
+    parts = [m.filter("mk < 50"), m.filter("mk >= 50 and mk < 90"), m.filter("mk >= 90")]
+    names = ("h2h_count", "h2h_balance", "h2h_surface_count", "h2h_surface_balance", "h2h_recent3_balance")
+    whole = by_key(history.head_to_head(m), *names)
+    state = None
+    for part in parts:
+        assert by_key(history.head_to_head(part, state=state), *names).items() <= whole.items()
+        state = history.head_to_head_state(part, state)
+    assert sorted(map(tuple, state.collect())) == sorted(map(tuple, history.head_to_head_state(m).collect()))
+    sides = lambda rows: {(r["mk"], r["side"]): (r["a"], r["s"]) for r in rows.select("mk", "side", *(history.stat_means(rows)[n].alias(k) for n, k in (("ace_mean", "a"), ("ace_surface_mean", "s")))).collect()}
+    wanted, state = sides(history.long(m)), history.stat_state(history.long(parts[0]))
+    for part in parts[1:]:
+        rows = history.long(part)
+        for k, x in sides(history.seeded(rows, state)).items():
+            assert x == pytest.approx(wanted[k]), k
+        state = history.stat_state(rows, state)
+    close({(r["player"], r["stat"], r["surface"]): (r["sum"], r["n"]) for r in state.collect()}, {(r["player"], r["stat"], r["surface"]): (r["sum"], r["n"]) for r in history.stat_state(history.long(m)).collect()})
+    with pytest.raises(ValueError):
+        history.head_to_head(m, by_listing=False, state=state)
+
+
+def test_pipeline_carries_its_state(spark, tmp_path):
+    raw = with_stats(matches(spark, random_rows(80, seed=7)))
+    raw.filter("mk < 50").write.parquet(str(tmp_path / "train"))
+    raw.filter("mk >= 50").write.parquet(str(tmp_path / "test"))
+    train, test = (spark.read.parquet(str(tmp_path / x)) for x in ("train", "test"))
     pipeline = FeaturePipeline(swap=False)
-    fitted = pipeline.fit(raw.filter("mk < 50"))
-    out = pipeline.transform(raw.filter("mk >= 50"))
+    fitted = pipeline.fit(train)
+    out = pipeline.transform(test)
     assert set(out.final.columns) == set(fitted.final.columns)
     assert {"mk", "target"} <= set(out.final.columns) and any("_pca1" in c for c in out.final.columns)
-    whole = by_key(history.head_to_head(raw), "h2h_count", "h2h_balance")
-    assert by_key(out.full, "h2h_count", "h2h_balance") == {k: v for k, v in whole.items() if k >= 50}
+    read = [f for x in (out.full, out.final, out.h2h, out.stats, out.elo) for f in x.inputFiles()]
+    assert any("/test/" in f for f in read) and not any("/train/" in f for f in read)
+    names = ("h2h_count", "h2h_balance", "h2h_recent3_balance", "p1_ace_mean", "p2_ace_surface_mean")
+    whole = history.head_to_head(raw).join(history.side_features(raw), "mk")
+    wanted = {k: tuple(-1 if x is None else x for x in v) for k, v in by_key(whole, *names).items() if k >= 50}
+    close({k: tuple(-1 if x is None else x for x in v) for k, v in by_key(out.full, *names).items()}, wanted)
     first = out.full.orderBy("mk").first()
     state = {r["player"]: r["elo"] for r in fitted.elo.collect()}
     assert first["elo_p1"] == pytest.approx(state[first["player_1"]])
+    assert {r["player"]: r["n"] for r in out.elo.collect()} == {r["player"]: r["count"] for r in history.long(raw).groupBy("player").count().collect()}
     with pytest.raises(ValueError):
         FeaturePipeline().transform(raw)
 

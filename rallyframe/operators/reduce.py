@@ -1,15 +1,17 @@
 """Fewer columns: components of feature groups, and dropping of constant, correlated and collinear columns.
 
-Each reads the data in one aggregation (in chunks of columns) and decides on the driver over a matrix of columns by columns.
+All pairs of columns are summed up in one scan: tasks keep matrices of columns by columns, which Spark adds up row by row,
+some tasks at a time. What to do is decided on the driver over one such matrix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,94 @@ def standard_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[flo
     return {c: (found[f"{c}\tavg"] or 0.0, found[f"{c}\tstddev_pop"] or 0.0) for c in columns}
 
 
+@dataclass
+class Moments:
+    """For columns i and j over the rows that have both: n, the mean of i, the squares of i about it, the products of both about their means."""
+
+    n: np.ndarray
+    mean: np.ndarray
+    square: np.ndarray
+    product: np.ndarray
+
+    @classmethod
+    def none(cls, rows: int, d: int) -> Moments:
+        return cls(*(np.zeros((rows, d)) for _ in range(4)))
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Moments:
+        """Of a block of rows; NaN is no value."""
+        there = ~np.isnan(x)
+        mask = there.astype(np.float64)
+        middle = np.where(there, x, 0.0).sum(axis=0) / np.maximum(1, mask.sum(axis=0))  # so that what is squared is small
+        own = np.where(there, x - middle, 0.0)
+        n = mask.T @ mask
+        some = np.maximum(n, 1)
+        shift, square, product = own.T @ mask / some, (own * own).T @ mask, own.T @ own
+        return cls(n, (shift + middle[:, None]) * (n > 0), np.maximum(square - n * shift * shift, 0.0), product - n * shift * shift.T)
+
+    def added(self, other: Moments, mean_of_other: np.ndarray, mean_of_its_other: np.ndarray) -> Moments:
+        """Both together. mean_of_other: the means of j over the same rows, which stand in another row of the whole matrix."""
+        n = self.n + other.n
+        some = np.maximum(n, 1)
+        gap, across = other.mean - self.mean, mean_of_its_other - mean_of_other
+        weight = self.n * other.n / some
+        return Moments(n, self.mean + gap * other.n / some, self.square + other.square + gap * gap * weight, self.product + other.product + gap * across * weight)
+
+    def correlation(self) -> np.ndarray:
+        """Pearson's r, NaN where a column has no spread or there are no rows."""
+        spread = self.square > 1e-28 * self.n * self.mean**2  # less is the rounding of a constant
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(spread & spread.T, self.product / np.sqrt(self.square * self.square.T), np.nan)
+
+    def gram(self) -> np.ndarray:
+        """X'X of columns without nulls."""
+        return self.product + self.n * self.mean * self.mean.T
+
+
+_ROW = "i int, n array<double>, mean array<double>, other array<double>, square array<double>, product array<double>"
+_PARTS = ("n", "mean", "other", "square", "product")
+
+
+def _rows(moments: Moments, at: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(lists(np.ascontiguousarray(x)) for x in (moments.n, moments.mean, other, moments.square, moments.product))], ["i", *_PARTS])
+
+
+def moments(df: DataFrame, columns: Sequence[str], fan: int = 16) -> Moments:
+    """The moments of all pairs of columns in one scan of them (nulls and NaN are no values); columns squared stay in a task and on the driver."""
+    d = len(columns)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Moments.none(d, d)
+        for batch in batches:
+            if batch.num_rows:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns])
+                own = Moments.of(x)
+                total = total.added(own, total.mean.T, own.mean.T)
+        yield _rows(total, np.arange(d), total.mean.T)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, tuple[Moments, np.ndarray]] = {}
+        for batch in batches:
+            number = {c: batch.column(c).flatten().to_numpy().reshape(-1, d) for c in _PARTS}
+            for k, i in enumerate(batch.column("i").to_pylist()):
+                own, other = Moments(*(number[c][k] for c in ("n", "mean", "square", "product"))), number["other"][k]
+                before, there = totals.get(i) or (Moments(*np.zeros((4, d))), np.zeros(d))
+                n = before.n + own.n
+                totals[i] = before.added(own, there, other), there + (other - there) * own.n / np.maximum(n, 1)
+        for i, (own, other) in totals.items():
+            yield _rows(Moments(*(x[None] for x in (own.n, own.mean, own.square, own.product))), np.array([i]), other[None])
+
+    double = df.select(*(F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)))
+    rows = double.mapInArrow(scan, _ROW).withColumn("part", F.spark_partition_id())
+    tree = rows.repartition("i", F.col("part") % fan).select("i", *_PARTS).mapInArrow(add, _ROW).repartition("i").mapInArrow(add, _ROW)
+    out = Moments.none(d, d)
+    for r in tree.collect():  # a row a column
+        for name in ("n", "mean", "square", "product"):
+            getattr(out, name)[r["i"]] = r[name]
+    return out
+
+
 @dataclass
 class GroupState:
     """A fitted group: what transform needs."""
@@ -86,15 +176,9 @@ def fit_components(df: DataFrame, columns: Sequence[str], threshold: float = 0.9
     """Medians fill, standardised columns, principal axes; the first k whose share of variance reaches the threshold."""
     middle = medians(df, columns)
     full = imputed(df.select(*columns), middle)
-    stats = standard_stats(full, columns)
-    z = {c: (F.col(c) - m) / (s if s > 0 else 1.0) for c, (m, s) in stats.items()}
-    cells = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    found = aggregated(full, {f"{a}\t{b}": F.avg(z[a] * z[b]) for a, b in cells})
-    d = len(columns)
-    gram = np.zeros((d, d))
-    for a, b in cells:
-        i, j = columns.index(a), columns.index(b)
-        gram[i, j] = gram[j, i] = found[f"{a}\t{b}"] or 0.0
+    found, d = moments(full, columns), len(columns)
+    mean, std = np.diag(found.mean), np.sqrt(np.diag(found.square) / np.maximum(np.diag(found.n), 1))
+    gram = np.nan_to_num(found.correlation())
     values, vectors = np.linalg.eigh(gram)
     values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1].T
     for v in vectors:  # the largest loading is positive
@@ -103,7 +187,7 @@ def fit_components(df: DataFrame, columns: Sequence[str], threshold: float = 0.9
     ratios = values / total if total > 0 else np.zeros(d)
     reached = np.flatnonzero(np.cumsum(ratios) >= threshold - 1e-12)
     k = int(reached[0]) + 1 if len(reached) else d
-    return GroupState(list(columns), [middle[c] for c in columns], [stats[c][0] for c in columns], [stats[c][1] or 1.0 for c in columns], vectors[:k].tolist(), k, ratios[:k].tolist())
+    return GroupState(list(columns), [middle[c] for c in columns], mean.tolist(), np.where(std > 0, std, 1.0).tolist(), vectors[:k].tolist(), k, ratios[:k].tolist())
 
 
 def project(df: DataFrame, group: str, state: GroupState) -> DataFrame:
@@ -169,10 +253,9 @@ def constant_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:
-    """Pearson's r of all pairs, over the rows in which both have values."""
-    double = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
-    found = aggregated(double, {f"{a}\t{b}": F.corr(a, b) for a, b in combinations(columns, 2)})
-    return {tuple(k.split("\t")): x for k, x in found.items()}
+    """Pearson's r of all pairs, over the rows in which both have values; None where there is none."""
+    found = moments(df, columns).correlation()
+    return {(a, b): float(found[i, j]) if np.isfinite(found[i, j]) else None for (i, a), (j, b) in combinations(enumerate(columns), 2)}
 
 
 def correlated_columns(df: DataFrame, columns: Sequence[str], threshold: float = 0.995) -> list[str]:
@@ -201,13 +284,13 @@ def inflation(gram: np.ndarray) -> np.ndarray:
 
 
 def inflated_columns(df: DataFrame, columns: Sequence[str], threshold: float = 10.0, most: int = 25) -> list[str]:
-    """Columns to drop, worst first, until no factor is over the threshold: one job for X'X, the rest on the driver."""
+    """Columns to drop, worst first, until no factor is over the threshold: one scan for X'X, the rest on the driver."""
     full = imputed(df.select(*columns), medians(df, columns))
-    std = aggregated(full, {c: F.stddev_samp(c) for c in columns})
-    names = [c for c in columns if (std[c] or 0.0) > 1e-6]
-    gone = [c for c in columns if c not in names]
-    found = aggregated(full, {f"{a}\t{b}": F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]})
-    gram = np.array([[found.get(f"{a}\t{b}", found.get(f"{b}\t{a}")) for b in names] for a in names], float)
+    found = moments(full, columns)
+    std = np.sqrt(np.diag(found.square) / np.maximum(np.diag(found.n) - 1, 1))
+    use = np.flatnonzero(std > 1e-6)
+    names, gone = [columns[i] for i in use], [c for i, c in enumerate(columns) if not std[i] > 1e-6]
+    gram = found.gram()[np.ix_(use, use)]
     left = list(range(len(names)))
     for _ in range(most):
         if len(left) < 2:

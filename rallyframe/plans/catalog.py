@@ -27,7 +27,6 @@ _M = """select a.event_id // 2 as mk, cast(a.ts as date) as tourney_date, a.ts a
 _WITH = f"with m as ({_M})"
 _LONG = f"""{_WITH}, l as (select mk, tourney_date, surface, 1 as side, player_1 as player, player_2 as opp, target as won, p1_ace as ace, p1_df as df from m
  union all select mk, tourney_date, surface, 2, player_2, player_1, 1 - target, p2_ace, p2_df from m)"""
-_FEW = f"{_WITH}, q as (select * replace (player_1 % 20 as player_1, player_2 % 20 as player_2) from m where player_1 % 20 <> player_2 % 20)"
 _BEFORE = "rows between unbounded preceding and 1 preceding"
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,23 +47,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def match_view(spark: SparkSession, sf: str) -> DataFrame:
-    """One scan and one regrouping; what follows by mk finds its rows where they are."""
-    side = lambda k, name: F.max(F.when(F.col("event_id") % 2 == k, F.struct("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k")))).alias(name)
-    pairs = table(spark, sf, "events").groupBy(F.expr("event_id div 2").alias("mk")).agg(side(0, "a"), side(1, "b")).filter("a is not null and b is not null and a.user_id <> b.user_id")
-    return pairs.selectExpr(
-        "mk", "cast(a.ts as date) as tourney_date", "a.ts as ts", "a.user_id as player_1", "b.user_id as player_2",
-        "case a.event_type when 'click' then 'Hard' when 'view' then 'Clay' when 'purchase' then 'Grass' when 'signup' then 'Carpet' else 'Unknown' end as surface",
-        "case when a.value > b.value then 1 else 0 end as target", "a.k + 1 as p1_rank", "b.k + 1 as p2_rank",
-        *(f"case when {x}.user_id % {m} = 0 then null else floor({x}.value) % {n} end as p{i}_{c}" for c, m, n in (("ace", 11, 20), ("df", 7, 9)) for i, x in ((1, "a"), (2, "b"))),
-        "60 + floor(a.value) % 120 as minutes",
-    )
+_SURFACES = {"click": "Hard", "view": "Clay", "purchase": "Grass", "signup": "Carpet"}
 
 
-def few_players(spark: SparkSession, sf: str) -> DataFrame:
-    """Matches of twenty players, who meet often."""
-    m = match_view(spark, sf)
-    return m.withColumns({c: F.col(c) % 20 for c in ("player_1", "player_2")}).filter("player_1 <> player_2")
+def match_view(spark: SparkSession, sf: str) -> DataFrame:
+    """One scan and one hash aggregation of numbers; what follows by mk finds its rows where they are, and columns that nothing reads are not gathered."""
+    kind = F.coalesce(*(F.when(F.col("event_type") == e, i) for i, e in enumerate(_SURFACES)), F.lit(len(_SURFACES)))
+    raw = table(spark, sf, "events").select("event_id", "ts", "user_id", "value", kind.alias("kind"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    side = lambda s, c: F.max(F.when(F.col("event_id") % 2 == s, F.col(c)))
+    wanted = {"ts": ("ts", 0), "player_1": ("user_id", 0), "player_2": ("user_id", 1), "v1": ("value", 0), "v2": ("value", 1), "kind": ("kind", 0), "k1": ("k", 0), "k2": ("k", 1)}
+    pairs = raw.groupBy(F.expr("event_id div 2").alias("mk")).agg(*(side(s, c).alias(n) for n, (c, s) in wanted.items())).filter("player_1 <> player_2")
+    return pairs.select(
+        "mk", F.to_date("ts").alias("tourney_date"), "ts", "player_1", "player_2",
+        F.element_at(F.array(*map(F.lit, [*_SURFACES.values(), "Unknown"])), F.col("kind") + 1).alias("surface"),
+        F.when(F.col("v1") > F.col("v2"), 1).otherwise(0).alias("target"), (F.col("k1") + 1).alias("p1_rank"), (F.col("k2") + 1).alias("p2_rank"),
+        *(F.expr(f"case when player_{i} % {m} = 0 then null else floor(v{i}) % {n} end").alias(f"p{i}_{c}") for c, m, n in (("ace", 11, 20), ("df", 7, 9)) for i in (1, 2)),
+        F.expr("60 + floor(v1) % 120").alias("minutes"),
+    )
 
 
 def r6(*names: str) -> list:
@@ -162,19 +161,21 @@ def h2h_global(spark, sf):
     return history.head_to_head(match_view(spark, sf)).select("mk", "player_1", "player_2", "h2h_count", "h2h_balance")
 
 
-@query(f"{_FEW} select mk, {_h2h('h2h_surface_count h2h_surface_balance')} from q")
+@query(f"{_WITH} select mk, {_h2h('h2h_surface_count h2h_surface_balance')} from m")
 def h2h_surface(spark, sf):
-    return history.head_to_head(few_players(spark, sf)).select("mk", "h2h_surface_count", "h2h_surface_balance")
+    return history.head_to_head(match_view(spark, sf)).select("mk", "h2h_surface_count", "h2h_surface_balance")
 
 
-@query(f"{_FEW} select mk, {_h2h('h2h_recent3_balance')} from q")
+@query(f"{_WITH} select mk, {_h2h('h2h_recent3_balance')} from m")
 def h2h_recent3(spark, sf):
-    return history.head_to_head(few_players(spark, sf)).select("mk", "h2h_recent3_balance")
+    return history.head_to_head(match_view(spark, sf)).select("mk", "h2h_recent3_balance")
 
 
-@query(f"{_FEW}, c as (select least(player_1, player_2) as lo, greatest(player_1, player_2) as hi, surface, count(*) as count, cast(sum(target) as bigint) as listed_p1_wins from q group by all) select lo, hi, surface, count, listed_p1_wins from c")
+@query(f"""{_WITH}, r as (select least(player_1, player_2) as lo, greatest(player_1, player_2) as hi, surface, target, row_number() over (partition by least(player_1, player_2), greatest(player_1, player_2) order by mk desc) as i, mk from m),
+ p as (select lo, hi, array_to_string(list(target order by mk), '') as recent from r where i <= 3 group by all)
+ select lo, hi, surface, count(*) as count, cast(sum(target) as bigint) as listed_p1_wins, any_value(recent) as recent from r join p using (lo, hi) group by lo, hi, surface""")
 def h2h_state(spark, sf):
-    return history.head_to_head_state(few_players(spark, sf)).select("lo", "hi", "surface", "count", "listed_p1_wins")
+    return history.head_to_head_state(match_view(spark, sf)).select("lo", "hi", "surface", "count", "listed_p1_wins", F.array_join("recent", "").alias("recent"))
 
 
 _W = f"over (partition by player order by mk {_BEFORE})"
@@ -193,15 +194,41 @@ def surface_ace_shrunk(spark, sf):
     return rows.select("mk", "side", F.round(history.stat_means(rows)["ace_surface_mean"], 6).alias("ace_surface_mean"))
 
 
-@query(f"{_LONG}, a as (select mk, side, case when count(ace) {_W} >= 3 then avg(ace) {_W} end as x from l) select mk, round(max(case when side = 1 then x end) / (max(case when side = 2 then x end) + 1e-6), 4) as ace_ratio from a group by mk having max(case when side = 2 then x end) is null or max(case when side = 2 then x end) > 0")
+@query(f"{_LONG}, a as (select mk, side, case when count(ace) {_W} >= 3 then avg(ace) {_W} end as x from l) select mk, round(max(case when side = 1 then x end) / (max(case when side = 2 then x end) + 1e-6), 4) as ace_ratio from a group by mk")
 def stat_ratios(spark, sf):
-    df = derived.stat_ratios(history.side_features(match_view(spark, sf)))
-    return df.filter("p2_ace_mean is null or p2_ace_mean > 0").select("mk", F.round("ace_ratio", 4).alias("ace_ratio"))
+    return derived.stat_ratios(history.side_features(match_view(spark, sf))).select("mk", F.round("ace_ratio", 4).alias("ace_ratio"))
 
 
-@query(f"{_LONG} select player, cast(sum(ace) as double) as sum, count(ace) as n from l where ace is not null group by player")
+@query(f"""{_LONG}, e as (select player, surface, 'ace' as stat, ace as x from l union all select player, surface, 'df', df from l)
+ select player, stat, surface, cast(sum(x) as double) as sum, count(x) as n from e where x is not null group by grouping sets ((player, stat, surface), (player, stat))""")
 def stat_state(spark, sf):
-    return history.stat_state(history.long(match_view(spark, sf))).filter("stat = 'ace' and surface is null").select("player", "sum", "n")
+    return history.stat_state(history.long(match_view(spark, sf)))
+
+
+#: Matches from here on are the later part of a history.
+_CUT = "(select max(mk) * 3 // 4 from m)"
+
+
+def _two_parts(spark, sf) -> tuple[DataFrame, DataFrame]:
+    m = match_view(spark, sf)
+    cut = m.agg(F.expr("max(mk) * 3 div 4")).first()[0]
+    return m.filter(F.col("mk") < F.lit(cut or 0)), m.filter(F.col("mk") >= F.lit(cut or 0))
+
+
+@query(f"{_WITH}, w as (select mk, {_h2h('h2h_count h2h_balance h2h_surface_count h2h_surface_balance h2h_recent3_balance')} from m) select * from w where mk >= {_CUT}")
+def h2h_from_state(spark, sf):
+    """Later matches by the earlier ones' state alone."""
+    first, later = _two_parts(spark, sf)
+    return history.head_to_head(later, state=history.head_to_head_state(first)).select("mk", "h2h_count", "h2h_balance", "h2h_surface_count", "h2h_surface_balance", "h2h_recent3_balance")
+
+
+@query(f"""{_LONG}, w as (select mk, side, case when count(ace) {_W} >= 3 then round(avg(ace) {_W}, 6) end as ace_mean, case when count(df) {_W} >= 3 then round(avg(df) {_W}, 6) end as df_mean,
+ round(avg(ace) over s * least(count(ace) over s / 3.0, 1), 6) as ace_surface_mean from l window s as (partition by player, surface order by mk {_BEFORE})) select * from w where mk >= {_CUT}""")
+def stats_from_state(spark, sf):
+    first, later = _two_parts(spark, sf)
+    rows = history.seeded(history.long(later), history.stat_state(history.long(first)))
+    own = history.stat_means(rows)
+    return rows.select("mk", "side", *(F.round(own[n], 6).alias(n) for n in ("ace_mean", "df_mean", "ace_surface_mean")))
 
 
 @query(f"{_LONG} select mk, side, round(avg(won) over (partition by player order by mk rows between 5 preceding and 1 preceding), 6) as form_winrate_last5, round(avg(won) over (partition by player order by mk rows between 10 preceding and 1 preceding), 6) as form_winrate_last10 from l")
@@ -322,6 +349,15 @@ def elo_enriched(spark, sf):
     return df.select("mk", *r6("elo_diff_clip", "elo_prob", "surface_elo_prob", "elo_diff_sq", "elo_surface_interaction", "elo_consistency", "match_competitiveness"), "elo_rank_mismatch")
 
 
+@query(f"{_RECURSIVE}, {_GLOBAL} select mk, round(r1, 6) as elo_p1, round(r2, 6) as elo_p2 from gf where mk >= {_CUT}")
+def elo_from_state(spark, sf):
+    """Ratings of later matches that start from the earlier ones' state."""
+    first, later = _two_parts(spark, sf)
+    state = ratings.final_state(first, ratings.fold(first, ratings.match_counts(first)))
+    folded = ratings.fold(later, ratings.match_counts(later, state), state=state)
+    return folded.select("mk", F.round("r1", 6).alias("elo_p1"), F.round("r2", 6).alias("elo_p2"))
+
+
 def _rated(spark, sf) -> DataFrame:
     m = match_view(spark, sf)
     folded = ratings.fold(m, ratings.match_counts(m))
@@ -415,9 +451,8 @@ def h2h_matrix(spark, sf):
 @query("select a.surface as surface, b.level as level, coalesce(n, 0) as n from (select distinct l_returnflag as surface from lineitem) a cross join (select distinct l_linestatus as level from lineitem) b left join (select l_returnflag, l_linestatus, count(*) as n from lineitem group by all) c on c.l_returnflag = a.surface and c.l_linestatus = b.level")
 def label_grid_join(spark, sf):
     rows = table(spark, sf, "lineitem")
-    levels = [r[0] for r in rows.select("l_linestatus").distinct().collect()]  # a handful of labels
     found = rows.groupBy(F.col("l_returnflag").alias("surface"), F.col("l_linestatus").alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    grid = found.select("surface").distinct().select("surface", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    grid = found.select("surface").distinct().crossJoin(F.broadcast(found.select("level").distinct()))  # a handful of labels each
     return grid.join(found, ["surface", "level"], "left").select("surface", "level", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -450,7 +485,7 @@ def _values(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-@query("select 'one' as feature")
+@query(" union all ".join(f"select '{c}' as feature from lineitem having min({x}) = max({x})" for c, x in [*((c, c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")), ("one", "l_linenumber * 0")]))
 def var_constants(spark, sf):
     df = _numbers(spark, sf)
     return _values(spark, [(c,) for c in reduce.constant_columns(df, [*_NUMBERS, "one"])], "feature string")
@@ -481,9 +516,30 @@ def vif_two(spark, sf):
     return _values(spark, [(float(factors[0]),)], "vif double").select(*r6("vif"))
 
 
-@query()
+_VIF = {**{c: c for c in _NUMBERS}, "more": "l_quantity * 2 + l_tax * l_discount * 100"}
+
+
+def _vif_sql(columns: dict[str, str], threshold: float = 10.0) -> str:
+    """X'X, its inverse by Gauss and Jordan over the columns that are left, and the worst column dropped, round after round."""
+    d = range(len(columns))
+    cells = ", ".join(f"{{'i': {i}, 'j': {j}, 'x': sum(a{i} * a{j})}}" for i in d for j in d)
+    ctes = [f"t as (select {', '.join(f'cast({x} as double) as a{i}' for i, x in enumerate(columns.values()))} from lineitem)", f"c as (select unnest([{cells}]) as c from t)", "g as materialized (select c.i as i, c.j as j, c.x as x from c)", "d0 as (select cast(null as int) as k where false)"]
+    for r in range(len(columns) - 1):
+        ctes.append(f"m{r}_0 as materialized (select * from g where i not in (select k from d{r}) and j not in (select k from d{r}))")
+        for k in d:
+            m = f"m{r}_{k}"
+            ctes.append(f"""m{r}_{k + 1} as materialized (select m.i, m.j, case when p.x is null then m.x when m.i = {k} and m.j = {k} then 1 / p.x when m.i = {k} then m.x / p.x when m.j = {k} then -m.x / p.x else m.x - c.x * w.x / p.x end as x
+ from {m} m left join (select x from {m} where i = {k} and j = {k}) p on true left join {m} c on c.i = m.i and c.j = {k} left join {m} w on w.i = {k} and w.j = m.j)""")
+        ctes.append(f"v{r} as materialized (select g.i as i, g.x * m.x as vif from g join m{r}_{len(columns)} m on m.i = g.i and m.j = g.j where g.i = g.j)")
+        ctes.append(f"d{r + 1} as materialized (select k from d{r} union all select i from (select i from v{r} where vif > {threshold} order by vif desc limit 1))")
+    names = ", ".join(f"'{c}'" for c in columns)
+    return f"with {', '.join(ctes)} select list_extract([{names}], k + 1) as feature from d{len(columns) - 1}"
+
+
+@query(_vif_sql(_VIF))
 def vif_drop_list(spark, sf):
-    return _values(spark, [(c,) for c in reduce.inflated_columns(_numbers(spark, sf), [*_NUMBERS, "twice"])], "feature string")
+    rows = table(spark, sf, "lineitem").select(*(F.expr(x).alias(c) for c, x in _VIF.items()))
+    return _values(spark, [(c,) for c in reduce.inflated_columns(rows, list(_VIF))], "feature string")
 
 
 @query("select round((1 + abs(corr(l_quantity, l_extendedprice))) / 2, 6) as pc1_var from lineitem")
@@ -555,7 +611,19 @@ def ks_two_sample(spark, sf):
     return audit.ks_statistic(df, "l_quantity", "second").select("n1", "n2", *r6("d"))
 
 
-@query("select max(case when l_shipdate < '1997-01-01' then cast(l_shipdate as date) end) as train_end, min(case when l_shipdate >= '1997-01-01' then cast(l_shipdate as date) end) as test_start, true as ordered from lineitem")
+_KS = """select '{c}' as feature, cast(max(n1) as bigint) as n1, cast(max(n2) as bigint) as n2, round(max(abs(fa - fb)), 6) as d from (select sum(a) over (order by v) * 1.0 / sum(a) over () as fa, sum(b) over (order by v) * 1.0 / sum(b) over () as fb, sum(a) over () as n1, sum(b) over () as n2
+ from (select {c} as v, sum(case when l_shipdate < '1997-01-01' then 1 else 0 end) as a, sum(case when l_shipdate >= '1997-01-01' then 1 else 0 end) as b from lineitem where {c} is not null group by 1))"""
+
+
+@query(" union all ".join(_KS.format(c=c) for c in (*_NUMBERS, "l_linenumber", "l_partkey", "l_suppkey")))
+def ks_features(spark, sf):
+    """Earlier against later rows, all features in the same jobs."""
+    names = [*_NUMBERS, "l_linenumber", "l_partkey", "l_suppkey"]
+    df = table(spark, sf, "lineitem").select(*names, (F.col("l_shipdate") >= F.lit("1997-01-01").cast("date")).alias("second"))
+    return audit.ks_statistics(df, names, "second").select("feature", "n1", "n2", *r6("d"))
+
+
+@query("select max(case when l_shipdate < '1997-01-01' then cast(l_shipdate as date) end) as train_end, min(case when l_shipdate >= '1997-01-01' then cast(l_shipdate as date) end) as test_start, max(case when l_shipdate < '1997-01-01' then cast(l_shipdate as date) end) < min(case when l_shipdate >= '1997-01-01' then cast(l_shipdate as date) end) as ordered from lineitem")
 def temporal_split_check(spark, sf):
     df = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("d"), F.when(F.col("l_shipdate") < F.lit("1997-01-01").cast("date"), "train").otherwise("test").alias("split"))
     return audit.temporal_split(df, "split", "d")
@@ -690,32 +758,33 @@ def interaction_leakage(spark, sf):
     return validate.interaction_leakage(rows.withColumns(leaks), "target", 0.9)
 
 
-_TREE = DecisionTreeClassifier(maxDepth=3, seed=42)
+def _tree() -> DecisionTreeClassifier:
+    return DecisionTreeClassifier(maxDepth=3, seed=42)
 
 
 @query()
 def temporal_fit(spark, sf):
     """Orders' priority told from price and date, in windows of time."""
     rows = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"), "o_totalprice", (F.col("o_totalprice") > 150_000).cast("int").alias("label"))
-    return validate.temporal_validation(rows, ["o_totalprice"], "label", "d", _TREE).select("split", "train_end", "test_end", "train_size", "test_size", *r6("auc", "logloss"))
+    return validate.temporal_validation(rows, ["o_totalprice"], "label", "d", _tree()).select("split", "train_end", "test_end", "train_size", "test_size", *r6("auc", "logloss"))
 
 
 @query()
 def stability_audit(spark, sf):
-    found = validate.stability(_learnable(spark, sf), _FEATURES, "target", "mk", _TREE, n_bootstrap=5)
+    found = validate.stability(_learnable(spark, sf), _FEATURES, "target", "mk", _tree(), n_bootstrap=5)
     return _values(spark, [(k, float(v)) for k, v in found.items()], "name string, value double")
 
 
 @query()
 def importance_audit(spark, sf):
-    return validate.importance_stability(_learnable(spark, sf), _FEATURES, "target", "mk", _TREE, n=3)
+    return validate.importance_stability(_learnable(spark, sf), _FEATURES, "target", "mk", _tree(), n=3)
 
 
 @query()
 def full_audit(spark, sf):
     rows = _learnable(spark, sf)
     cut = rows.agg(F.percentile_approx("mk", 0.8)).first()[0]
-    found = validate.full_audit(rows.filter(F.col("mk") < cut), rows.filter(F.col("mk") >= cut), _FEATURES, "target", "mk", _TREE, n_bootstrap=2, n_importance=2)
+    found = validate.full_audit(rows.filter(F.col("mk") < cut), rows.filter(F.col("mk") >= cut), _FEATURES, "target", "mk", _tree(), n_bootstrap=2, n_importance=2)
     out = [("test", k, float(v)) for k, v in found["test"].items()] + [("stability", k, float(v)) for k, v in found["stability"].items()]
     return _values(spark, out, "part string, name string, value double").unionByName(found["importance"].select(F.lit("importance").alias("part"), F.col("feature").alias("name"), F.col("mean").alias("value"))).unionByName(found["interactions"].select(F.lit("interactions").alias("part"), F.array_join("features", " ").alias("name"), F.col("auc").alias("value")))
 

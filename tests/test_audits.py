@@ -1,8 +1,12 @@
 """Quantiles, ranges, resampled audits and column pairs against direct computations."""
 
+import os
 import random
 import statistics
+import subprocess
+import sys
 
+import numpy as np
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
@@ -22,6 +26,64 @@ def test_medians_are_exact(spark):
         assert found["c"] == 0.0
 
 
+def test_moments_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 7)) * [1, 10, 0.1, 1, 1, 1, 0] + [0, 1e6, -5, 0, 3, 1, 0.1]
+    x[:, 3] = x[:, 0] * 2 + rng.normal(size=700) * 0.01
+    there = rng.random(x.shape) > [0, 0.3, 0.9, 0.2, 0, 0.999, 0]
+    there[:, 5] = False
+    rows = [tuple(float(v) if ok else None for v, ok in zip(r, m)) for r, m in zip(x, there)] + [(float("nan"), None, None, None, None, None, 0.1)]
+    names = [f"x{i}" for i in range(7)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(9)
+    found = reduce.moments(df, names, fan=2)
+    for i in range(7):
+        for j in range(7):
+            both = there[:, i] & there[:, j]
+            assert found.n[i, j] == both.sum() + (i == j == 6)
+            if both.sum() > 1 and 6 not in (i, j):
+                a, b = x[both, i], x[both, j]
+                assert found.mean[i, j] == pytest.approx(a.mean()) and found.square[i, j] == pytest.approx(((a - a.mean()) ** 2).sum())
+                assert found.product[i, j] == pytest.approx(((a - a.mean()) * (b - b.mean())).sum(), abs=1e-6)
+                assert found.correlation()[i, j] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-9)
+    assert np.isnan(found.correlation()[6]).all() and np.isnan(found.correlation()[5]).all()
+    whole = df.select("x0", "x4").dropna()
+    assert reduce.moments(whole.where("x0 = x0"), ["x0", "x4"]).gram() == pytest.approx(x[:, [0, 4]].T @ x[:, [0, 4]])
+    assert reduce.correlations(df.limit(0), names[:2]) == {("x0", "x1"): None}
+    assert reduce.correlated_columns(df, names[:5]) == ["x3"]
+
+
+def test_many_columns_take_one_scan(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 120))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"x{i} double" for i in range(120)))
+    tracker, before = spark.sparkContext.statusTracker(), "moments-test"
+    spark.sparkContext.setJobGroup(before, before)
+    found = reduce.moments(df, df.columns)
+    assert len(tracker.getJobIdsForGroup(before)) <= 3
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found.correlation() == pytest.approx(np.corrcoef(x.T))
+
+
+def test_all_features_in_the_same_jobs(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(5)]), rng.gauss(0, 1) + i % 2, float(i % 2), rng.random() if i < 8 else None, i % 2 == 1) for i in range(400)]
+    names = ["few", "shifted", "apart", "rare"]
+    df = spark.createDataFrame(rows, "few int, shifted double, apart double, rare double, second boolean").repartition(5)
+    found = {r["feature"]: r for r in audit.ks_statistics(df, names, "second").collect()}
+    for k, c in enumerate(names):
+        a, b = ([r[k] for r in rows if r[k] is not None and r[4] == s] for s in (False, True))
+        gap = max(abs(sum(v <= x for v in a) / len(a) - sum(v <= x for v in b) / len(b)) for x in a + b)
+        assert (found[c]["n1"], found[c]["n2"]) == (len(a), len(b)) and found[c]["d"] == pytest.approx(gap)
+    verdicts = {r["feature"]: r["verdict"] for r in audit.drift(df.filter("not second"), df.filter("second"), [*names, "absent"]).collect()}
+    assert verdicts == {"few": "similar", "shifted": "distinta", "apart": "distinta"}
+    assert audit.ks_statistics(df.limit(0), names, "second").collect() == []
+
+
+def test_the_catalogue_needs_no_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 60; from pyspark.sql import SparkSession; assert SparkSession.getActiveSession() is None"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def test_ranges_bear_outliers(spark):
     rng = random.Random(2)
     rows = [(rng.choice([rng.random(), round(rng.random(), 1)]), rng.randint(0, 1)) for _ in range(500)] + [(1e15, 1), (-1e15, 0)]

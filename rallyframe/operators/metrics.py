@@ -6,6 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import settled
+
 
 def in_ranges(values: DataFrame, column: str, name: str = "r", n: int = 1000) -> DataFrame:
     """Adds the range of a column of distinct values: about n ranges of equal numbers of values, whatever their spread."""
@@ -14,12 +16,13 @@ def in_ranges(values: DataFrame, column: str, name: str = "r", n: int = 1000) ->
     return Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(values)
 
 
-def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """auc: the share of pairs of a 1 and a 0 that the score orders rightly, ties by half.
+def auc(df: DataFrame, score: str, label: str, weight: str | None = None) -> DataFrame:
+    """auc: the share of pairs of a 1 and a 0 that the score orders rightly, ties by half. weight: how often a row counts.
 
     Scores are counted first, so only distinct scores are ranked.
     """
-    counts = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
+    w = F.lit(1) if weight is None else F.col(weight)
+    counts = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(w * F.col(label).cast("long")).alias("p"), F.sum(w * (1 - F.col(label).cast("long"))).alias("n"))
     # A running count over ranges of scores: sums of the ranges, then within each.
     ranged = in_ranges(counts, "s")
     totals = ranged.groupBy("r").agg(F.sum("n").alias("rn"))
@@ -29,6 +32,19 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return placed.agg((F.sum(F.col("p") * (F.col("before") + F.col("below") + F.col("n") / 2.0)) / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
+def aucs(df: DataFrame, by: str, score: str, label: str, weight: str) -> DataFrame:
+    """by, auc of each group of rows (say, of each model's scores), all in the same jobs; ranges of group and score as in audit.ks_statistics."""
+    counts = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(by).alias("g"), F.col(score).cast("double").alias("s"))
+    counts = counts.agg(F.sum(F.col(weight) * F.col(label)).alias("p"), F.sum(F.col(weight) * (1 - F.col(label))).alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(counts.repartitionByRange(parts, "g", "s").withColumn("r", F.spark_partition_id()))
+    before = Window.partitionBy("g").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy("g", "r").agg(F.sum("n").alias("rn")).select("g", "r", F.coalesce(F.sum("rn").over(before), F.lit(0.0)).alias("base"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("g", "r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = ranged.withColumn("below", below).join(bases, ["g", "r"])
+    return placed.groupBy(F.col("g").alias(by)).agg(F.try_divide(F.sum(F.col("p") * (F.col("base") + F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+
+
 def log_loss(score: Column, label: Column, eps: float = 1e-15) -> Column:
     """An aggregate: the mean negative log likelihood of clipped probabilities."""
     p = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), score))
@@ -47,7 +63,11 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(label).alias("target"), F.col(predicted).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def confidence_bins(df: DataFrame, score: str, label: str, predicted: str, names: tuple[str, str, str] = ("Baja", "Media", "Alta")) -> DataFrame:
+# What the ranges of confidence are called.
+CONFIDENCE = ("Baja", "Media", "Alta")
+
+
+def confidence_bins(df: DataFrame, score: str, label: str, predicted: str, names: tuple[str, str, str] = CONFIDENCE) -> DataFrame:
     """bin, n, accuracy for scores in (0, .3], (.3, .7], (.7, 1]; empty bins stay, other scores have no bin."""
     s = F.col(score)
     own = F.when((s > 0) & (s <= 0.3), names[0]).when((s > 0.3) & (s <= 0.7), names[1]).when((s > 0.7) & (s <= 1), names[2])

@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns
+from ..functions.parallel import concurrently
 from ..functions.scratch import settled
 from . import metrics
 from .audit import label_correlations
+from .boosting import BoostedTrees, HistogramBoosting
 
 
 def assembled(df: DataFrame, features: Sequence[str], label: str, *keep: str) -> DataFrame:
@@ -33,6 +35,14 @@ def scored(model: Model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("p", vector_to_array("probability")[1])
 
 
+def scored_as(model: Model, df: DataFrame, name: str) -> DataFrame:
+    """df with the model's chance of a 1 as `name`; no other column is added, so that models can follow one another over the same rows."""
+    if isinstance(model, BoostedTrees):
+        return model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("probability")
+    own = {model.getParam(p): f"_{p}_{name}" for p in ("rawPredictionCol", "probabilityCol", "predictionCol")}
+    return model.transform(df, own).withColumn(name, vector_to_array(f"_probabilityCol_{name}")[1]).drop(*own.values())
+
+
 def evaluate(model: Model, df: DataFrame) -> dict[str, float]:
     rows = scored(model, df).select("p", "label").persist()
     try:
@@ -87,6 +97,29 @@ def drawn_of(rows: tuple[DataFrame, int], draws: int | None, seed: str) -> DataF
     return bootstrap_draws(rows[1], draws or rows[1], rows[0].sparkSession, seed).join(rows[0], "row").drop("row")
 
 
+def multiplicities(df: DataFrame, key: str, samples: int, draws: int | None = None, cut: int | None = None, seed: str = "bootstrap") -> tuple[DataFrame, int, int]:
+    """The rows with _times, a map from sample to how often the row is among its first `cut` draws and among the rest; draws and cut.
+
+    Sample i has the rows that `bootstrap` draws by the seed with i behind it. All samples' draws are counted in one
+    shuffle, and each row is kept once, however many samples there are.
+    """
+    rows, n = numbered(df, key)
+    draws = n if draws is None else draws
+    cut = draws if cut is None else cut
+    spark = df.sparkSession
+    sample, at = F.expr(f"cast(id div {max(1, draws)} as int)"), F.expr(f"id % {max(1, draws)}")
+    word = F.conv(F.substring(F.md5(F.concat(F.lit(seed), sample.cast("string"), F.lit(":"), at.cast("string"))), 1, 8), 16, 10).cast("long")
+    hits = spark.range(samples * draws if n else 0).select(sample.alias("sample"), (word % F.lit(max(1, n))).alias("row"), (at < cut).alias("first"))
+    counts = hits.groupBy("row", "sample").agg(F.sum(F.col("first").cast("int")).cast("int").alias("first"), F.sum((~F.col("first")).cast("int")).cast("int").alias("rest"))
+    times = counts.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("sample", F.struct("first", "rest")))).alias("_times"))
+    return settled(rows.join(times, "row").drop("row")), draws, cut
+
+
+def weighted(rows: DataFrame, sample: int, part: str) -> DataFrame:
+    """The rows of a sample's part (first or rest), with how often it has them as _w."""
+    return rows.withColumn("_w", F.try_element_at("_times", F.lit(sample))[part].cast("double")).filter("_w > 0")
+
+
 def permuted(df: DataFrame, key: str, column: str, seed: str) -> DataFrame:
     """The column's values dealt to other rows: rows in order of key get the values in order of a seeded hash."""
     here = dense_ids(df, [F.col(key)], "_at")
@@ -125,12 +158,14 @@ def folds_of(df: DataFrame, k: int) -> Iterator[tuple[DataFrame, DataFrame]]:
 
 def temporal_validation(df: DataFrame, features: Sequence[str], label: str, date: str, estimator: Estimator, **how) -> DataFrame:
     """The windows with auc and logloss of a model fitted before each and tested in it."""
-    rows = []
-    for w in temporal_windows(df, date, **how).orderBy("split").collect():
-        day = F.to_date(date)
-        model = estimator.fit(assembled(df.filter(day < w["train_end"]), features, label))
-        found = evaluate(model, assembled(df.filter((day >= w["train_end"]) & (day < w["test_end"])), features, label))
-        rows.append((w["split"], w["train_end"].strftime("%Y-%m"), w["train_end"].strftime("%Y-%m"), w["test_end"].strftime("%Y-%m"), w["train_size"], w["test_size"], found["auc"], found["logloss"]))
+    data = settled(assembled(df.withColumn("_day", F.to_date(date)), features, label, "_day"))
+
+    def window(w) -> tuple:
+        model = estimator.fit(data.filter(F.col("_day") < w["train_end"]))
+        found = evaluate(model, data.filter((F.col("_day") >= w["train_end"]) & (F.col("_day") < w["test_end"])))
+        return (w["split"], w["train_end"].strftime("%Y-%m"), w["train_end"].strftime("%Y-%m"), w["test_end"].strftime("%Y-%m"), w["train_size"], w["test_size"], found["auc"], found["logloss"])
+
+    rows = concurrently(window, temporal_windows(df, date, **how).orderBy("split").collect())  # a row a window
     return df.sparkSession.createDataFrame(rows, "split int, train_end string, test_start string, test_end string, train_size long, test_size long, auc double, logloss double")
 
 
@@ -138,29 +173,42 @@ def temporal_validation(df: DataFrame, features: Sequence[str], label: str, date
 
 
 def stability(df: DataFrame, features: Sequence[str], label: str, key: str, estimator: Estimator, n_bootstrap: int = 50, share: float = 0.8, seed: str = "stability") -> dict[str, float]:
-    """Mean, population deviation, least and greatest auc over bootstrap samples, each split by position (a row may fall on both sides)."""
-    whole, found = numbered(df, key), []
-    n = whole[1]
-    for i in range(n_bootstrap):
-        rows = drawn_of(whole, max(2, int(share * n)), f"{seed}{i}")
-        cut = int(0.8 * max(2, int(share * n)))
-        test = rows.filter(F.col("draw") >= cut)
-        if test.count() < 50:
-            continue
-        model = estimator.fit(assembled(rows.filter(F.col("draw") < cut), features, label))
-        found.append(evaluate(model, assembled(test, features, label))["auc"])
-    x = np.array([a for a in found if a is not None])
+    """Mean, population deviation, least and greatest auc over bootstrap samples, each split by position (a row may fall on both sides). Samples are weights of the rows; fits run side by side, and all models score in one pass."""
+    n = df.count()
+    draws = max(2, int(share * n))
+    cut = int(0.8 * draws)
+    if draws - cut < 50:
+        return {"n": 0}
+    rows, _, _ = multiplicities(df, key, n_bootstrap, draws, cut, seed)
+    data = settled(assembled(rows, features, label, "_times"))
+
+    fitted = concurrently(lambda i: _weighing(estimator).fit(weighted(data, i, "first")), range(n_bootstrap))
+    held = data
+    for i, model in enumerate(fitted):
+        held = scored_as(model, held, f"_p{i}")
+    sides = F.explode(F.array(*(F.struct(F.lit(i).alias("sample"), F.col(f"_p{i}").alias("p"), F.coalesce(F.try_element_at("_times", F.lit(i))["rest"], F.lit(0)).cast("double").alias("w")) for i in range(n_bootstrap))))
+    tested = held.select("label", sides.alias("_s")).select("label", "_s.*").filter("w > 0")
+    x = np.array([r["auc"] for r in metrics.aucs(tested, "sample", "p", "label", "w").collect() if r["auc"] is not None])  # a row a sample
     return {"mean": float(x.mean()), "std": float(x.std()), "min": float(x.min()), "max": float(x.max()), "n": len(x)} if len(x) else {"n": 0}
 
 
+def _weighing(estimator: Estimator) -> Estimator:
+    """A copy that counts a row _w times."""
+    if isinstance(estimator, HistogramBoosting):
+        return estimator.copy({"weight": "_w"})
+    return estimator.copy({estimator.getParam("weightCol"): "_w"})
+
+
 def importances(model: Model, features: Sequence[str]) -> list[tuple[str, float]]:
-    return list(zip(features, model.featureImportances.toArray().tolist(), strict=True))
+    own = model.importances() if isinstance(model, BoostedTrees) else model.featureImportances.toArray()
+    return list(zip(features, own.tolist(), strict=True))
 
 
 def importance_stability(df: DataFrame, features: Sequence[str], label: str, key: str, estimator: Estimator, n: int = 20, seed: str = "importance") -> DataFrame:
-    """feature, mean, std (population), cv over bootstrap samples, largest mean first."""
-    whole = numbered(df, key)
-    rows = [x for i in range(n) for x in importances(estimator.fit(assembled(drawn_of(whole, None, f"{seed}{i}"), features, label)), features)]
+    """feature, mean, std (population), cv over bootstrap samples (weights of the rows), largest mean first."""
+    whole, _, _ = multiplicities(df, key, n, seed=seed)
+    data = settled(assembled(whole, features, label, "_times"))
+    rows = [x for own in concurrently(lambda i: importances(_weighing(estimator).fit(weighted(data, i, "first")), features), range(n)) for x in own]
     return summarised_importances(df.sparkSession.createDataFrame(rows, "feature string, importance double"))
 
 
@@ -169,19 +217,25 @@ def summarised_importances(rows: DataFrame) -> DataFrame:
     return found.withColumn("cv", F.col("std") / (F.col("mean") + 1e-8)).orderBy(F.desc("mean"), "feature")
 
 
+_LEAKS = "features array<string>, auc double, individual_corrs array<double>"
+
+
 def interaction_leakage(df: DataFrame, label: str, threshold: float = 0.95, features: Sequence[str] | None = None) -> DataFrame:
     """features, auc, individual_corrs: pairs and triples of the first ten telling features whose small tree tells the label too well."""
     features = [c for c in features or numeric_columns(df) if c != label]
     corr = {r["feature"]: r["corr"] for r in label_correlations(df, features, label).collect()}
     telling = [c for c in features if (corr.get(c) or 0.0) > 0.3][:10]
-    rows = []
-    for n in (2, 3):
-        for own in combinations(telling, n):
-            data = assembled(df, own, label)
-            auc = evaluate(DecisionTreeClassifier(maxDepth=5, seed=42).fit(data), data)["auc"]
-            if auc is not None and auc > threshold:
-                rows.append((list(own), auc, [corr[c] for c in own]))
-    return df.sparkSession.createDataFrame(rows, "features array<string>, auc double, individual_corrs array<double>").orderBy(F.desc("auc"))
+    if len(telling) < 2:
+        return df.sparkSession.createDataFrame([], _LEAKS)
+    kept = settled(df.select(*telling, label))
+
+    def tried(own: tuple[str, ...]) -> tuple | None:
+        data = assembled(kept, own, label)
+        auc = evaluate(DecisionTreeClassifier(maxDepth=5, seed=42).fit(data), data)["auc"]
+        return (list(own), auc, [corr[c] for c in own]) if auc is not None and auc > threshold else None
+
+    rows = [x for x in concurrently(tried, [own for n in (2, 3) for own in combinations(telling, n)]) if x]
+    return df.sparkSession.createDataFrame(rows, _LEAKS).orderBy(F.desc("auc"))
 
 
 def permutation_test(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, key: str, estimator: Estimator, trials: int = 1, seed: str = "permutation") -> DataFrame:
@@ -213,6 +267,6 @@ def full_audit(train: DataFrame, test: DataFrame, features: Sequence[str], label
     out: dict = {"interactions": interaction_leakage(train, label, features=features), "stability": stability(train, features, label, key, estimator, n_bootstrap), "test": evaluate(estimator.fit(assembled(train, features, label)), assembled(test, features, label))}
     if date is not None:
         out["temporal"] = temporal_validation(train, features, label, date, estimator)
-    if hasattr(estimator, "impurity") or "Tree" in type(estimator).__name__ or "Forest" in type(estimator).__name__:
+    if isinstance(estimator, HistogramBoosting) or hasattr(estimator, "impurity") or "Tree" in type(estimator).__name__ or "Forest" in type(estimator).__name__:
         out["importance"] = importance_stability(train, features, label, key, estimator, n_importance)
     return out

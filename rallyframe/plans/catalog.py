@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns
+from ..functions.parallel import concurrently
+from ..functions.scratch import settled
 from ..operators import audit, derived, history, metrics, models, ratings, reduce, reports, validate
+from ..operators.boosting import HistogramBoosting
 from ..sources import matches as sources
 
 _M = """select a.event_id // 2 as mk, cast(a.ts as date) as tourney_date, a.ts as ts, a.user_id as player_1, b.user_id as player_2,
@@ -718,37 +721,46 @@ _FEATURES = ["p1_ace", "p2_ace", "p1_df", "p2_df", "rank_diff"]
 @query()
 def model_compare(spark, sf):
     rows = validate.expanding_folds(_learnable(spark, sf), [F.col("mk")], 3)
-    data = validate.assembled(rows, _FEATURES, "target", "mk", "_fold").persist()
+    data = settled(validate.assembled(rows, _FEATURES, "target", "mk", "_fold"))
     train, test = data.filter("_fold < 3"), data.filter("_fold = 3")
-    return models.compare(train, test, models.candidates(train.count(), 0.05))
+    return models.compare(train, test, models.candidates(train.count(), 0.1))
+
+
+@query()
+def boosted(spark, sf):
+    """Second-order boosting fitted before the last fold, and its scores there."""
+    rows = validate.expanding_folds(_learnable(spark, sf), [F.col("mk")], 3)
+    data = settled(validate.assembled(rows, _FEATURES, "target", "mk", "_fold"))
+    model = HistogramBoosting(rounds=20, depth=4, l1=0.3, min_child_weight=3.0, rows=0.9, columns=0.8).fit(data.filter("_fold < 3"))
+    return validate.scored_as(model, data.filter("_fold = 3"), "p").select("mk", "label", "p")
 
 
 @query()
 def ensemble_vote(spark, sf):
-    data = validate.assembled(_learnable(spark, sf), _FEATURES, "target", "mk").persist()
-    fitted = [e.fit(data) for e in (RandomForestClassifier(numTrees=5, maxDepth=5, seed=42), DecisionTreeClassifier(maxDepth=5, seed=42), LogisticRegression(maxIter=20))]
+    data = settled(validate.assembled(_learnable(spark, sf), _FEATURES, "target", "mk"))
+    fitted = concurrently(lambda e: e.fit(data), (RandomForestClassifier(numTrees=100, maxDepth=5, seed=42), HistogramBoosting(rounds=10, depth=4), LogisticRegression(maxIter=1000)))
     return models.summary(models.vote(fitted, data, "mk"))
 
 
 @query()
 def calibrated(spark, sf):
     rows = validate.expanding_folds(_learnable(spark, sf), [F.col("mk")], 3)
-    data = validate.assembled(rows, _FEATURES, "target", "mk", "_fold").persist()
-    return models.summary(models.calibrated(models.calibrate(data, 3, DecisionTreeClassifier(maxDepth=5, seed=42)), data, "mk"))
+    data = settled(validate.assembled(rows, _FEATURES, "target", "mk", "_fold"))
+    return models.summary(models.calibrated(models.calibrate(data, 3, RandomForestClassifier(numTrees=100, maxDepth=5, seed=42)), data, "mk"))
 
 
 @query()
 def importance(spark, sf):
     data = validate.assembled(_learnable(spark, sf), _FEATURES, "target")
-    model = RandomForestClassifier(numTrees=5, maxDepth=5, seed=42).fit(data)
+    model = RandomForestClassifier(numTrees=100, maxDepth=5, seed=42).fit(data)
     return metrics.cumulative_share(_values(spark, validate.importances(model, _FEATURES), "feature string, importance double"), "feature", "importance")
 
 
 @query()
 def grid_small(spark, sf):
-    rows = validate.expanding_folds(_learnable(spark, sf), [F.col("mk")], 2)
-    data = validate.assembled(rows, _FEATURES, "target", "_fold").persist()
-    return models.grid_search(data, 2, RandomForestClassifier(numTrees=5, seed=42), {"maxDepth": [3, 5]})
+    rows = validate.expanding_folds(_learnable(spark, sf), [F.col("mk")], 5)
+    data = validate.assembled(rows, _FEATURES, "target", "_fold")
+    return models.grid_search(data, 5, RandomForestClassifier(seed=42), {"numTrees": [10, 20], "maxDepth": [4, 6]})
 
 
 @query()
@@ -771,20 +783,20 @@ def temporal_fit(spark, sf):
 
 @query()
 def stability_audit(spark, sf):
-    found = validate.stability(_learnable(spark, sf), _FEATURES, "target", "mk", _tree(), n_bootstrap=5)
+    found = validate.stability(_learnable(spark, sf), _FEATURES, "target", "mk", _tree())
     return _values(spark, [(k, float(v)) for k, v in found.items()], "name string, value double")
 
 
 @query()
 def importance_audit(spark, sf):
-    return validate.importance_stability(_learnable(spark, sf), _FEATURES, "target", "mk", _tree(), n=3)
+    return validate.importance_stability(_learnable(spark, sf), _FEATURES, "target", "mk", _tree())
 
 
 @query()
 def full_audit(spark, sf):
     rows = _learnable(spark, sf)
-    cut = rows.agg(F.percentile_approx("mk", 0.8)).first()[0]
-    found = validate.full_audit(rows.filter(F.col("mk") < cut), rows.filter(F.col("mk") >= cut), _FEATURES, "target", "mk", _tree(), n_bootstrap=2, n_importance=2)
+    cut = rows.agg(F.percentile_approx("mk", 0.8)).first()[0] or 0
+    found = validate.full_audit(rows.filter(F.col("mk") < cut), rows.filter(F.col("mk") >= cut), _FEATURES, "target", "mk", _tree())
     out = [("test", k, float(v)) for k, v in found["test"].items()] + [("stability", k, float(v)) for k, v in found["stability"].items()]
     return _values(spark, out, "part string, name string, value double").unionByName(found["importance"].select(F.lit("importance").alias("part"), F.col("feature").alias("name"), F.col("mean").alias("value"))).unionByName(found["interactions"].select(F.lit("interactions").alias("part"), F.array_join("features", " ").alias("name"), F.col("auc").alias("value")))
 

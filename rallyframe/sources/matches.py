@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.parallel import concurrently
+
 DATE_COLUMNS = ("match_date", "tourney_date", "date", "tourney_date_raw")
 FILLS = {"surface": "Unknown", "tourney_level": "U"}
 UNUSED = ("winner_entry", "loser_entry")
@@ -38,26 +41,49 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _headers(spark: SparkSession, paths: Sequence[str]) -> list[str | None]:
+    """Each file's first line, by Spark's own file systems (None where there is none or it can't be read): so much of each file is read here, no job is run."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def first(path: str) -> str | None:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        try:
+            stream = where.getFileSystem(conf).open(where)
+            try:
+                line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+            finally:
+                stream.close()
+        except Py4JJavaError:
+            return None
+        return line.lstrip("\ufeff") if line and line.strip() else None
+
+    return concurrently(first, paths)
+
+
 def load_folder(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> tuple[DataFrame, list[str]]:
     """The union of a folder's CSV files by column name, and the files that can't be read, which are skipped.
 
-    Each file is bound to its own header, so files may differ in columns and in their order. ValueError if none is left.
+    Files of equal headers are read together: one scan (and one inference of types) for each distinct header, however many
+    files there are; headers may differ in columns and in their order. ValueError if no file is left.
     """
-    frames, skipped = [], []
-    for path in _files(spark, folder, ".csv"):
+    paths = _files(spark, folder, ".csv")
+    by_header: dict[str, list[str]] = {}
+    skipped = []
+    for path, header in zip(paths, _headers(spark, paths), strict=True):
+        skipped.append(path) if header is None else by_header.setdefault(header, []).append(path)
+    frames = []
+    for files in by_header.values():
         try:
-            own = spark.read.csv(path, header=True, inferSchema=schema is None, schema=None)
-            if not own.columns:
-                raise ValueError("no header")
+            own = spark.read.csv(files, header=True, inferSchema=schema is None)
             if schema is not None:
                 types = {f.name: f.dataType for f in schema}
                 own = own.select([F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in own.columns])
             frames.append(own)
         except (AnalysisException, ValueError):
-            skipped.append(path)
+            skipped += files
     if not frames:
         raise ValueError(f"no readable CSV file in {folder}")
-    return union_by_name(_same_types(frames)), skipped
+    return union_by_name(_same_types(frames)), sorted(skipped)
 
 
 def _same_types(frames: list[DataFrame]) -> list[DataFrame]:

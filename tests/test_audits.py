@@ -1,5 +1,6 @@
 """Quantiles, ranges, resampled audits and column pairs against direct computations."""
 
+import collections
 import os
 import random
 import statistics
@@ -12,7 +13,8 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
 
 from rallyframe.functions import columns
-from rallyframe.operators import audit, metrics, reduce, reports, validate
+from rallyframe.operators import audit, metrics, models, reduce, reports, validate
+from rallyframe.operators.boosting import HistogramBoosting
 
 
 def test_medians_are_exact(spark):
@@ -116,6 +118,51 @@ def test_resampled_audits(spark):
     assert whole["test"]["auc"] > 0.9 and whole.keys() == {"interactions", "stability", "test", "importance"}
 
 
+def test_multiplicities_are_the_draws(spark):
+    df = told(spark, 60)
+    rows, draws, cut = validate.multiplicities(df, "mk", 3, 50, 40, "s")
+    whole = validate.numbered(df, "mk")
+    for i in range(3):
+        drawn = validate.drawn_of(whole, 50, f"s{i}").collect()
+        for part, mine in (("first", [r["mk"] for r in drawn if r["draw"] < cut]), ("rest", [r["mk"] for r in drawn if r["draw"] >= cut])):
+            found = {r["mk"]: r["_w"] for r in validate.weighted(rows, i, part).collect()}
+            assert found == collections.Counter(mine)
+    assert validate.multiplicities(df.limit(0), "mk", 2)[0].collect() == []
+
+
+def test_weights_are_repeated_rows(spark):
+    df = told(spark, 200).withColumn("w", F.pmod(F.col("mk"), F.lit(3)).cast("double"))
+    often = df.filter("w > 0").withColumn("k", F.explode(F.expr("sequence(1, cast(w as int))")))
+    scores = lambda x: x.withColumn("p", F.round("z", 1))
+    wanted = metrics.auc(scores(often), "p", "y").first()["auc"]
+    assert metrics.auc(scores(df), "p", "y", "w").first()["auc"] == pytest.approx(wanted)
+    both = scores(df).select(F.lit(1).alias("g"), "p", "y", "w").union(df.select(F.lit(2), "x", "y", "w"))
+    found = {r["g"]: r["auc"] for r in metrics.aucs(both, "g", "p", "y", "w").collect()}
+    assert found == {1: pytest.approx(wanted), 2: 1.0}
+
+
+def test_scores_of_several_models_need_no_join(spark):
+    data = validate.assembled(told(spark, 120), ["x", "z"], "y", "mk")
+    fitted = [DecisionTreeClassifier(maxDepth=d, seed=1).fit(data) for d in (1, 2)] + [HistogramBoosting(rounds=2, depth=2).fit(data)]
+    found = models.vote(fitted, data, "mk")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    apart = [{r["mk"]: r["p"] for r in validate.scored(m, data).select("mk", "p").collect()} for m in fitted]
+    assert all(r["p"] == pytest.approx(sum(a[r["mk"]] for a in apart) / 3) for r in found.collect())
+    folded = validate.expanding_folds(told(spark, 120), [F.col("mk")], 2)
+    maps = models.calibrate(validate.assembled(folded, ["x", "z"], "y", "_fold"), 2, DecisionTreeClassifier(maxDepth=1, seed=1))
+    joined = models.calibrated(maps, data, "mk")
+    assert "Join" not in joined._jdf.queryExecution().optimizedPlan().toString() and joined.count() == 120
+
+
+def test_search_over_boosted_trees(spark):
+    folded = validate.assembled(validate.expanding_folds(told(spark, 150), [F.col("mk")], 2), ["x", "z"], "y", "_fold")
+    rows = models.grid_search(folded, 2, models.SEARCHED.copy({"rounds": 2}), {"depth": [1, 2], "step": [0.1, 0.6]}).collect()
+    assert len(rows) == 4 and rows[0]["parameters"].endswith("step=0.6") and rows[0]["logloss"] < rows[-1]["logloss"]
+    found = models.compare(folded.filter("_fold < 2"), folded.filter("_fold = 2"), {"boosted": HistogramBoosting(rounds=2), "tree": DecisionTreeClassifier(maxDepth=2, seed=1)}).collect()
+    assert {r["model"] for r in found} == {"boosted", "tree"} and all(r["auc"] > 0.9 for r in found)
+
+
 def test_bootstrap_samples_are_drawn_from_one_numbering(spark):
     whole = validate.numbered(told(spark, 50), "mk")
     assert sorted(r["mk"] for r in validate.drawn_of(whole, 40, "a").collect()) == sorted(r["mk"] for r in validate.bootstrap(told(spark, 50), "mk", 40, "a").collect())

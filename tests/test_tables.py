@@ -183,3 +183,18 @@ def test_reports(spark):
     df = spark.createDataFrame([(float(i),) for i in range(11)] + [(None,)], "x double")
     assert [tuple(r) for r in reports.histogram(df, "x", 5).orderBy("bin").collect()] == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 3)]
     assert [tuple(r) for r in reports.histogram(df.filter("x = 1"), "x", 5).collect()] == [(0, 1)]
+
+
+def test_many_files_of_few_headers_take_few_jobs(spark, tmp_path):
+    for i in range(120):
+        names = ["a", "b"] if i % 3 else ["b", "a", "c"]
+        (tmp_path / f"{i:03d}.csv").write_text(",".join(names) + "\n" + "\n".join(",".join(str(i * 10 + (ord(c) - 96)) for c in names) for _ in range(2)) + "\n")
+    (tmp_path / "empty.csv").write_text("")
+    group = "folder-test"
+    spark.sparkContext.setJobGroup(group, group)
+    df, skipped = sources.load_folder(spark, str(tmp_path))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 6
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [s.rsplit("/", 1)[1] for s in skipped] == ["empty.csv"] and set(df.columns) == {"a", "b", "c"}
+    rows = df.collect()
+    assert len(rows) == 240 and all(r["b"] == r["a"] + 1 for r in rows) and sum(r["c"] is not None for r in rows) == 80

@@ -5,7 +5,7 @@ only the seeds that look at it. Documents' seeds meet the benchmark's; around ea
 document, and it counts if some window of `window` words (or the whole of a shorter item) agrees in `agree` of its
 positions. Words are runs of letters and digits, case folded. Items (or windows) under SHORT words are sought by runs of
 words so short that every accepted pattern of substitutions leaves one whole; the masks leave none out from SHORT words
-on at the default window and agreement. Items of one to four words must be there verbatim at 0.8.
+on at the window and agreement; parameters at which they would are an error. Items of one to four words must be there verbatim at 0.8.
 
 Hits are joined by distinct seeds first: a seed that stands often in a text and in an item gives one row with both counts.
 Rows of up to DENSE hits are spread over their diagonals; for others all diagonals of the pair are counted at once, one
@@ -19,6 +19,9 @@ empty table gives no rows; other columns don't matter, whatever their names; ids
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,6 +77,22 @@ def whole_run(words: int, agree: float) -> int:
     return -(-same // (words - same + 1))
 
 
+@functools.lru_cache
+def masks_meet(words: int, agree: float) -> bool:
+    """Whether some mask fits into so many words whichever of them the accepted substitutions are (False too where there are too many ways to look at)."""
+    gone = words - needed(words, agree)
+    if math.comb(words, gone) > 1_000_000:
+        return False
+    fits = [sum(1 << (at + i) for i, bit in enumerate(mask) if bit == "1") for mask in MASKS for at in range(words - len(mask) + 1)]
+    return all(any(not fit & lost for fit in fits) for lost in (sum(1 << i for i in c) for c in itertools.combinations(range(words), gone)))
+
+
+def checked(window: int, agree: float) -> None:
+    """ValueError for a window and agreement at which the masks would miss accepted passages."""
+    if missed := [w for w in range(SHORT, window + 1) if not masks_meet(w, agree)]:
+        raise ValueError(f"the masks don't meet every accepted pattern of {missed[0]} words at an agreement of {agree}; take a window under {missed[0]} or a higher agreement")
+
+
 class Benchmark:
     """A block of items: all words, and the seeds with their places."""
 
@@ -217,6 +236,7 @@ def best_rows(rows: np.ndarray) -> np.ndarray:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, agree: float = AGREE) -> DataFrame:
     """One row for each document and item found in it: id, item_id, first_word, n_words (laid over), n_equal."""
+    checked(window, agree)
     spark = docs.sparkSession
     total = benchmark.agg(F.sum(F.size(F.split(item_text, r"\s+"))).alias("n")).first()["n"] or 0
     blocks = 1 + 2 * total // BLOCK_WORDS  # halves, as items fall into blocks by hash

@@ -7,7 +7,10 @@
    its rarest values, as many as any partner of that overlap must meet one of. Common values drop out this way.
 3. The members of a list form a group under the list's smallest member; equal groups of many lists fall together. In a
    group, an estimate from the bottom-k of the union of two sketches filters pairs, the full sets decide, and pairs that
-   are connected already are passed over. Groups of many shingles are cut into tiles, all pairs of which are compared.
+   are connected already are passed over. A group of many shingles is cut into tiles, whose members are compared among
+   themselves; one member of each tile's largest part is compared with those of the other tiles; and then only members
+   outside the group's largest connected part meet all the rest. So m near copies take about m times a tile's members
+   of comparisons, and what isn't connected yet is compared in full.
 4. The links' connected components are found by alternating large and small stars.
 
 Null and empty texts have an empty set and are linked with nothing. Texts of fewer words than a shingle have one
@@ -96,10 +99,9 @@ def groups(classes: DataFrame) -> DataFrame:
     return members.join(classes.select("class", "n_shingles", "rep"), "class")
 
 
-def connected(sets: list[np.ndarray], sketches: list[np.ndarray], tile: np.ndarray, threshold: tuple[int, int], k: int) -> np.ndarray:
-    """Each member's smallest connected member. tile: 0 or 1; if there are both, only pairs across them count."""
-    m = len(sets)
-    root = np.arange(m)
+def connected(sets: list[np.ndarray], sketches: list[np.ndarray], tile: np.ndarray, threshold: tuple[int, int], k: int, root: np.ndarray) -> np.ndarray:
+    """Each member's smallest connected member. tile: 0 or 1; if there are both, only pairs across them count. root: the same, as known before."""
+    m, root = len(sets), root.copy()
     n = np.fromiter(map(len, sets), np.int64, m)
     t = threshold[0] / threshold[1]
     across = bool(tile.any()) and not tile.all()
@@ -140,42 +142,77 @@ def connected(sets: list[np.ndarray], sketches: list[np.ndarray], tile: np.ndarr
     return root
 
 
-def links(docs: DataFrame, members: DataFrame, width: int, k: int, threshold: tuple[int, int], id: str, text: str) -> DataFrame:
-    """Pairs (x, y) of classes in one component of a group or of a pair of its tiles, x the smallest."""
-    tiles = members.groupBy("pivot").agg(F.ceil(F.sum("n_shingles") / TILE).cast("int").alias("_tiles"))
-    placed = members.join(tiles, "pivot").withColumn("_tile", F.pmod(F.xxhash64("class"), F.col("_tiles")).cast("int"))
-    targets = placed.groupBy("class", "rep").agg(F.collect_list(F.struct("pivot", "_tiles", "_tile")).alias("_in"))  # at most k groups
-    targets = stored(targets.withColumnRenamed("rep", "_rep"), "targets")
-    if members.count() <= BROADCAST_ROWS:  # they are what the targets' arrays hold
+def compared(docs: DataFrame, cells: DataFrame, width: int, k: int, threshold: tuple[int, int], id: str, text: str) -> DataFrame:
+    """Pairs (x, y), x < y, that join what was not joined before. cells: class, rep, and at: an array of pivot, a, b (the cell), tile (the member's side: a or b) and root (its part so far)."""
+    targets = stored(cells.groupBy("class", F.col("rep").alias("_rep")).agg(F.flatten(F.collect_list("at")).alias("_in")), "targets")
+    if (targets.agg(F.sum(F.size("_in"))).first()[0] or 0) <= BROADCAST_ROWS:
         targets = F.broadcast(targets)
     wanted = docs.select(id, text).join(targets, F.col(id).eqNullSafe(F.col("_rep"))).select(text, "class", "_in")
+    names = ["pivot", "a", "b", "tile", "root"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["pivot", "a", "b", "tile", "class", "sketch", "set"]
         for batch in batches:
             for part in slices(batch, text):
                 rows: list[tuple] = []
                 for own, name, into in zip(shingle_sets(texts_of(part, text), width), part.column("class").to_pylist(), part.column("_in").to_pylist(), strict=True):
                     if len(own) and class_of(own) == name:  # else another document of the same id
-                        rows += [(x["pivot"], min(u, x["_tile"]), max(u, x["_tile"]), x["_tile"], name, own[:k], own.tobytes()) for x in into for u in range(x["_tiles"])]
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names)
+                        rows += [(*(x[c] for c in names), name, own[:k], own.tobytes()) for x in into]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], [*names, "class", "sketch", "set"])
 
     def compare(table: pa.Table) -> pa.Table:
-        names, first = np.unique(table.column("class").to_numpy(), return_index=True)
+        classes, first = np.unique(table.column("class").to_numpy(), return_index=True)
         table = table.take(pa.array(first))
         sets = [np.frombuffer(x.as_py(), np.int64) for x in table.column("set")]
         sketches = [np.array(x.as_py(), np.int64) for x in table.column("sketch")]
         tile = (table.column("tile").to_numpy() != table.column("a")[0].as_py()).astype(int)
-        root = connected(sets, sketches, tile, threshold, k)
-        far = np.flatnonzero(root != np.arange(len(root)))
+        _, leader, part = np.unique(table.column("root").to_numpy(), return_index=True, return_inverse=True)
+        before = leader[part]
+        after = connected(sets, sketches, tile, threshold, k, before)
+        pairs = np.unique(np.stack([classes[after], classes[before]])[:, after != before], axis=1)
         release()
-        return pa.table({"x": pa.array(names[root[far]], pa.int64()), "y": pa.array(names[far], pa.int64())})
+        return pa.table({"x": pa.array(pairs.min(axis=0), pa.int64()), "y": pa.array(pairs.max(axis=0), pa.int64())})
 
-    schema = "pivot long, a int, b int, tile int, class long, sketch array<long>, set binary"
+    schema = "pivot long, a int, b int, tile int, root long, class long, sketch array<long>, set binary"
     return wanted.mapInArrow(spread, schema).groupBy("pivot", "a", "b").applyInArrow(compare, "x long, y long")
 
 
+def links(docs: DataFrame, members: DataFrame, width: int, k: int, threshold: tuple[int, int], id: str, text: str) -> DataFrame:
+    """Pairs (x, y) of classes that connect whatever is connected within the groups."""
+    how = (width, k, threshold, id, text)
+    cell = lambda a, b, tile, root: F.struct("pivot", a.cast("int").alias("a"), b.cast("int").alias("b"), tile.cast("int").alias("tile"), root.alias("root"))
+    tiles = members.groupBy("pivot").agg(F.ceil(F.sum("n_shingles") / TILE).cast("int").alias("tiles"))
+    placed = members.join(tiles, "pivot").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
+    within = placed.select("class", "rep", F.array(cell(F.col("tile"), F.col("tile"), F.col("tile"), F.col("class"))).alias("at"))
+    found = stored(compared(docs, within, *how), "links")
+    large = stored(placed.filter("tiles > 1"), "large")
+    if large.isEmpty():
+        return found
+
+    def parts(edges: DataFrame) -> DataFrame:
+        """The members of large groups with their part's root."""
+        known = components(edges).withColumnRenamed("root", "_root")
+        return stored(large.join(known, "class", "left").withColumn("root", F.coalesce("_root", "class")).drop("_root"), "parts")
+
+    zero = F.lit(0)
+    sizes = parts(found).groupBy("pivot", "tile", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("class", "rep")).alias("m"))
+    leaders = sizes.groupBy("pivot", "tile").agg(F.max_by(F.struct("m", "root"), F.struct("n", "root")).alias("l"))
+    met = leaders.select(F.col("l.m.class").alias("class"), F.col("l.m.rep").alias("rep"), F.array(cell(zero - 1, zero - 1, zero - 1, F.col("l.root"))).alias("at"))
+    found = stored(found.union(compared(docs, met, *how)), "links")
+
+    rooted = parts(found)
+    weight = rooted.groupBy("pivot", "root").agg(F.sum("n_shingles").alias("s"))
+    whole = weight.groupBy("pivot").agg(F.max_by("root", F.struct("s", "root")).alias("main"), F.max("s").alias("main_s"), F.sum("s").alias("all_s")).filter("all_s > main_s")
+    # tiles of the rest come first; a member of the rest meets all tiles, one of the main part those of the rest
+    count = lambda s: F.ceil(s / TILE).cast("int")
+    dealt = rooted.drop("tiles", "tile").join(whole, "pivot").select("*", count(F.col("all_s") - F.col("main_s")).alias("rest"), count(F.col("main_s")).alias("mains"), (F.col("root") == F.col("main")).alias("in_main"))
+    tile = F.when(F.col("in_main"), F.col("rest") + F.pmod(F.xxhash64("class"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("class"), F.col("rest"))).cast("int")
+    dealt = dealt.withColumn("tile", tile)
+    others = F.sequence(zero, F.when(F.col("in_main"), F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1)
+    at = F.transform(others, lambda u: cell(F.least(u, "tile"), F.greatest(u, "tile"), F.col("tile"), F.col("root")))
+    return found.union(compared(docs, dealt.select("class", "rep", at.alias("at")), *how))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """class, root (the component's smallest class) for all classes on edges x, y (x < y)."""
     edges = stored(edges.distinct(), "edges")

@@ -77,6 +77,21 @@ def test_components_equal_brute_force(spark, monkeypatch, width, threshold, tile
     assert all(r["kept"] == (i == r["component_id"]) for i, r in found.items())
 
 
+def test_a_family_over_many_tiles_is_one_component(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "TILE", 1500)
+    rng = random.Random(31)
+    base, texts = prose(rng, 120).split(), []
+    for i in range(150):
+        own = list(base)
+        own[rng.randrange(len(own))] = f"x{i}"
+        if i % 10 == 9:  # of the same lists, but too far from the rest
+            own[20:60] = prose(rng, 40).split()
+        texts.append(" ".join(own))
+    docs = table(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(docs, words=3, threshold=(85, 100)).collect()}
+    assert [found[i] for i in range(150)] == brute_components(texts, 3, (85, 100))[1]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     text = prose(random.Random(1), 50)
     docs = table(spark, [(7, text, "s"), (7, text, "s"), (7, "another text altogether", "s"), (None, text, "s"), (3, text, "s")])
@@ -138,6 +153,15 @@ def test_every_accepted_pattern_of_substitutions_is_found():
             assert [x for x in found if x[0] < len(gone) and (accepted or n == over)] == whole, (n, k)
 
 
+def test_parameters_that_masks_would_miss_are_errors(spark):
+    decontamination.checked(13, 0.8)
+    decontamination.checked(11, 0.5)
+    decontamination.checked(16, 0.9)
+    for window, agree in ((13, 0.6), (20, 0.7)):
+        with pytest.raises(ValueError, match="masks"):
+            decontamination.contaminated(table(spark, [(0, "a", "s")]), spark.createDataFrame([(0, "a")], "item_id long, text string"), window=window, agree=agree)
+
+
 def test_short_items_are_found_in_tables(spark):
     rng = random.Random(8)
     items = [(0, "ka lo mi ne pu"), (1, "日本語"), (2, "ka lo"), (3, "ka lo mi ne pu ra so")]

@@ -551,10 +551,38 @@ def pca_two_column(spark, sf):
     return reduce.component_report(spark, state).select(*r6("pc1_var"))
 
 
-@query()
+def _axes_sql(columns: tuple[str, ...], sweeps: int = 6) -> str:
+    """The correlation matrix turned by Jacobi's rotations until it is diagonal: columns a<i><i> and the axes v<.><i> in one row, named jacobi."""
+    d = range(len(columns))
+    pair = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+    first = [f"{'1.0' if i == j else f'corr({columns[i]}, {columns[j]})'} as a{i}{j}" for i in d for j in d if i <= j] + [f"{float(i == j)} as v{i}{j}" for i in d for j in d]
+    ctes, before = [f"j0 as materialized (select {', '.join(first)} from lineitem)"], "j0"
+    for k, (p, q) in enumerate([(p, q) for _ in range(sweeps) for p in d for q in d if p < q], 1):
+        tau, own = f"((a{q}{q} - a{p}{p}) / (2 * a{p}{q}))", {f"a{p}{p}": f"a{p}{p} - t * a{p}{q}", f"a{q}{q}": f"a{q}{q} + t * a{p}{q}", f"a{p}{q}": "0.0"}
+        for r in d:
+            if r not in (p, q):
+                own |= {pair(r, p): f"c * {pair(r, p)} - s * {pair(r, q)}", pair(r, q): f"s * {pair(r, p)} + c * {pair(r, q)}"}
+            own |= {f"v{r}{p}": f"c * v{r}{p} - s * v{r}{q}", f"v{r}{q}": f"s * v{r}{p} + c * v{r}{q}"}
+        turn = f"select *, t / sqrt(1 + t * t) as s, 1 / sqrt(1 + t * t) as c from (select *, case when abs(a{p}{q}) < 1e-300 then 0.0 else case when {tau} < 0 then -1 else 1 end / (abs({tau}) + sqrt(1 + {tau} * {tau})) end as t from {before})"
+        ctes.append(f"j{k} as materialized (select * exclude (t, s, c) replace ({', '.join(f'{x} as {n}' for n, x in own.items())}) from ({turn}))")
+        before = f"j{k}"
+    return ", ".join(ctes) + f", jacobi as (select * from {before})"
+
+
+def _projection_sql(columns: tuple[str, ...], n: int) -> str:
+    """The rows on the n largest axes, each axis with its largest loading positive."""
+    d = range(len(columns))
+    axes = f"select unnest([{', '.join(f'a{i}{i}' for i in d)}]) as size, unnest([{', '.join('[' + ', '.join(f'v{r}{i}' for r in d) + ']' for i in d)}]) as axis from jacobi"
+    signed = "select row_number() over (order by size desc) as i, [x * sign(axis[list_position([abs(y) for y in axis], list_max([abs(y) for y in axis]))]) for x in axis] as axis from axes"
+    z = [f"({c} - avg({c}) over ()) / stddev_pop({c}) over ()" for c in columns]
+    own = lambda i: f"(select axis from signed where i = {i})"
+    return f"with {_axes_sql(columns)}, axes as ({axes}), signed as ({signed}), z as (select l_orderkey, l_linenumber, {', '.join(f'{x} as z{k}' for k, x in enumerate(z))} from lineitem) select l_orderkey, l_linenumber, " + ", ".join(f"round({' + '.join(f'z{k} * {own(i)}[{k + 1}]' for k in d)}, 6) as price_pca{i}" for i in range(1, n + 1)) + " from z"
+
+
+@query(_projection_sql(_NUMBERS, 4))
 def pca_projection(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *_NUMBERS)
-    df, _ = reduce.group_components(rows, groups={"price": list(_NUMBERS)}, threshold=0.6)
+    df, _ = reduce.group_components(rows, groups={"price": list(_NUMBERS)}, threshold=1.0)
     return df.select("l_orderkey", "l_linenumber", *r6(*(c for c in df.columns if c.startswith("price_pca"))))
 
 

@@ -102,6 +102,10 @@ def decode_block(data: bytes, freq: np.ndarray, bits: int, mark: int = 0, until:
     return out
 
 
+#: Distinct pieces whose ids a worker keeps (some 200 bytes each): fewer are encoded again and again.
+PIECES = 1_500_000
+
+
 def encode_segment(ids: np.ndarray) -> bytes:
     counts = np.bincount(ids)
     present = np.flatnonzero(counts)
@@ -159,7 +163,7 @@ def write_archive(docs: DataFrame, path: str, *, end: int = 0, id: str = "doc_id
     kind = pa.list_(arrow_type(docs, id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seq = encoder(path), TaskContext.get().partitionId(), 0
+        coder, part, seq = encoder(path, PIECES), TaskContext.get().partitionId(), 0
         ids, lengths, parts, held, before = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:

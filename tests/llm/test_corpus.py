@@ -254,7 +254,7 @@ def test_long_conversations_take_time_in_proportion(spark):
     turns = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
     began = time.time()
     found = {r["conv_id"]: r for r in chat_format.read_chats(chat_format.format_chats(turns)).collect()}
-    assert time.time() - began < 60
+    assert time.time() - began < 150  # time that grows with the square of the turns would be many minutes
     assert [t["text"] for t in found["0"]["turns"]] == [r[3] for r in rows[:20_000]]
     assert found["0"]["learned"] == "".join(r[3] for r in rows[:20_000] if r[2] == "assistant")
     assert found["1"]["learned"] == rows[-1][3] and found["1"]["turns"][0]["text"] == rows[-2][3]

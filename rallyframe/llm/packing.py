@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, slices, stored, texts_of
-from .pieces import encoder
+from .pieces import PIECES, encoder
 
 CAPACITY = 2048
 
@@ -37,7 +37,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, *, end: int
     """id, piece, start, length, ids_crc32 of each document's pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path, PIECES)
         for batch in batches:
             for part in slices(batch, text):
                 ids, counts = coder.encode(texts_of(part, text))

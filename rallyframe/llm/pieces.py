@@ -40,6 +40,8 @@ _JOIN = 512
 #: The byte-level split never joins an ASCII letter and a digit, so long pieces are encoded in parts of about FAR characters.
 _TURN = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 FAR = 1 << 16
+#: Distinct pieces whose ids a worker that encodes whole corpora keeps (some 200 bytes each): fewer are encoded again and again.
+PIECES = 1_500_000
 #: Characters of all pieces kept.
 HELD = 32 << 20
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_type, bounded_batches, slices, stored, texts_of
-from .pieces import encoder
+from .pieces import PIECES, encoder
 
 MAGIC = b"RTA1"
 LANES = 1024
@@ -102,10 +102,6 @@ def decode_block(data: bytes, freq: np.ndarray, bits: int, mark: int = 0, until:
     return out
 
 
-#: Distinct pieces whose ids a worker keeps (some 200 bytes each): fewer are encoded again and again.
-PIECES = 1_500_000
-
-
 def encode_segment(ids: np.ndarray) -> bytes:
     counts = np.bincount(ids)
     present = np.flatnonzero(counts)

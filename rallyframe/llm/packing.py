@@ -33,11 +33,11 @@ from .pieces import PIECES, encoder
 CAPACITY = 2048
 
 
-def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, *, end: int = 0, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, piece, start, length, ids_crc32 of each document's pieces."""
+def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, *, end: int = 0, id: str = "doc_id", text: str = "text", held: int = PIECES) -> DataFrame:
+    """id, piece, start, length, ids_crc32 of each document's pieces. held: distinct pieces of text that a worker keeps, also after the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, PIECES)
+        coder = encoder(path, held)
         for batch in batches:
             for part in slices(batch, text):
                 ids, counts = coder.encode(texts_of(part, text))
@@ -198,6 +198,6 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, *, id: str = "doc_id", r
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, *, end: int = 0, id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, *, end: int = 0, id: str = "doc_id", text: str = "text", held: int = PIECES) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most `capacity` tokens."""
-    return packed(stored(cut_pieces(docs, path, capacity, end=end, id=id, text=text), "pieces"), capacity, id=id)
+    return packed(stored(cut_pieces(docs, path, capacity, end=end, id=id, text=text, held=held), "pieces"), capacity, id=id)

@@ -13,6 +13,9 @@ from rallyframe.llm import decontamination, line_dedup, near_duplicates, packing
 from rallyframe.llm.common import stored
 from rallyframe.llm.queries import table
 
+#: Distinct pieces of text that packing's workers keep: they serve the other stages too, so fewer than where packing is alone.
+HELD_PIECES = 500_000
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling does not draw go."""
@@ -36,7 +39,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: each piece of each document with its place."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), packing.CAPACITY)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), packing.CAPACITY, held=HELD_PIECES)
 
 
 STAGES = [

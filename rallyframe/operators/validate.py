@@ -6,28 +6,36 @@ A model is any pyspark.ml estimator over the columns features and label that yie
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from hashlib import md5
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import numeric_columns
 from ..functions.parallel import concurrently
-from ..functions.scratch import settled
+from ..functions.scratch import settled, stored
 from . import metrics
 from .audit import label_correlations
 from .boosting import BoostedTrees, HistogramBoosting
 
 
+def _numbers(df: DataFrame, features: Sequence[str], label: str, *keep: str) -> DataFrame:
+    """The features as doubles (missing columns and nulls as 0), label."""
+    return df.select(*keep, *((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)).alias(c) for c in features), F.col(label).cast("double").alias("label"))
+
+
 def assembled(df: DataFrame, features: Sequence[str], label: str, *keep: str) -> DataFrame:
     """features (a vector, missing columns and nulls as 0), label."""
-    filled = df.select(*keep, *((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)).alias(c) for c in features), F.col(label).cast("double").alias("label"))
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(filled).select(*keep, "features", "label")
+    return VectorAssembler(inputCols=list(features), outputCol="features").transform(_numbers(df, features, label, *keep)).select(*keep, "features", "label")
 
 
 def scored(model: Model, df: DataFrame) -> DataFrame:
@@ -97,27 +105,71 @@ def drawn_of(rows: tuple[DataFrame, int], draws: int | None, seed: str) -> DataF
     return bootstrap_draws(rows[1], draws or rows[1], rows[0].sparkSession, seed).join(rows[0], "row").drop("row")
 
 
+#: Rows whose draws are counted in one group (a place there has two bytes), and draws that are hashed at once.
+BLOCK, HASHED = 1 << 16, 1 << 19
+
+
+def _places(seed: str, n: int) -> callable:
+    """Spans of draws to block, sample, rest, places: two bytes, the row's place in its block, for each draw of the span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sample, rest, low, high in zip(*(batch.column(c).to_pylist() for c in ("sample", "rest", "low", "high")), strict=True):
+                prefix = f"{seed}{sample}:".encode()
+                digests = b"".join([md5(b"%s%d" % (prefix, i), usedforsecurity=False).digest() for i in range(low, high)])
+                rows = np.sort(np.frombuffer(digests, ">u4")[::4].astype(np.int64) % n)
+                blocks, starts = np.unique(rows // BLOCK, return_index=True)
+                ends = np.append(starts, len(rows)).astype(np.int32) * 2
+                places = pa.Array.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer(ends), pa.py_buffer((rows % BLOCK).astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(np.full(len(blocks), sample, np.int32)), pa.array(np.full(len(blocks), rest)), places], ["block", "sample", "rest", "places"])
+
+    return run
+
+
+def _counted(names: dict[tuple[int, bool], str]) -> callable:
+    """A block's rows and its places to its rows with how often each sample's part (sample, rest) has them."""
+
+    def run(rows: pa.Table, cells: pa.Table) -> pa.Table:
+        at = rows.column("row").to_numpy() % BLOCK
+        times = {own: np.zeros(BLOCK, np.int32) for own in names}
+        for sample, rest, places in zip(*(cells.column(c).to_pylist() for c in ("sample", "rest", "places")), strict=True):
+            times[sample, rest] += np.bincount(np.frombuffer(places, "<u2"), minlength=BLOCK).astype(np.int32)
+        out = rows.drop_columns(["row", "block"])
+        for own, name in names.items():
+            out = out.append_column(name, pa.array(times[own][at]))
+        return out
+
+    return run
+
+
 def multiplicities(df: DataFrame, key: str, samples: int, draws: int | None = None, cut: int | None = None, seed: str = "bootstrap") -> tuple[DataFrame, int, int]:
-    """The rows with _times, a map from sample to how often the row is among its first `cut` draws and among the rest; draws and cut.
+    """The rows with how often each sample i has them among its first `cut` draws (_first<i>) and among the rest (_rest<i>); draws and cut.
 
-    Sample i has the rows that `bootstrap` draws by the seed with i behind it. All samples' draws are counted in one
-    shuffle, and each row is kept once, however many samples there are.
+    Sample i has the rows that `bootstrap` draws by the seed with i behind it. Spans of draws are hashed in tasks of their
+    own, and what is shuffled is two bytes a draw, by blocks of rows; each row is kept once, however many samples there
+    are, and who reads one sample reads its columns alone.
     """
     rows, n = numbered(df, key)
     draws = n if draws is None else draws
     cut = draws if cut is None else cut
     spark = df.sparkSession
-    sample, at = F.expr(f"cast(id div {max(1, draws)} as int)"), F.expr(f"id % {max(1, draws)}")
-    word = F.conv(F.substring(F.md5(F.concat(F.lit(seed), sample.cast("string"), F.lit(":"), at.cast("string"))), 1, 8), 16, 10).cast("long")
-    hits = spark.range(samples * draws if n else 0).select(sample.alias("sample"), (word % F.lit(max(1, n))).alias("row"), (at < cut).alias("first"))
-    counts = hits.groupBy("row", "sample").agg(F.sum(F.col("first").cast("int")).cast("int").alias("first"), F.sum((~F.col("first")).cast("int")).cast("int").alias("rest"))
-    times = counts.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("sample", F.struct("first", "rest")))).alias("_times"))
-    return settled(rows.join(times, "row").drop("row")), draws, cut
+    names = {(i, rest): f"_{'rest' if rest else 'first'}{i}" for rest in ((False, True) if cut < draws else (False,)) for i in range(samples)}
+    head, every = -(-cut // HASHED), -(-cut // HASHED) + -(-(draws - cut) // HASHED)
+    number = samples * every if n else 0
+    spans = spark.range(0, number, 1, max(1, min(number, int(spark.conf.get("spark.sql.shuffle.partitions"))))).select(F.expr(f"cast(id div {max(1, every)} as int)").alias("sample"), F.expr(f"id % {max(1, every)}").alias("j"))
+    spans = spans.withColumn("rest", F.col("j") >= head).withColumn("low", F.when(F.col("rest"), cut + (F.col("j") - head) * HASHED).otherwise(F.col("j") * HASHED))
+    spans = spans.select("sample", "rest", "low", F.least(F.col("low") + HASHED, F.when(F.col("rest"), F.lit(draws)).otherwise(F.lit(cut)).cast("long")).alias("high"))
+    cells = spans.mapInArrow(_places(seed, max(1, n)), "block long, sample int, rest boolean, places binary")
+    blocked = rows.withColumn("block", F.expr(f"cast(row div {BLOCK} as long)"))
+    schema = T.StructType([*(f for f in rows.schema if f.name != "row"), *(T.StructField(name, T.IntegerType()) for name in names.values())])
+    return stored(blocked.groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(_counted(names), schema)), draws, cut
 
 
 def weighted(rows: DataFrame, sample: int, part: str) -> DataFrame:
     """The rows of a sample's part (first or rest), with how often it has them as _w."""
-    return rows.withColumn("_w", F.try_element_at("_times", F.lit(sample))[part].cast("double")).filter("_w > 0")
+    own = f"_{part}{sample}"
+    kept = [c for c in rows.columns if not c.startswith(("_first", "_rest"))]
+    return rows.select(*kept, (F.col(own).cast("double") if own in rows.columns else F.lit(0.0)).alias("_w")).filter("_w > 0")
 
 
 def permuted(df: DataFrame, key: str, column: str, seed: str) -> DataFrame:
@@ -173,21 +225,18 @@ def temporal_validation(df: DataFrame, features: Sequence[str], label: str, date
 
 
 def stability(df: DataFrame, features: Sequence[str], label: str, key: str, estimator: Estimator, n_bootstrap: int = 50, share: float = 0.8, seed: str = "stability") -> dict[str, float]:
-    """Mean, population deviation, least and greatest auc over bootstrap samples, each split by position (a row may fall on both sides). Samples are weights of the rows; fits run side by side, and all models score in one pass."""
+    """Mean, population deviation, least and greatest auc over bootstrap samples, each split by position (a row may fall on both sides). Samples are weights of the rows; fits run side by side, and each model scores the rows held from it, all in one job."""
     n = df.count()
     draws = max(2, int(share * n))
     cut = int(0.8 * draws)
     if draws - cut < 50:
         return {"n": 0}
-    rows, _, _ = multiplicities(df, key, n_bootstrap, draws, cut, seed)
-    data = settled(assembled(rows, features, label, "_times"))
-
-    fitted = concurrently(lambda i: _weighing(estimator).fit(weighted(data, i, "first")), range(n_bootstrap))
-    held = data
-    for i, model in enumerate(fitted):
-        held = scored_as(model, held, f"_p{i}")
-    sides = F.explode(F.array(*(F.struct(F.lit(i).alias("sample"), F.col(f"_p{i}").alias("p"), F.coalesce(F.try_element_at("_times", F.lit(i))["rest"], F.lit(0)).cast("double").alias("w")) for i in range(n_bootstrap))))
-    tested = held.select("label", sides.alias("_s")).select("label", "_s.*").filter("w > 0")
+    data, _, _ = multiplicities(_numbers(df, features, label, key), key, n_bootstrap, draws, cut, seed)
+    drawn = lambda i, part: assembled(weighted(data, i, part), features, "label", "_w")
+
+    fitted = concurrently(lambda i: _weighing(estimator).fit(drawn(i, "first")), range(n_bootstrap))
+    held = [scored_as(model, drawn(i, "rest"), "p").select(F.lit(i).alias("sample"), "label", "p", F.col("_w").alias("w")) for i, model in enumerate(fitted)]
+    tested = reduce(DataFrame.unionAll, held)
     x = np.array([r["auc"] for r in metrics.aucs(tested, "sample", "p", "label", "w").collect() if r["auc"] is not None])  # a row a sample
     return {"mean": float(x.mean()), "std": float(x.std()), "min": float(x.min()), "max": float(x.max()), "n": len(x)} if len(x) else {"n": 0}
 
@@ -206,9 +255,8 @@ def importances(model: Model, features: Sequence[str]) -> list[tuple[str, float]
 
 def importance_stability(df: DataFrame, features: Sequence[str], label: str, key: str, estimator: Estimator, n: int = 20, seed: str = "importance") -> DataFrame:
     """feature, mean, std (population), cv over bootstrap samples (weights of the rows), largest mean first."""
-    whole, _, _ = multiplicities(df, key, n, seed=seed)
-    data = settled(assembled(whole, features, label, "_times"))
-    rows = [x for own in concurrently(lambda i: importances(_weighing(estimator).fit(weighted(data, i, "first")), features), range(n)) for x in own]
+    data, _, _ = multiplicities(_numbers(df, features, label, key), key, n, seed=seed)
+    rows = [x for own in concurrently(lambda i: importances(_weighing(estimator).fit(assembled(weighted(data, i, "first"), features, "label", "_w")), features), range(n)) for x in own]
     return summarised_importances(df.sparkSession.createDataFrame(rows, "feature string, importance double"))
 
 

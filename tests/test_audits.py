@@ -193,3 +193,17 @@ def test_grids_of_chosen_and_of_all_players(spark):
     assert {tuple(r) for r in reports.surface_grid(rows, [3]).collect()} == {(3, s, 0.0) for s in ("Hard", "Clay", "Grass")}
     assert {tuple(r) for r in reports.head_to_head_matrix(rows).collect()} == {(1, 2, 0.5), (2, 1, 0.5)}
     assert {tuple(r) for r in reports.head_to_head_matrix(rows, [1, 3]).collect()} == {(1, 1, 0.0), (1, 3, 0.0), (3, 1, 0.0), (3, 3, 0.0)}
+
+
+def test_draws_are_counted_by_blocks_and_read_by_sample(spark, monkeypatch):
+    monkeypatch.setattr(validate, "BLOCK", 16)
+    monkeypatch.setattr(validate, "HASHED", 7)
+    df = told(spark, 60)
+    rows, draws, cut = validate.multiplicities(df, "mk", 3, 50, 40, "s")
+    whole = validate.numbered(df, "mk")
+    for i in range(3):
+        drawn = validate.drawn_of(whole, 50, f"s{i}").collect()
+        for part, mine in (("first", [r["mk"] for r in drawn if r["draw"] < cut]), ("rest", [r["mk"] for r in drawn if r["draw"] >= cut])):
+            assert {r["mk"]: r["_w"] for r in validate.weighted(rows, i, part).collect()} == collections.Counter(mine)
+    read = validate.weighted(rows.select("mk", *(c for c in rows.columns if c.startswith("_"))), 1, "first")._jdf.queryExecution().executedPlan().toString()
+    assert "_first1" in read.split("ReadSchema")[1] and "_first0" not in read.split("ReadSchema")[1] and "_rest1" not in read.split("ReadSchema")[1]

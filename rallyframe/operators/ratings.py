@@ -3,29 +3,31 @@
 A rating depends on the opponent's rating of that moment, so matches that share players must be folded in order. All that
 does not depend on ratings (match counts, hence update factors) is computed by windows first. The rest is folded by
 slices of time and, inside a slice, by groups of players that its matches connect: groups never meet within the slice, so
-each is a task's own, and no task sees more than SLICE_ROWS matches however long the history. Between slices the ratings
-and last changes of all players are a table in the checkpoint folder; players enter a slice by joining it. Surface
+each is a task's own, and no task sees more than SLICE_ROWS matches however long the history. All slices' groups are found
+in one job before the first is folded, and a slice reads its own matches alone. Besides its matches' ratings, a fold gives
+the ratings and last changes of its players, which the next slice starts from; who does not play passes through. Surface
 ratings are the same over pairs of player and surface, whose groups never cross surfaces.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scratch import settled
+from ..functions.scratch import settled, stored
 from .history import order_of, prior
 
 INITIAL = 1500.0
 K_MIN, K_MAX, HALF_LIFE = 24.0, 42.0, 50.0
 SURFACE_SHARE = 0.7
 RECENT = 5
-#: Matches that one task folds at most, in the worst case of a slice whose players are all connected (some ten seconds).
+#: Matches that one task folds at most, in the worst case of a slice whose players are all connected (some seconds).
 SLICE_ROWS = 1_000_000
 
 
@@ -67,8 +69,8 @@ def surface_counts(matches: DataFrame, compat: bool = True, share: float = SURFA
     return n.groupBy("mk").agg(*(F.max(F.when(F.col("side") == s, F.col("n"))).alias(f"n_{s}") for s in (1, 2)))
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) to (node, smallest node that the edges seen here connect it to)."""
+def _merged(batches: Iterator[pa.RecordBatch], a: str, b: str) -> tuple[list[int], list[int]]:
+    """The nodes of the edges (a, b), and for each the smallest node that the edges connect it to."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -77,14 +79,20 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return x
 
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x, y = root(a), root(b)
+        edges = np.unique(np.column_stack([batch.column(a).to_numpy(), batch.column(b).to_numpy()]), axis=0)
+        for p, q in zip(*edges.T.tolist(), strict=True) if len(edges) else ():
+            x, y = root(p), root(q)
             if x != y:
                 parent[max(x, y)] = min(x, y)
     nodes = list(parent)
+    return nodes, [root(x) for x in nodes]
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) to (node, smallest node that the edges seen here connect it to)."""
+    nodes, roots = _merged(batches, "a", "b")
     for i in range(0, len(nodes), 1 << 16):
-        part = nodes[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)], pa.int64()) for x in (nodes, roots)], ["a", "b"])
 
 
 def groups(edges: DataFrame, fan: int = 16) -> DataFrame:
@@ -97,32 +105,135 @@ def groups(edges: DataFrame, fan: int = 16) -> DataFrame:
     return forest.toDF("node", "group")
 
 
-def _fold(initial: float) -> callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratings: dict[tuple, float] = {}
-        changes: dict[tuple, deque] = {}
-        names = ("mk", "group", "surface", "player_1", "player_2", "target", "k1", "k2", "start", "recent")
-        current = None
+def _slices_groups(dealt: DataFrame, slices: int) -> DataFrame:
+    """_slice, node, group of all slices in one job: partial forests of partitions, then one merge a slice."""
+    edges = dealt.select("_slice", _node("player_1").alias("a"), _node("player_2").alias("b"))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, list[pa.RecordBatch]] = {}
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
-            for mk, group, surface, a, b, won, k1, k2, start, recent in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if group != current:
-                    ratings, changes, current = {}, {}, group
-                p, q = (a, surface), (b, surface)
-                if start is not None:
-                    ratings[p], changes[p] = start, deque(recent or (), maxlen=RECENT)
-                    continue
-                r1, r2 = ratings.get(p, initial), ratings.get(q, initial)
-                expected = 1.0 / (1.0 + 10.0 ** ((r2 - r1) / 400.0))
-                d1, d2 = k1 * (won - expected), k2 * ((1.0 - won) - (1.0 - expected))
-                ratings[p], ratings[q] = r1 + d1, r2 + d2
-                last1, last2 = changes.setdefault(p, deque(maxlen=RECENT)), changes.setdefault(q, deque(maxlen=RECENT))
-                own = (mk, r1, r2, d1, d2, *(sum(x) / len(x) if x else None for x in (last1, last2)))
-                last1.append(abs(d1))
-                last2.append(abs(d2))
-                for to, x in zip(out, own, strict=True):
-                    to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field("mk").type), *(pa.array(x, pa.float64()) for x in out[1:])], ["mk", "r1", "r2", "d1", "d2", "v1", "v2"])
+            at = batch.column("_slice").to_numpy()
+            for i in np.unique(at).tolist():
+                own.setdefault(i, []).append(batch.filter(pa.array(at == i)).select(["a", "b"]))
+        for i in own:
+            nodes, roots = _merged(own[i], "a", "b")
+            for k in range(0, len(nodes), 1 << 16):
+                part = [pa.array(x[k : k + (1 << 16)], pa.int64()) for x in (nodes, roots)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), i, np.int32)), *part], ["_slice", "a", "b"])
+
+    schema = "_slice int, a long, b long"
+    return edges.mapInArrow(linked, schema).repartition(slices, "_slice").mapInArrow(linked, schema).toDF("_slice", "node", "group")
+
+
+#: What a fold reads, and what it gives: rows of matches (start is null), and one of each player and surface after them.
+_READ = ["mk", "group", "surface", "player_1", "player_2", "target", "k1", "k2", "start", "recent"]
+_GIVEN = ["mk", "r1", "r2", "d1", "d2", "v1", "v2", "player", "surface", "start", "recent"]
+
+
+def _given(keyed: DataFrame) -> str:
+    types = dict(keyed.dtypes)
+    return f"mk {types['mk']}, r1 double, r2 double, d1 double, d2 double, v1 double, v2 double, player {types['player_1']}, surface string, start double, recent array<double>"
+
+
+def _means(last: np.ndarray, code: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """For each change d of a code, in order, the mean of the last RECENT before it (NaN: none). last: by code the last changes, NaN before them; brought up to date."""
+    players, code = np.unique(code, return_inverse=True)
+    held = len(players) * RECENT
+    who, x = np.concatenate([np.repeat(np.arange(len(players)), RECENT), code]), np.concatenate([last[players].ravel(), d])
+    order = np.argsort(who, kind="stable")
+    x, back = x[order], np.flatnonzero(order >= held)
+    before = x[back[:, None] + np.arange(-RECENT, 0)]
+    there = ~np.isnan(before)
+    n, total = there.sum(axis=1), np.where(there, before, 0.0).cumsum(axis=1)[:, -1]
+    out = np.empty(len(d))
+    out[order[back] - held] = np.where(n > 0, total / np.maximum(n, 1), np.nan)
+    ends = np.cumsum(np.bincount(who))
+    last[players] = x[ends[:, None] + np.arange(-RECENT, 0)]
+    return out
+
+
+class _Players:
+    """Ratings and last changes of the players (with surface) that a task has seen, by their codes."""
+
+    def __init__(self, initial: float):
+        self.initial = initial
+        self.codes: dict[tuple, int] = {}
+        self.ratings: list[float] = []
+        self.last = np.empty((0, RECENT))
+
+    def code(self, players: pa.Array, surfaces: pa.Array) -> np.ndarray:
+        p, s = players.dictionary_encode(), surfaces.dictionary_encode()
+        names, grounds = [None, *p.dictionary.to_pylist()], [None, *s.dictionary.to_pylist()]
+        i, j = (x.indices.fill_null(-1).to_numpy().astype(np.int64) + 1 for x in (p, s))
+        both, at = np.unique(i * len(grounds) + j, return_inverse=True)
+        own = [self.codes.setdefault((names[x // len(grounds)], grounds[x % len(grounds)]), len(self.codes)) for x in both.tolist()]
+        self.ratings += [self.initial] * (len(self.codes) - len(self.ratings))
+        if len(self.codes) > len(self.last):
+            self.last = np.vstack([self.last, np.full((max(len(self.codes), 2 * len(self.last)) - len(self.last), RECENT), np.nan)])
+        return np.array(own, np.int64)[at]
+
+    def start(self, rows: pa.RecordBatch) -> None:
+        for at, r, recent in zip(self.code(rows.column("player_1"), rows.column("surface")).tolist(), *(rows.column(c).to_pylist() for c in ("start", "recent")), strict=True):
+            self.ratings[at] = r
+            if recent:
+                self.last[at, RECENT - len(recent) :] = recent
+
+    def play(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        n, ratings = rows.num_rows, self.ratings
+        code = self.code(pa.concat_arrays([rows.column("player_1"), rows.column("player_2")]), pa.concat_arrays([rows.column("surface")] * 2)).reshape(2, n)
+        r1s, r2s, d1s, d2s = [], [], [], []
+        for a, b, won, k1, k2 in zip(*code.tolist(), *(rows.column(c).to_numpy().tolist() for c in ("target", "k1", "k2")), strict=True):
+            r1, r2 = ratings[a], ratings[b]
+            expected = 1.0 / (1.0 + 10.0 ** ((r2 - r1) / 400.0))
+            d1, d2 = k1 * (won - expected), k2 * ((1.0 - won) - (1.0 - expected))
+            ratings[a], ratings[b] = r1 + d1, r2 + d2
+            r1s.append(r1)
+            r2s.append(r2)
+            d1s.append(d1)
+            d2s.append(d2)
+        v = _means(self.last, code.T.ravel(), np.abs(np.column_stack([d1s, d2s])).ravel()).reshape(n, 2).T
+        none = [pa.nulls(n, t) for t in (rows.schema.field("player_1").type, pa.string(), pa.float64(), pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays([rows.column("mk"), *map(pa.array, (r1s, r2s, d1s, d2s)), *(pa.array(x, mask=np.isnan(x)) for x in v), *none], _GIVEN)
+
+    def state(self, mk: pa.DataType, player: pa.DataType) -> Iterator[pa.RecordBatch]:
+        names = list(self.codes)
+        for i in range(0, len(names), 1 << 14):
+            part = names[i : i + (1 << 14)]
+            x = self.last[i : i + len(part)]
+            there = ~np.isnan(x)
+            recent = pa.ListArray.from_arrays(pa.array(np.append(0, there.sum(axis=1).cumsum()), pa.int32()), pa.array(x[there]))
+            own = [pa.array([p for p, _ in part], player), pa.array([s for _, s in part], pa.string()), pa.array(self.ratings[i : i + len(part)], pa.float64()), recent]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), mk), *[pa.nulls(len(part), pa.float64())] * 6, *own], _GIVEN)
+
+
+def _fold(initial: float, held: int = 1 << 17) -> callable:
+    """Rows by group and in order, start rows first, to ratings, changes and the players' state. Groups share no player, so those of a batch go together; where a task holds more than `held` players, it lets go of them at the next group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        players, current, types = _Players(initial), None, None
+
+        def folded(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            starts = rows.column("start").is_valid()
+            players.start(rows.filter(starts))
+            played = rows.filter(pc.invert(starts))
+            if played.num_rows:
+                yield players.play(played)
+
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            types = [rows.schema.field(c).type for c in ("mk", "player_1")]
+            group = rows.column("group").to_numpy()
+            other = np.flatnonzero(group != current)
+            if len(players.codes) > held and other.size:
+                at = int(other[0])
+                yield from folded(rows.slice(0, at))
+                yield from players.state(*types)
+                players, rows = _Players(initial), rows.slice(at)
+            current = group[-1]
+            yield from folded(rows)
+        if types:
+            yield from players.state(*types)
 
     return run
 
@@ -132,34 +243,14 @@ def _node(player: str) -> Column:
     return F.xxhash64(F.col(player), F.col("surface"))
 
 
-def _slice(keyed: DataFrame, state: DataFrame | None, order: list[str], initial: float) -> DataFrame:
-    """The fold of one slice: keyed matches, and the state (player, surface, start, recent) of who plays in it."""
-    group = groups(keyed.select(_node("player_1").alias("a"), _node("player_2").alias("b")))
-    rows = keyed.withColumns({"node": _node("player_1"), "start": F.lit(None).cast("double"), "recent": F.lit(None).cast("array<double>")})
+def _slice(keyed: DataFrame, group: DataFrame, state: DataFrame | None, order: list[str], initial: float) -> DataFrame:
+    """The fold of one slice: keyed matches, their groups (node, group), and the state (player, surface, start, recent) of everyone before it."""
+    rows = keyed.withColumns({"node": _node("player_1"), "start": F.lit(None).cast("double"), "recent": F.lit(None).cast("array<double>")}).join(group, "node")
     if state is not None:
-        first = state.select(F.col("player").alias("player_1"), "surface", "start", "recent")
-        rows = rows.unionByName(first.withColumn("node", _node("player_1")), allowMissingColumns=True)
-    dealt = rows.join(group, "node").repartition(F.col("group"))
-    ordered = dealt.sortWithinPartitions("group", F.col("start").isNull(), *(F.col(c).asc_nulls_last() for c in order))
-    columns = ["mk", "group", "surface", "player_1", "player_2", "target", "k1", "k2", "start", "recent"]
-    return ordered.select(*columns).mapInArrow(_fold(initial), f"mk {dict(keyed.dtypes)['mk']}, r1 double, r2 double, d1 double, d2 double, v1 double, v2 double")
-
-
-def _carried(keyed: DataFrame, folded: DataFrame, state: DataFrame | None, order: list[str]) -> DataFrame:
-    """player, surface, start, recent after a slice, of everyone."""
-    both = F.explode(F.array(*(F.struct(F.col(f"player_{s}").alias("player"), (F.col(f"r{s}") + F.col(f"d{s}")).alias("start"), F.abs(f"d{s}").alias("d")) for s in (1, 2))))
-    rows = keyed.select(*order, "surface", "player_1", "player_2").join(folded, "mk").select(*order, "surface", both.alias("_s")).select(*order, "surface", "_s.*")
-    back = Window.partitionBy("player", "surface").orderBy(*(F.col(c).desc_nulls_first() for c in order))
-    last = rows.withColumn("n", F.row_number().over(back)).filter(F.col("n") <= RECENT)
-    own = last.groupBy("player", "surface").agg(F.max(F.when(F.col("n") == 1, F.col("start"))).alias("start"), F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("n", "d")))), lambda x: x["d"]).alias("recent"))
-    if state is None:
-        return own
-    old = state.select(F.col("player").alias("_player"), F.col("surface").alias("_surface"), F.col("start").alias("_start"), F.col("recent").alias("_recent"))
-    met = own.join(old, F.col("player").eqNullSafe(F.col("_player")) & (F.col("surface") == F.col("_surface")), "full_outer")
-    new = F.col("start").isNotNull()
-    joined = F.concat(F.coalesce("_recent", F.array().cast("array<double>")), F.coalesce("recent", F.array().cast("array<double>")))
-    pick = lambda c: F.when(new, F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
-    return met.select(pick("player"), pick("surface"), pick("start"), F.slice(joined, -F.least(F.lit(RECENT), F.size(joined)), RECENT).alias("recent"))
+        first = state.select(F.col("player").alias("player_1"), "surface", "start", "recent").withColumn("node", _node("player_1")).join(group, "node", "left")
+        rows = rows.unionByName(first.withColumn("group", F.coalesce("group", "node")), allowMissingColumns=True)
+    ordered = rows.repartition(F.col("group")).sortWithinPartitions("group", F.col("start").isNull(), *(F.col(c).asc_nulls_last() for c in order))
+    return ordered.select(*_READ).mapInArrow(_fold(initial), _given(keyed))
 
 
 def fold(matches: DataFrame, counts: DataFrame, *, by_surface: bool = False, fixed_k: float | None = None, k_min: float = K_MIN, k_max: float = K_MAX, half_life: float = HALF_LIFE, initial: float = INITIAL, state: DataFrame | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -174,17 +265,18 @@ def fold(matches: DataFrame, counts: DataFrame, *, by_surface: bool = False, fix
     keyed = matches.join(counts, "mk").select(*order, surface.alias("surface"), "player_1", "player_2", target.alias("target"), k(1).alias("k1"), k(2).alias("k2"))
     if state is not None:
         state = state.select("player", (F.col("surface") if by_surface else F.lit("")).alias("surface"), F.col("elo").cast("double").alias("start"), F.lit(None).cast("array<double>").alias("recent"))
+    of_matches = lambda df: df.filter("start is null").select("mk", "r1", "r2", "d1", "d2", "v1", "v2")
     slices = -(-matches.count() // slice_rows)
     if slices <= 1:
-        return _slice(keyed, state, order, initial)
-    dealt = settled(keyed.repartitionByRange(slices, *(F.col(c).asc_nulls_last() for c in order)).withColumn("_slice", F.spark_partition_id()))
+        return of_matches(_slice(keyed, groups(keyed.select(_node("player_1").alias("a"), _node("player_2").alias("b"))), state, order, initial))
+    dealt = stored(keyed.repartitionByRange(slices, *(F.col(c).asc_nulls_last() for c in order)).withColumn("_slice", F.spark_partition_id()), "_slice")
+    group = stored(_slices_groups(dealt, slices), "_slice")
     out = []
     for i in range(slices):
-        own = dealt.filter(F.col("_slice") == i).drop("_slice")
-        out.append(settled(_slice(own, state, order, initial)))
-        if i + 1 < slices:
-            state = settled(_carried(own, out[-1], state, order))
-    return reduce(DataFrame.unionAll, out)
+        of_slice = lambda df, i=i: df.filter(F.col("_slice") == i).drop("_slice")
+        out.append(stored(_slice(of_slice(dealt), of_slice(group), state, order, initial)))
+        state = out[-1].filter("start is not null").select("player", "surface", "start", "recent")
+    return reduce(DataFrame.unionAll, map(of_matches, out))
 
 
 def _named(folded: DataFrame, prefix: str) -> DataFrame:

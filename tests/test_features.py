@@ -100,6 +100,30 @@ def test_slices_and_groups_change_no_rating(spark):
             close({k: tuple(-1 if x is None else x for x in v) for k, v in by_key(cut, *names).items()}, whole)
 
 
+def test_a_slice_reads_its_own_matches_and_all_players_pass_through(spark, monkeypatch):
+    rows = random_rows(60, seed=5)
+    rows += [(60 + i, 25, "Y", "Z", "Hard", 1) for i in range(60)] + [(120 + r[0], 26, *r[2:]) for r in random_rows(60, seed=6)]
+    calls, keep = [], ratings.stored
+    monkeypatch.setattr(ratings, "stored", lambda df, *by: calls.append(by) or keep(df, *by))
+    m = matches(spark, rows).repartition(5)
+    cut = ratings.fold(m, ratings.match_counts(m), slice_rows=60)
+    assert calls == [("_slice",), ("_slice",), (), (), ()]
+    names = ("r1", "r2", "v1", "v2")
+    whole = by_key(ratings.fold(m, ratings.match_counts(m)), *names)
+    none = lambda found: {k: tuple(-1 if x is None else x for x in v) for k, v in found.items()}
+    close(none(by_key(cut, *names)), none(whole))
+    close({k: v[:2] for k, v in whole.items()}, sequential(rows))
+
+
+def test_a_task_lets_go_of_groups(spark):
+    m = matches(spark, leagues(150))
+    edges = m.withColumn("surface", F.lit("")).select(ratings._node("player_1").alias("a"), ratings._node("player_2").alias("b"))
+    wide = m.withColumns({"surface": F.lit(""), "node": ratings._node("player_1"), "target": F.col("target").cast("double"), "k1": F.lit(30.0), "k2": F.lit(20.0), "start": F.lit(None).cast("double"), "recent": F.lit(None).cast("array<double>")})
+    ordered = wide.withColumn("node", F.xxhash64("player_1", "surface")).join(ratings.groups(edges), "node").coalesce(1).sortWithinPartitions("group", "mk").select(*ratings._READ)
+    whole, few = (sorted(map(str, ordered.mapInArrow(ratings._fold(1500.0, held), ratings._given(wide)).collect())) for held in (1 << 17, 0))
+    assert whole == few and len(whole) == 150 + 15
+
+
 def test_groups_never_meet(spark):
     edges = [(1, 2), (2, 3), (10, 11), (12, 11), (3, 4), (20, 20), (-5, 4)]
     found = {r["node"]: r["group"] for r in ratings.groups(spark.createDataFrame(edges * 3, "a long, b long").repartition(5), fan=2).collect()}

@@ -311,7 +311,9 @@ def shuffle_ablation(train: DataFrame, test: DataFrame, features: Sequence[str],
 
 
 def full_audit(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, key: str, estimator: Estimator, date: str | None = None, n_bootstrap: int = 50, n_importance: int = 20) -> dict:
-    """All of the above, and the test side's metrics."""
+    """All of the above, and the test side's metrics; either side is made once."""
+    date_of = [] if date is None else [date]
+    train, test = (stored(df.select(*dict.fromkeys([key, *(c for c in features if c in df.columns), label, *more]))) for df, more in ((train, date_of), (test, [])))
     out: dict = {"interactions": interaction_leakage(train, label, features=features), "stability": stability(train, features, label, key, estimator, n_bootstrap), "test": evaluate(estimator.fit(assembled(train, features, label)), assembled(test, features, label))}
     if date is not None:
         out["temporal"] = temporal_validation(train, features, label, date, estimator)

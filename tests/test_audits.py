@@ -207,3 +207,17 @@ def test_draws_are_counted_by_blocks_and_read_by_sample(spark, monkeypatch):
             assert {r["mk"]: r["_w"] for r in validate.weighted(rows, i, part).collect()} == collections.Counter(mine)
     read = validate.weighted(rows.select("mk", *(c for c in rows.columns if c.startswith("_"))), 1, "first")._jdf.queryExecution().executedPlan().toString()
     assert "_first1" in read.split("ReadSchema")[1] and "_first0" not in read.split("ReadSchema")[1] and "_rest1" not in read.split("ReadSchema")[1]
+
+
+def test_full_audit_makes_either_side_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    df = told(spark).select("mk", "x", "z", "y")
+    df = df.mapInArrow(seen, df.schema)
+    validate.full_audit(df.filter("mk < 200"), df.filter("mk >= 200"), ["x", "z"], "y", "mk", DecisionTreeClassifier(maxDepth=2, seed=1), n_bootstrap=1, n_importance=1)
+    assert made.value == 600

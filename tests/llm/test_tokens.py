@@ -74,6 +74,33 @@ def test_long_unbroken_texts_are_exact():
         assert counts[i] == len(library.encode(text[:i], add_special_tokens=False).ids)
 
 
+class Counted:
+    """A tokenizer that counts the calls it gets."""
+
+    def __init__(self, own):
+        self.own, self.calls = own, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return getattr(self.own, name)
+
+
+def test_many_words_are_counted_side_by_side(monkeypatch):
+    monkeypatch.setattr(token_counts, "PAIR_BITS", 8, raising=False)  # pairs push each other out
+    rng = random.Random(8)
+    library, counter = Tokenizer.from_file(BYTES), token_counts.PrefixCounter(BYTES)
+    counter.merges = Counted(counter.merges)
+    parts = ["the", "ing", "qu", "ß", "ü", "ñ", "É", "ion", "x", "Z", "ſ", "Ƿ", "str", "a"]
+    words = ["".join(rng.choices(parts, k=rng.randint(1, 9))) + rng.choice(["", "", ",", ".'", "***", "(#)"]) for _ in range(6000)]
+    own = [rng.choice(["", " ", "\n"]) + "".join(w + rng.choice([" ", " ", "\n"]) for w in words[i : i + 20]) + "end" for i in range(0, len(words), 20)]
+    counts, bounds = counter.profiles(pa.array(own))
+    assert counter.merges.calls < 1000  # asked by batches, not word by word or pair by pair
+    for t, a, b in zip(own, bounds, bounds[1:]):
+        assert b - a == len(t) + 1
+        for i in rng.sample(range(len(t) + 1), 60):
+            assert counts[a + i] == len(library.encode(t[:i], add_special_tokens=False).ids), repr(t[:i])
+
+
 def test_counts_of_an_empty_table(spark, docs):
     assert token_counts.count_prefixes(docs.limit(0), BYTES).collect() == []
 
